@@ -1,0 +1,5 @@
+"""Streaming operators: none.
+
+Every report of this package is a batch query over the store tables, so this
+package is empty on purpose. See README.md, "What is not here".
+"""

@@ -20,7 +20,7 @@ from tillwise.functions.dates import (
 from tillwise.functions.labels import is_paid, region_of
 from tillwise.functions.numbers import percent, percent_change, rounded_ratio
 from tillwise.plans.customers import signups
-from tillwise.plans.prefix import HEAVY_SHARE, running_before, value_ranks
+from tillwise.plans.prefix import HEAVY_ROWS, running_before, split_heavy, value_ranks
 from tillwise.plans.sales import (
     billing_countries,
     count_if,
@@ -198,7 +198,7 @@ def revenue_breakdown(
     as_of: Day,
     start: Day = None,
     end: Day = None,
-    heavy_share: float = HEAVY_SHARE,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Revenue by customer history: new, existing, renewal, upgrade, total.
 
@@ -216,7 +216,8 @@ def revenue_breakdown(
         {"orders": F.lit(1).cast("long"), "priced": F.col("total").isNotNull().cast("long")}
     )
     measures = {"orders": "sum", "priced": "sum", "total": "sum"}
-    tracked = running_before(known, "customer_id", "instant", measures, _HOUR, heavy_share).select(
+    light, hot = split_heavy(known, "customer_id", heavy_rows)
+    tracked = running_before(light, hot, "customer_id", "instant", measures, _HOUR).select(
         "type",
         "total",
         "date_created",
@@ -333,12 +334,64 @@ def payment_method_performance(
     )
 
 
+def _recovery_events(moments: DataFrame) -> DataFrame:
+    """Unfold order moments into additions and probes on one time line.
+
+    The line has four sub-steps per microsecond: probes that must not see the
+    same moment come before it, probes that must see it come after it.
+    ``paid*`` and ``failed_at`` are the additions. A probe has a ``month``:
+    with ``sign`` it reads the payment totals, with ``since`` the latest failure.
+    """
+    moment = F.col("date_created")
+    micros, month = F.unix_micros(moment), month_of(moment)
+    day = F.unix_date(F.to_date(moment)).cast("long")
+    failed, paid = F.col("failed"), F.col("paid")
+    fields = {
+        "instant": "long", "weight": "long", "sign": "long", "day": "long", "month": "timestamp", "since": "long",
+        "paid": "long", "paid_total": "decimal(18,2)", "paid_days": "long", "failed_at": "long",
+    }
+
+    def event(when: Column, **values: Column) -> Column:
+        made = F.struct(*(values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in fields.items()))
+        return F.when(when, made)
+
+    # The payment totals of (t, t + 30 days] are those at its end minus those at its start.
+    window = [
+        event(failed > 0, instant=(micros + ahead) * 4 + 2, sign=F.lit(sign), weight=failed, day=day, month=month)
+        for sign, ahead in ((-1, 0), (1, _RECOVERY_WINDOW))
+    ]
+    # The 30 days before a payment touch up to three months; ask in each for the latest failure.
+    opened = moment - F.expr("INTERVAL '30' DAY")
+    months = [month - F.expr(f"INTERVAL '{k}' MONTH") for k in range(3)]
+    ends = [moment, *months[:2]]
+    lookups = [
+        event(
+            (paid > 0) & (until > F.greatest(opened, first)),
+            instant=F.unix_micros(until) * 4,
+            weight=paid,
+            month=first,
+            since=F.unix_micros(F.greatest(opened, first)),
+        )
+        for first, until in zip(months, ends)
+    ]
+    addition = event(
+        F.lit(True),
+        instant=micros * 4 + 1,
+        paid=paid,
+        paid_total=F.col("amount"),
+        paid_days=paid * day,
+        failed_at=F.when(failed > 0, micros),
+    )
+    unfolded = moments.select("customer_id", F.inline(F.array(addition, *window, *lookups)))
+    return unfolded.filter(F.col("instant").isNotNull())
+
+
 def failed_payment_recovery(
     store: Store,
     as_of: Day,
     start: Day = None,
     end: Day = None,
-    heavy_share: float = HEAVY_SHARE,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Failed orders followed within 30 days by a paid order of the same customer.
 
@@ -352,75 +405,23 @@ def failed_payment_recovery(
     failed = within(store.orders.filter(F.col("status") == fv.FAILED), "date_created", start, end)
     failures = failed.groupBy(month_of("date_created").alias("month")).agg(rows("failed_count"))
 
-    # One row per customer, second and kind: copies collapse before any shuffle.
-    def moments(orders: DataFrame) -> DataFrame:
-        known = orders.filter(F.col("customer_id").isNotNull() & F.col("date_created").isNotNull())
-        return known.groupBy("customer_id", "date_created").agg(rows(), F.sum("total").alias("amount"))
-
-    failed_at, paid_at = moments(failed), moments(paid_orders(store))
-    # Four sub-steps per microsecond: probes that must not see the same moment
-    # come before it, probes that must see it come after it.
-    clock = F.unix_micros("date_created") * 4
-    day = F.datediff(F.col("date_created"), F.lit("1970-01-01").cast("date")).cast("long")
-    month = month_of("date_created")
-    empty_event = {
-        "weight": F.lit(0).cast("long"),
-        "sign": F.lit(0).cast("long"),
-        "day": F.lit(0).cast("long"),
-        "month": F.lit(None).cast("timestamp"),
-        "since": F.lit(None).cast("long"),
-        "paid": F.lit(None).cast("long"),
-        "paid_total": F.lit(None).cast("decimal(28,2)"),
-        "paid_days": F.lit(None).cast("long"),
-        "failed_at": F.lit(None).cast("long"),
-    }
-
-    def events(df: DataFrame, instant: Column, **values: Column) -> DataFrame:
-        return df.select(
-            "customer_id",
-            instant.alias("instant"),
-            *(values.get(name, default).alias(name) for name, default in empty_event.items()),
-        )
-
-    payments = events(
-        paid_at, clock + 1, paid=F.col("n"), paid_total=F.col("amount").cast("decimal(28,2)"),
-        paid_days=F.col("n") * day,
-    )
-    lapses = events(failed_at, clock + 1, failed_at=F.unix_micros("date_created"))
-
-    # Two probes of the payment totals per failure, inclusive on both ends.
-    edges = F.explode(F.array(
-        F.struct(F.lit(-1).cast("long").alias("sign"), F.lit(0).cast("long").alias("ahead")),
-        F.struct(F.lit(1).cast("long").alias("sign"), F.lit(_RECOVERY_WINDOW).cast("long").alias("ahead")),
-    ))
-    opened = failed_at.withColumn("edge", edges)
-    totals = events(
-        opened, clock + F.col("edge.ahead") * 4 + 2,
-        sign=F.col("edge.sign"), weight=F.col("n"), day=day, month=month,
-    )
-
-    # Probes of the latest failure per payment: one per month the 30 days touch.
-    window_open = F.col("date_created") - F.expr("INTERVAL '30' DAY")
-    month_back = [month - F.expr(f"INTERVAL '{k}' MONTH") for k in range(3)]
-    touched = [
-        F.struct(
-            month_back[k].alias("month"),
-            (F.col("date_created") if k == 0 else month_back[k - 1]).alias("until"),
-            F.greatest(window_open, month_back[k]).alias("since"),
-        )
-        for k in range(3)
-    ]
-    reached = paid_at.withColumn("reach", F.explode(F.array(*touched))).filter(
-        F.col("reach.until") > F.col("reach.since")
+    failing = (F.col("status") == fv.FAILED) & is_within(F.col("date_created"), start, end)
+    moments = (
+        store.orders.filter(F.col("date_created").isNotNull() & (is_paid() | failing))
+        .withColumns({"failed": failing.cast("long"), "paid": (~failing).cast("long")})
+        .select("customer_id", "date_created", "failed", "paid", F.when(~failing, F.col("total")).alias("amount"))
     )
-    lookups = events(
-        reached, F.unix_micros("reach.until") * 4, weight=F.col("n"), month=F.col("reach.month"),
-        since=F.unix_micros("reach.since"),
+    light, hot = split_heavy(moments, "customer_id", heavy_rows)
+    # One row per second for a busy customer: copies collapse before the shuffle.
+    hot = hot.groupBy("customer_id", "date_created").agg(
+        F.sum("failed").alias("failed"),
+        F.sum("paid").alias("paid"),
+        F.sum("amount").cast("decimal(18,2)").alias("amount"),
     )
-
-    timeline = payments.unionByName(lapses).unionByName(totals).unionByName(lookups)
     measures = {"paid": "sum", "paid_total": "sum", "paid_days": "sum", "failed_at": "max"}
-    seen = running_before(timeline, "customer_id", "instant", measures, 4 * _HOUR, heavy_share)
+    seen = running_before(
+        _recovery_events(light), _recovery_events(hot), "customer_id", "instant", measures, 4 * _HOUR
+    )
     signed = F.col("sign") * F.col("weight")
     recoveries = (
         seen.filter(F.col("month").isNotNull())
@@ -428,7 +429,7 @@ def failed_payment_recovery(
         .agg(
             F.sum(F.when(F.col("failed_at_before") >= F.col("since"), F.col("weight"))).alias("recovered"),
             F.sum(signed * zero("paid_before")).alias("pairs"),
-            F.sum(signed * F.coalesce("paid_total_before", F.lit(0).cast("decimal(28,2)"))).alias("revenue"),
+            F.sum(signed * zero("paid_total_before")).alias("revenue"),
             F.sum(signed * (zero("paid_days_before") - F.col("day") * zero("paid_before"))).alias("days"),
         )
     )

@@ -14,8 +14,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more than this share of all rows is heavy. Fewer than
+# A key is heavy when one task should not sort all of its rows: it has more than
+# HEAVY_ROWS rows and more than HEAVY_SHARE of the table. Fewer than
 # 1 / HEAVY_SHARE keys can be heavy, which bounds the set that gets broadcast.
+HEAVY_ROWS = 1_000_000
 HEAVY_SHARE = 1e-4
 
 # Values per block on each level of a value ranking.
@@ -88,45 +90,49 @@ def value_ranks(df: DataFrame, value: str, descending: bool = False) -> DataFram
     return ranked.select(value, "n", F.coalesce("n_before", F.lit(0)).alias("n_before"))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys that own more than ``share`` of all rows: fewer than 1 / share rows."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def split_heavy(
+    df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """Split into rows of normal keys and rows of heavy keys.
+
+    A key is heavy with more than ``heavy_rows`` rows and more than ``share`` of
+    all rows, so there are fewer than ``1 / share`` heavy keys: that is the
+    proven bound of the broadcast. Rows without a key are in neither part.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
+    heavy = F.broadcast(
+        counts.filter(F.col("n") > heavy_rows)
+        .crossJoin(F.broadcast(total))
         .filter(F.col("n") > F.col("total") * share)
         .select(key)
     )
+    known = df.filter(F.col(key).isNotNull())
+    return known.join(heavy, key, "left_anti"), known.join(heavy, key, "left_semi")
 
 
 def running_before(
-    rows: DataFrame,
+    light: DataFrame,
+    hot: DataFrame,
     key: str,
     instant: str,
     measures: Mapping[str, str],
     block_width: int,
-    share: float = HEAVY_SHARE,
 ) -> DataFrame:
     """Add ``{measure}_before``: the measure over the key's strictly earlier rows.
 
     ``instant`` is a LONG that orders the rows of a key; rows at the same
-    instant do not see each other. ``key`` must not be NULL. Normal keys take
-    one window. Heavy keys are first totalled per instant (copies collapse
-    before any shuffle), then per block of ``block_width`` instants.
+    instant do not see each other. Normal keys (``light``) take one window.
+    Heavy keys (``hot``) are first totalled per instant (copies collapse before
+    any shuffle), then per block of ``block_width`` instants, and the totals are
+    joined back to the rows, a join that may be split.
     """
-    heavy = F.broadcast(heavy_keys(rows, key, share))
-
     window = Window.partitionBy(key).orderBy(instant).rangeBetween(Window.unboundedPreceding, -1)
-    light = rows.join(heavy, key, "left_anti").withColumns(
-        {f"{m}_before": _COMBINE[kind](m).over(window) for m, kind in measures.items()}
-    )
+    light = light.withColumns({f"{m}_before": _COMBINE[kind](m).over(window) for m, kind in measures.items()})
 
-    hot = rows.join(heavy, key, "left_semi").withColumn(
-        "block", F.floor(F.col(instant) / block_width)
+    cells = hot.groupBy(key, F.floor(F.col(instant) / block_width).alias("block"), instant).agg(
+        *_aggregates(measures)
     )
-    cells = hot.groupBy(key, "block", instant).agg(*_aggregates(measures))
     history = prefix_before(cells, [key], ["block", instant], measures)
-    hot = hot.drop("block").join(
-        history.select(key, instant, *(f"{m}_before" for m in measures)), [key, instant]
-    )
+    hot = hot.join(history.select(key, instant, *(f"{m}_before" for m in measures)), [key, instant])
     return light.unionByName(hot)

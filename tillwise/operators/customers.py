@@ -34,8 +34,8 @@ from tillwise.plans.customers import (
     spend_of_everyone,
     subscription_counts,
 )
-from tillwise.plans.prefix import value_ranks
-from tillwise.plans.sales import billing_countries, count_if, paid_orders, rows, sum_if, head, zero
+from tillwise.plans.prefix import value_counts, value_ranks
+from tillwise.plans.sales import billing_places, count_if, paid_orders, rows, sum_if, head, zero
 from tillwise.sources.store import Store
 
 __all__ = [
@@ -114,7 +114,8 @@ def clv_distribution(store: Store, as_of: Day) -> DataFrame:
     ``N`` customers, zero spenders included; only spenders are then counted.
     Everything after the per-customer sum works on distinct spend values.
     """
-    ranks = value_ranks(spend_of_everyone(store), "spent")
+    counts = value_counts(spend_of_everyone(store), "spent")
+    ranks = value_ranks(counts, "spent")
     size = store.customers.agg(rows("size"))
     rank_of = {
         label: F.floor(F.col("size") * F.lit(f"{q:.2f}").cast("decimal(3,2)")).cast("long")
@@ -133,7 +134,7 @@ def clv_distribution(store: Store, as_of: Day) -> DataFrame:
     )
     revenue = F.sum(F.col("n") * F.col("spent"))
     return (
-        ranks.filter(F.col("spent") > 0)
+        counts.filter(F.col("spent") > 0)
         .crossJoin(F.broadcast(cuts))
         .groupBy(segment.alias("segment"))
         .agg(
@@ -373,14 +374,10 @@ def customers_by_country(
         "customer_id",
         F.when(is_paid(), F.col("total")).otherwise(F.lit(0).cast("decimal(18,2)")).alias("paid"),
     )
-    countries = (
-        billing_countries(store)
-        .groupBy("order_id", F.coalesce("country", F.lit("Unknown")).alias("country"))
-        .agg(F.sum("copies").alias("copies"))
-    )
+    countries = billing_places(store, F.coalesce("country", F.lit("Unknown")))
     per_customer = (
         orders.join(countries, "order_id", "left")
-        .groupBy("customer_id", F.coalesce("country", F.lit("Unknown")).alias("country"))
+        .groupBy("customer_id", F.coalesce("place", F.lit("Unknown")).alias("country"))
         .agg(rows("orders"), F.sum(F.col("paid") * F.coalesce("copies", F.lit(1))).alias("revenue"))
     )
     people = signups(store, start, end).select(F.col("id").alias("customer_id"))

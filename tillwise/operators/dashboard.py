@@ -55,6 +55,18 @@ def _fallback(ranged: DataFrame, everything: DataFrame | None) -> DataFrame:
     return ranged.unionByName(spare)
 
 
+def _first_filled(ranged: DataFrame, everything: DataFrame | None, **measures: Column) -> DataFrame:
+    """One row of aggregates over ``ranged``, or over ``everything`` when ``ranged`` is empty.
+
+    Both are aggregated side by side, so that neither report runs twice.
+    """
+    tagged = ranged.withColumn("choice", F.lit(1))
+    if everything is not None:
+        tagged = tagged.unionByName(everything.withColumn("choice", F.lit(2)))
+    per_choice = tagged.groupBy("choice").agg(*(c.alias(n) for n, c in measures.items()))
+    return per_choice.agg(*(F.min_by(n, "choice").alias(n) for n in measures))
+
+
 def mrr_growth(breakdown: DataFrame) -> DataFrame:
     """From the current MRR breakdown: growth in percent of existing, and net new MRR."""
     net = F.col("new_mrr") - F.col("churned_mrr")
@@ -65,7 +77,7 @@ def mrr_growth(breakdown: DataFrame) -> DataFrame:
 
 def average_renewal_rate(rates: DataFrame, all_time: DataFrame | None = None) -> DataFrame:
     """Plain mean of monthly renewal rates; the all-time series stands in for an empty one."""
-    return _fallback(rates, all_time).agg(F.avg("renewal_rate").alias("avg_renewal_rate"))
+    return _first_filled(rates, all_time, avg_renewal_rate=F.avg("renewal_rate"))
 
 
 def refund_trailing_summary(rates: DataFrame, refunded: DataFrame, months: int = 12) -> DataFrame:
@@ -130,19 +142,14 @@ def top_clv_rows(clv: DataFrame) -> DataFrame:
 
 def product_summary(matrix: DataFrame, all_time: DataFrame | None = None) -> DataFrame:
     """Totals and means of the product matrix; unknown growth counts as 0."""
-    revenue = _number("current_revenue")
-    return (
-        _fallback(matrix, all_time)
-        .agg(
-            F.sum(F.col("current_revenue")).alias("total_revenue"),
-            F.sum(zero("units_sold")).alias("total_units"),
-            F.avg(_number("growth_rate")).alias("avg_growth"),
-            count_if(revenue > 0).alias("active_products"),
-        )
-        .withColumn(
-            "avg_aov", F.coalesce(ratio(F.col("total_revenue"), F.col("total_units")), F.lit(0.0))
-        )
-    )
+    return _first_filled(
+        matrix,
+        all_time,
+        total_revenue=F.sum("current_revenue"),
+        total_units=F.sum(zero("units_sold")),
+        avg_growth=F.avg(_number("growth_rate")),
+        active_products=count_if(F.col("current_revenue") > 0),
+    ).withColumn("avg_aov", F.coalesce(ratio(F.col("total_revenue"), F.col("total_units")), F.lit(0.0)))
 
 
 def product_search(

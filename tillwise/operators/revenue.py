@@ -20,9 +20,9 @@ from tillwise.functions.dates import (
 from tillwise.functions.labels import is_paid, region_of
 from tillwise.functions.numbers import percent, percent_change, rounded_ratio
 from tillwise.plans.customers import signups
-from tillwise.plans.prefix import HEAVY_ROWS, running_before, split_heavy, value_ranks
+from tillwise.plans.prefix import HEAVY_ROWS, running_before, split_heavy, value_counts, value_ranks
 from tillwise.plans.sales import (
-    billing_countries,
+    billing_places,
     count_if,
     monthly_customer_sales,
     paid_orders,
@@ -167,16 +167,12 @@ def revenue_by_region(store: Store, as_of: Day, start: Day = None, end: Day = No
     and averages, and once per region in ``order_count``. The copies are a
     multiplier; the repeated rows are never built.
     """
-    regions = (
-        billing_countries(store)
-        .groupBy("order_id", region_of(F.col("country")).alias("region"))
-        .agg(F.sum("copies").alias("copies"))
-    )
+    regions = billing_places(store, region_of(F.col("country")))
     orders = paid_orders(store, start, end).select(F.col("id").alias("order_id"), "customer_id", "total")
     copies = F.coalesce("copies", F.lit(1))
     return (
         orders.join(regions, "order_id", "left")
-        .groupBy(F.coalesce("region", F.lit(fv.REGION_OTHER)).alias("region"), "customer_id")
+        .groupBy(F.coalesce("place", F.lit(fv.REGION_OTHER)).alias("region"), "customer_id")
         .agg(
             rows("orders"),
             F.sum(F.when(F.col("total").isNotNull(), copies)).alias("copies"),
@@ -250,19 +246,30 @@ def revenue_breakdown(
     )
 
 
-def _top_share(values: DataFrame, value: str, k: DataFrame, segment: str) -> DataFrame:
-    """Count and sum of the ``k`` largest values, from ranks of distinct values.
+def _top_shares(values: DataFrame, value: str, quotas: DataFrame, segments: dict[str, str]) -> DataFrame:
+    """Count and sum of the ``k`` largest values, for each quota column ``k``.
 
-    ``k`` is a one-row table. Ties at the edge have equal value, so taking part
-    of them is exact.
+    ``quotas`` is a one-row table, ``segments`` maps its columns to labels. The
+    sums come from the ranks of the distinct values: ties at the edge have equal
+    value, so taking part of them is exact.
     """
-    ranks = value_ranks(values, value, descending=True).crossJoin(F.broadcast(k))
-    taken = F.least(F.col("n"), F.col("k") - F.col("n_before"))
-    return (
-        ranks.filter(F.col("n_before") < F.col("k"))
-        .agg(zero(F.sum(taken)).alias("count"), F.sum(taken * F.col(value)).alias("revenue"))
-        .select(F.lit(segment).alias("segment"), "count", "revenue")
+    ranks = value_ranks(value_counts(values, value), value, descending=True).crossJoin(F.broadcast(quotas))
+    taken = {k: F.greatest(F.least(F.col("n"), F.col(k) - F.col("n_before")), F.lit(0)) for k in segments}
+    totals = ranks.agg(
+        *(zero(F.sum(n)).alias(f"{k}_count") for k, n in taken.items()),
+        *(F.sum(F.when(n > 0, n * F.col(value))).alias(f"{k}_revenue") for k, n in taken.items()),
+    )
+    lines = F.array(
+        *(
+            F.struct(
+                F.lit(label).alias("segment"),
+                F.col(f"{k}_count").alias("count"),
+                F.col(f"{k}_revenue").alias("revenue"),
+            )
+            for k, label in segments.items()
+        )
     )
+    return totals.select(F.inline(lines))
 
 
 def revenue_concentration(store: Store, as_of: Day) -> DataFrame:
@@ -282,22 +289,18 @@ def revenue_concentration(store: Store, as_of: Day) -> DataFrame:
     sold = sold_items(store).groupBy("product_id").agg(F.sum("item_total").alias("earned"))
     distinct_products = store.order_items.groupBy("product_id").agg(rows())
 
-    def quota(df: DataFrame, counted: str, share: str) -> DataFrame:
+    def quota(counted: str, share: str) -> Column:
         # decimal arithmetic: 0.1 * 30 must be exactly 3
-        exact = F.count(counted) * F.lit(share).cast("decimal(3,2)")
-        return df.agg(F.floor(exact).cast("long").alias("k"))
+        return F.floor(F.count(counted) * F.lit(share).cast("decimal(3,2)")).cast("long")
 
-    parts = (
-        _top_share(spent, "spent", quota(store.customers, "id", "0.10"), "Top 10% Customers"),
-        _top_share(spent, "spent", quota(store.customers, "id", "0.20"), "Top 20% Customers"),
-        _top_share(sold, "earned", quota(distinct_products, "product_id", "0.10"), "Top 10% Products"),
-    )
+    customers = store.customers.agg(quota("id", "0.10").alias("tenth"), quota("id", "0.20").alias("fifth"))
+    products = distinct_products.agg(quota("product_id", "0.10").alias("tenth"))
+    parts = _top_shares(
+        spent, "spent", customers, {"tenth": "Top 10% Customers", "fifth": "Top 20% Customers"}
+    ).unionByName(_top_shares(sold, "earned", products, {"tenth": "Top 10% Products"}))
     total = paid_orders(store).agg(F.sum("total").alias("all_revenue"))
-    return (
-        parts[0].unionByName(parts[1]).unionByName(parts[2])
-        .crossJoin(F.broadcast(total))
-        .select("segment", "count", "revenue",
-                percent(F.col("revenue"), F.col("all_revenue")).alias("revenue_percentage"))
+    return parts.crossJoin(F.broadcast(total)).select(
+        "segment", "count", "revenue", percent(F.col("revenue"), F.col("all_revenue")).alias("revenue_percentage")
     )
 
 

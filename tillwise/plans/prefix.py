@@ -66,8 +66,13 @@ def prefix_before(
     ).drop(*(f"{m}_earlier" for m in measures))
 
 
-def value_ranks(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
-    """Exact ranks of a money column, one row per distinct value.
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """``value, n``: distinct values (not NULL) and how often they occur."""
+    return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_ranks(counts: DataFrame, value: str, descending: bool = False) -> DataFrame:
+    """Exact ranks of a money column, one row per distinct value of ``counts``.
 
     Returns ``value``, ``n`` (rows with this value) and ``n_before`` (rows that
     sort before it), so row ``k`` of the sorted column has the value with
@@ -79,10 +84,7 @@ def value_ranks(df: DataFrame, value: str, descending: bool = False) -> DataFram
     cents = (F.col(value) * 100).cast("long")
     order = -cents if descending else cents
     cells = (
-        df.groupBy(value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col(value).isNotNull())
-        .withColumn("fine", order)
+        counts.withColumn("fine", order)
         .withColumn("block", F.floor(F.col("fine") / _BLOCK))
         .withColumn("super", F.floor(F.col("block") / _BLOCK))
     )

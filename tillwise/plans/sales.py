@@ -63,10 +63,14 @@ def sold_items(
     return items.join(orders, "order_id")
 
 
-def billing_countries(store: Store) -> DataFrame:
-    """``order_id, country, copies``: billing addresses with their multiplicity."""
+def billing_places(store: Store, place: Column) -> DataFrame:
+    """``order_id, place, copies``: places of the billing addresses with their multiplicity.
+
+    ``place`` is an expression on ``country``. Counting first collapses repeated
+    addresses on the map side and leaves few rows per order for the join.
+    """
     billing = store.order_addresses.filter(F.col("type") == fv.BILLING)
-    return billing.groupBy("order_id", "country").agg(rows("copies"))
+    return billing.groupBy("order_id", place.alias("place")).agg(rows("copies"))
 
 
 def with_titles(df: DataFrame, store: Store) -> DataFrame:

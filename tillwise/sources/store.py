@@ -126,6 +126,11 @@ class Store:
         """A store with some tables replaced."""
         return Store(self.spark, lambda name: frames[name] if name in frames else self._source(name))
 
+    def write_parquet(self, root: str, prefix: str = "", tables: tuple[str, ...] | None = None) -> None:
+        """Write the tables as ``{root}/{prefix}{table}``, for ``from_parquet`` to read."""
+        for name in tables or tuple(t for t in SCHEMAS if self.has(t)):
+            self.table(name).write.mode("errorifexists").parquet(f"{root}/{prefix}{name}")
+
     def required_tables(self) -> DataFrame:
         """``(table_name, present)`` for the tables every installation must have."""
         rows = [(name, self.has(name)) for name in REQUIRED]

@@ -132,16 +132,19 @@ def clv_distribution(store: Store, as_of: Day) -> DataFrame:
     segment = first_match(
         ((F.col("spent") >= F.col(f"`{label}`"), label) for label in labels), fv.SPEND_CLASS_REST
     )
-    revenue = F.sum(F.col("n") * F.col("spent"))
+    # Non-spenders drop out of the sums, not by a filter: a filter would be pushed
+    # into this use of the counts only and have them computed twice.
+    spenders = F.when(F.col("spent") > 0, F.col("n"))
+    revenue = F.sum(spenders * F.col("spent"))
     return (
-        counts.filter(F.col("spent") > 0)
-        .crossJoin(F.broadcast(cuts))
+        counts.crossJoin(F.broadcast(cuts))
         .groupBy(segment.alias("segment"))
         .agg(
-            F.sum("n").alias("customer_count"),
-            rounded_ratio(revenue, F.sum("n")).alias("avg_clv"),
+            F.sum(spenders).alias("customer_count"),
+            rounded_ratio(revenue, F.sum(spenders)).alias("avg_clv"),
             revenue.alias("total_revenue"),
         )
+        .filter(F.col("customer_count") > 0)
         .orderBy(position(F.col("segment"), (*labels, fv.SPEND_CLASS_REST)))
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillwise.functions import fixed_values as fv
 from tillwise.functions.labels import first_match, position, rfm_segment, trend_class
 from tillwise.functions.numbers import ratio, rounded
-from tillwise.plans.prefix import prefix_before
+from tillwise.plans.prefix import prefix_before, value_levels
 from tillwise.plans.sales import count_if, rows, zero
 
 __all__ = [
@@ -40,6 +40,10 @@ __all__ = [
 ]
 
 
+# Rows of one amount are spread over this many buckets.
+_TIE_BUCKETS = 1 << 12
+
+
 def _number(column: str | Column) -> Column:
     """DOUBLE with 0 for a missing value."""
     column = F.col(column) if isinstance(column, str) else column
@@ -274,14 +278,10 @@ def pareto(df: DataFrame, revenue: str = "revenue", key: str = "id") -> DataFram
     amount over hash buckets, so neither a long list nor a crowd of equal
     amounts ends up in a single task.
     """
-    block, buckets = 1 << 16, 1 << 12
-    fine = -(F.col(revenue) * 100).cast("long")
     cells = df.filter(F.col(revenue).isNotNull()).withColumns(
         {
-            "fine": fine,
-            "block": F.floor(fine / block),
-            "super": F.floor(F.floor(fine / block) / block),
-            "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)),
+            **value_levels(F.col(revenue), descending=True),
+            "bucket": F.pmod(F.xxhash64(key), F.lit(_TIE_BUCKETS)),
         }
     )
     levels = ["super", "block", "fine", "bucket"]

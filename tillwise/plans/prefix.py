@@ -66,6 +66,19 @@ def prefix_before(
     ).drop(*(f"{m}_earlier" for m in measures))
 
 
+def value_levels(value: Column, descending: bool = False) -> dict[str, Column]:
+    """Columns ``super``, ``block``, ``fine`` that order money amounts, coarse to fine.
+
+    They are declared non-NULL (callers have no NULL amounts), which keeps the
+    optimizer from adding a different NULL filter to every use of the same
+    sub-plan; the exchanges below can then be reused.
+    """
+    cents = (value * 100).cast("long")
+    fine = F.coalesce(-cents if descending else cents, F.lit(0).cast("long"))
+    block = F.coalesce(F.floor(fine / _BLOCK), F.lit(0).cast("long"))
+    return {"super": F.coalesce(F.floor(block / _BLOCK), F.lit(0).cast("long")), "block": block, "fine": fine}
+
+
 def value_counts(df: DataFrame, value: str) -> DataFrame:
     """``value, n``: distinct values (not NULL) and how often they occur."""
     return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
@@ -81,13 +94,7 @@ def value_ranks(counts: DataFrame, value: str, descending: bool = False) -> Data
     the single top task sees one row per super-block (about 43 million units of
     money each).
     """
-    cents = (F.col(value) * 100).cast("long")
-    order = -cents if descending else cents
-    cells = (
-        counts.withColumn("fine", order)
-        .withColumn("block", F.floor(F.col("fine") / _BLOCK))
-        .withColumn("super", F.floor(F.col("block") / _BLOCK))
-    )
+    cells = counts.withColumns(value_levels(F.col(value), descending))
     ranked = prefix_before(cells, [], ["super", "block", "fine"], {"n": "sum"})
     return ranked.select(value, "n", F.coalesce("n_before", F.lit(0)).alias("n_before"))
 

@@ -1,0 +1,330 @@
+"""Hand-made tables for semantics that are easy to get wrong."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import item, order, rows_of
+from tillwise.functions.numbers import leading_number, rounded
+from tillwise.operators import customers, financial, predictive, products, revenue, subscriptions
+
+DAY = "2001-08-02"
+
+
+def test_end_day_is_cut_at_midnight(make_store):
+    store = make_store(orders=[
+        order(1, 1, "2001-03-04T23:59:59"), order(2, 1, "2001-03-05T00:00:00", 20), order(3, 1, "2001-03-31T00:00:00", 40),
+        order(4, 1, "2001-03-31T00:00:01", 80),
+    ])
+    (row,) = rows_of(revenue.revenue_by_month(store, DAY, "2001-03-05", "2001-03-31"))
+    assert (row["date"], row["label"], row["total_revenue"]) == ("2001-03-01", "March 2001", 60)
+
+
+def test_refund_rates_cover_whole_months_and_skip_renewal_payments(make_store):
+    store = make_store(orders=[
+        order(1, 1, "2001-03-01T00:00:00", status="refunded"), order(2, 1, "2001-03-31T23:59:59"),
+        order(3, 1, "2001-03-10", status="edd_subscription"), order(4, 1, "2001-04-01T00:00:00", status="refunded"),
+        order(5, 1, "2001-02-28T23:59:59"), order(6, 1, "2001-05-01", status="pending"), order(7, 1, None),
+    ])
+    ranged = rows_of(revenue.refund_rates_by_month(store, DAY, "2001-03-20", "2001-03-21"))
+    assert [(r["month_year"], r["refund_rate"]) for r in ranged] == [("2001-03", 50.0)]
+    everything = rows_of(revenue.refund_rates_by_month(store, DAY))
+    assert [(r["month_year"], r["refund_rate"]) for r in everything] == [
+        (None, 0.0), ("2001-02", 0.0), ("2001-03", 50.0), ("2001-04", 100.0), ("2001-05", 0.0)]
+
+
+def test_refunded_revenue_is_the_absolute_sum(make_store):
+    store = make_store(orders=[order(1, 1, "2001-03-01", -30, "refunded"), order(2, 1, "2001-03-02", 10, "refunded")])
+    assert rows_of(revenue.refunded_revenue_by_month(store, DAY))[0]["value"] == 20
+
+
+def test_yoy_change_without_a_last_year(make_store):
+    store = make_store(customers=[{"id": 1, "date_created": "2001-01-01"}, {"id": 2, "date_created": "1999-12-31"}])
+    assert rows_of(revenue.new_customers_yoy_change(store, DAY)) == [{"current_year": 1, "last_year": 0, "change": 0.0}]
+    assert rows_of(revenue.new_customers_yoy_change(make_store(), DAY)) == [{"current_year": 0, "last_year": 0, "change": 0.0}]
+
+
+def test_root_refunds_need_a_root_order(make_store):
+    store = make_store(orders=[
+        order(1, 1, "2000-05-01", status="refunded"), order(2, 1, "2000-05-02"), order(3, 1, "1999-05-02", parent=2),
+        order(4, 1, "2001-01-01"),
+    ])
+    assert rows_of(revenue.new_customer_refund_rates_by_year(store, DAY)) == [
+        {"year": 1999, "new_orders": 0, "refunded_orders": 0, "refund_rate": None},
+        {"year": 2000, "new_orders": 2, "refunded_orders": 1, "refund_rate": 50.0}]
+    assert len(rows_of(revenue.new_customer_refund_rates_by_year(store, DAY, "1999-01-01"))) == 3
+
+
+def test_zero_quantity_and_missing_customers_divide_to_null(make_store):
+    store = make_store(orders=[order(1, None, "2001-07-01")], order_items=[item(1, 5, 0, 12)])
+    assert rows_of(products.top_products(store, DAY))[0]["avg_price"] is None
+    assert rows_of(revenue.customer_engagement_metrics(store, DAY))[0]["orders_per_customer"] is None
+    assert rows_of(revenue.average_revenue_per_customer(store, DAY))[0]["avg_revenue_per_customer"] is None
+    assert rows_of(products.bundle_performance(store, DAY))[0]["revenue_per_customer"] is None
+
+
+def test_average_price_is_the_mean_of_line_prices(make_store):
+    store = make_store(
+        orders=[order(1, 1, "2001-07-01"), order(2, 1, "2001-07-02")],
+        order_items=[item(1, 5, 1, 10), item(1, 5, 10, 20), item(2, 5, 1, 30)],
+        products=[{"id": 5, "post_title": "Five"}],
+    )
+    assert rows_of(products.top_products(store, DAY)) == [{
+        "product_id": 5, "product_name": "Five", "order_count": 2, "units_sold": 12, "total_revenue": 60,
+        "avg_price": 14.0, "aov": 30.0}]
+
+
+def test_numbers_inside_text(spark):
+    texts = ["12abc", "", "x", None, " 3.5 ", "-2", "+.5x", "1e2", "7.", "."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(leading_number(F.col("t")))
+    assert [r[0] for r in df.collect()] == [12.0, 0.0, 0.0, None, 3.5, -2.0, 0.5, 100.0, 7.0, 0.0]
+
+
+def test_ties_round_away_from_zero(spark):
+    df = spark.createDataFrame([(1.005,), (-1.005,), (2.675,), (0.125,), (None,)], "x double").select(rounded(F.col("x")))
+    assert [r[0] for r in df.collect()] == [1.01, -1.01, 2.68, 0.13, None]
+
+
+def test_cost_text_and_repeated_attributes_weigh_sales(make_store):
+    meta = [(1, "_edd_bundled_products", "1"), (1, "_edd_bundled_products", None), (1, "_edd_product_cost", "2"),
+            (1, "_edd_product_cost", "bad"), (2, "_edd_product_cost", "12abc")]
+    store = make_store(
+        orders=[order(1, 1, "2001-07-01")],
+        order_items=[item(1, 1, 3, 10), item(1, 2, 2, 100), item(1, 9, 1, 7)],
+        products=[{"id": 1, "post_parent": 0}, {"id": 2, "post_parent": 4}],
+        product_meta=[{"post_id": p, "meta_key": k, "meta_value": v} for p, k, v in meta],
+    )
+    found = {r["segment_name"]: r for r in rows_of(financial.profitability_by_segment(store, DAY)) if "Product" in r["segment_type"]}
+    # product 1 repeats twice per bundle row (two cost rows); 9 is no product any more
+    assert (found["Bundle"]["revenue"], found["Bundle"]["estimated_cost"]) == (20.0, 6.0)
+    assert (found["Individual"]["revenue"], found["Individual"]["estimated_cost"]) == (20.0 + 100 + 7, 6.0 + 24)
+    types = {r["product_type"]: r for r in rows_of(products.bundle_performance(store, DAY))}
+    # here a parent makes a bundle too, and cost rows do not repeat anything
+    assert (types["Bundle"]["total_revenue"], types["Bundle"]["product_count"]) == (110, 2)
+    assert (types["Individual"]["total_revenue"], types["Individual"]["product_count"]) == (17, 2)
+
+
+def test_unknown_growth_is_a_dog_and_unknown_trend_the_end_of_life(make_store):
+    store = make_store(
+        orders=[order(1, 1, "2001-07-20"), order(2, 1, "2001-03-20"), order(3, 1, "2001-06-20"), order(4, 1, "2000-01-01")],
+        order_items=[item(1, 1, 1, 100), item(1, 2, 1, 10), item(2, 2, 1, 5), item(3, 3, 1, 10), item(1, 3, 1, 15), item(4, 4, 1, 8)],
+    )
+    quadrants = {r["product_id"]: r["quadrant"] for r in rows_of(products.product_performance_matrix(store, DAY))}
+    assert quadrants == {1: "Dog", 2: "Question Mark", 3: "Dog"}
+    stages = {r["product_id"]: r for r in rows_of(products.product_lifecycle_stages(store, DAY))}
+    assert stages[3]["lifecycle_stage"] == "Introduction" and stages[3]["months_active"] == 1
+    assert stages[2]["lifecycle_stage"] == "End of Life" and stages[2]["revenue_trend"] is None
+    assert 1 not in stages  # sold for less than a month
+    # revenue of the last month counts once per month with sales
+    assert stages[3]["current_revenue"] == 30
+    single = {r["product_id"]: r for r in rows_of(products.product_lifecycle_stages(store, DAY, dedupe=True))}
+    assert single[3]["current_revenue"] == 15 and single[3]["revenue_trend"] == stages[3]["revenue_trend"] == 50.0
+
+
+def test_history_is_strictly_earlier_and_needs_a_customer(make_store):
+    store = make_store(orders=[
+        order(1, 1, "2001-05-01T10:00:00", 10), order(2, 1, "2001-05-01T10:00:00", 30), order(3, 1, "2001-05-02", 20),
+        order(4, 1, "2001-05-03", 20.01), order(5, None, "2001-05-01", 5), order(6, None, "2001-05-09", 7),
+        order(7, 1, "2001-04-01", 99, "failed"), order(8, 1, "2001-05-04", 50, type="renewal"),
+    ])
+    (row,) = rows_of(revenue.revenue_breakdown(store, DAY))
+    assert float(row["new_customer_revenue"]) == 10 + 30 + 5 + 7
+    assert float(row["existing_customer_revenue"]) == 40.01
+    assert float(row["upgrade_revenue"]) == 20.01  # 20 is the mean of 10 and 30, not above it
+    assert float(row["renewal_revenue"]) == 50
+    # the range limits the series, not the history
+    (row,) = rows_of(revenue.revenue_breakdown(store, DAY, "2001-05-03", "2001-05-03"))
+    assert float(row["existing_customer_revenue"]) == 20.01 and float(row["new_customer_revenue"]) == 0
+
+
+def test_ties_at_the_limit_go_by_key(make_store):
+    people = [{"id": i, "date_created": "2001-01-01", "name": f"n{i}"} for i in (4, 2, 3, 1)]
+    store = make_store(customers=people, orders=[order(i, i, "2001-07-01", 10 if i > 1 else 5) for i in (1, 2, 3, 4)])
+    assert [r["customer_id"] for r in rows_of(customers.customer_lifetime_values(store, DAY, limit=2))] == [2, 3]
+    assert rows_of(customers.customer_lifetime_values(store, DAY, limit=0)) == []
+    assert len(rows_of(customers.customer_lifetime_values(store, DAY, limit=None))) == 4
+
+
+def test_renewal_window_clamps_to_month_end(make_store):
+    people = [
+        {"id": 1, "date_created": "2000-02-29T12:00:00", "purchase_count": 2, "purchase_value": 5},
+        {"id": 2, "date_created": "2000-01-31T12:00:00", "purchase_count": 1, "purchase_value": 846.99},
+        {"id": 3, "date_created": "2000-01-31T12:00:00", "purchase_count": 1, "purchase_value": 847},
+        {"id": 4, "date_created": "2000-01-31T12:00:00", "purchase_count": 0, "purchase_value": 0},
+        {"id": 5, "date_created": "2000-08-02T00:00:01", "purchase_count": 0, "purchase_value": 0},
+    ]
+    store = make_store(customers=people, orders=[
+        order(1, 1, "2001-02-28T11:59:59"), order(2, 1, "2001-02-28T12:00:00"),
+        order(3, 2, "2001-01-31T11:00:00"), order(4, 2, "2001-02-28T12:00:00"), order(5, 3, "2001-02-01"),
+        order(6, 4, "2001-02-28T11:59:59"),
+    ])
+    found = rows_of(subscriptions.renewal_rates_by_month(store, DAY, cohort_first_day="1999-01-01"))
+    assert [(r["month_year"], r["label"], r["renewal_rate"]) for r in found] == [
+        ("2001-01", "January 2001", 50.0), ("2001-02", "February 2001", 100.0)]
+    ranged = rows_of(subscriptions.renewal_rates_by_month(store, DAY, "2001-02-20", "2001-02-21", cohort_first_day="1999-01-01"))
+    assert [r["month_year"] for r in ranged] == ["2001-02"]
+    assert rows_of(subscriptions.renewal_rates_by_month(store, DAY)) == []  # signups before 2015 are not trusted
+
+
+def test_lag_steps_over_missing_months(make_store):
+    store = make_store(orders=[order(1, 1, "2001-01-05", 100), order(2, 1, "2001-02-05", 150), order(3, 1, "2001-05-05", 300)])
+    found = rows_of(revenue.revenue_velocity(store, DAY))
+    assert [(r["date"], r["previous_month_revenue"], r["growth_rate"], r["acceleration"]) for r in found] == [
+        ("2001-01-01", None, None, None), ("2001-02-01", 100, 50.0, None), ("2001-05-01", 150, 100.0, 100)]
+
+
+def test_means_are_over_days_with_sales(make_store):
+    store = make_store(
+        orders=[order(1, 1, "2001-07-30T08:00:00", 10), order(2, 1, "2001-07-30T18:00:00", 20), order(3, 1, "2001-07-05", 50),
+                order(4, 1, "2001-06-10", 7), order(5, 1, "2001-07-31", 99, type="renewal")],
+        order_items=[item(1, 1, 1, 10), item(2, 1, 3, 20), item(3, 1, 6, 50), item(4, 1, 2, 7)],
+        subscriptions=[{"id": 1, "customer_id": 1, "status": "active", "expiration": "2001-08-20", "recurring_amount": 8}],
+    )
+    rows = {r["category"]: r for r in rows_of(financial.cash_flow_projection(store, DAY))}
+    assert rows["Projected New Sales"]["next_30_days"] == 40.0 * 30
+    assert rows["Projected New Sales"]["next_60_days"] == pytest.approx(29.0 * 60)
+    assert rows["Confirmed Revenue"]["next_30_days"] == 8.0 and rows["At-Risk Revenue"]["next_90_days"] == 0.0
+    (demand,) = rows_of(predictive.demand_forecast(store, DAY))
+    assert (demand["avg_daily_sales"], demand["forecasted_units"], demand["trend_direction"]) == (4.0, 120.0, "Increasing")
+
+
+@pytest.mark.parametrize("people, cuts", [(4, [10, 20, 30, 40]), (10, None)])
+def test_spend_classes_use_rank_floor_n_q(make_store, people, cuts):
+    store = make_store(
+        customers=[{"id": i} for i in range(1, people + 1)],
+        orders=[order(i, i, "2001-01-01", 10 * i) for i in range(1, people + 1)],
+    )
+    found = {r["segment"]: r["customer_count"] for r in rows_of(customers.clv_distribution(store, DAY))}
+    ranked = [10 * i for i in range(1, people + 1)]
+    p = {q: ranked[int(people * q) // 100] for q in (90, 75, 50, 25)}
+    expected = {"Top 10%": 0, "75-90%": 0, "50-75%": 0, "25-50%": 0, "Bottom 25%": 0}
+    for v in ranked:
+        for q, label in zip((90, 75, 50, 25), expected):
+            if v >= p[q]:
+                expected[label] += 1
+                break
+        else:
+            expected["Bottom 25%"] += 1
+    assert found == {k: v for k, v in expected.items() if v}
+
+
+def test_zero_spenders_move_the_cuts_but_are_not_counted(make_store):
+    store = make_store(customers=[{"id": i} for i in range(1, 11)], orders=[order(1, 1, "2001-01-01", 5)])
+    assert rows_of(customers.clv_distribution(store, DAY)) == [
+        {"segment": "Top 10%", "customer_count": 1, "avg_clv": 5.0, "total_revenue": 5}]
+
+
+def test_concentration_quota_is_floored(make_store):
+    store = make_store(
+        customers=[{"id": i} for i in range(1, 31)],
+        orders=[order(i, i, "2001-01-01", 10 if i < 5 else 1) for i in range(1, 26)],
+        order_items=[item(i, i, 1, i) for i in range(1, 10)],
+    )
+    found = {r["segment"]: (r["count"], r["revenue"]) for r in rows_of(revenue.revenue_concentration(store, DAY))}
+    assert found == {"Top 10% Customers": (3, 30), "Top 20% Customers": (6, 42), "Top 10% Products": (0, None)}
+
+
+def test_refunded_subscriptions_leave_the_mrr(make_store):
+    subs = [(1, 10), (2, 20), (3, 30), (4, None), (5, 40)]
+    store = make_store(
+        subscriptions=[{"id": i, "parent_payment_id": p, "status": "active", "initial_amount": 12, "created": "2001-05-05"} for i, p in subs],
+        orders=[order(10, 1, "2001-05-05", status="refunded", parent=0), order(21, 1, "2001-05-05", status="refunded", parent=20), order(40, 1, "2001-05-05")],
+    )
+    assert rows_of(subscriptions.mrr_by_month(store, DAY)) == [
+        {"date": "2001-05-01", "label": "May 2001", "subscriptions": 3, "mrr": 3.0}]
+
+
+def test_current_mrr_breakdown(make_store):
+    def sub(i, status, amount, created, expiration):
+        return {"id": i, "status": status, "initial_amount": amount, "created": created, "expiration": expiration}
+
+    store = make_store(subscriptions=[
+        sub(1, "active", 12, "2001-08-01", "2002-08-01"), sub(2, "pending", 120, "2001-08-01", "2002-08-01"),
+        sub(3, "active", 24, "2001-07-31T23:59:59", "2002-08-01"), sub(4, "cancelled", 36, "2000-01-01", "2001-08-31T23:59:59"),
+        sub(5, "expired", 60, "2000-01-01", "2001-09-01"), sub(6, None, 600, "2001-08-01", "2001-08-05"),
+    ])
+    assert rows_of(subscriptions.current_mrr_breakdown(store, DAY)) == [
+        {"new_mrr": 1.0, "existing_mrr": 2.0, "churned_mrr": 3.0, "net_mrr": 0.0}]
+
+
+def test_channels_repeat_customers_by_unused_rows(make_store):
+    store = make_store(
+        customers=[{"id": 1, "email": "A@x", "date_created": "2001-01-01"}, {"id": 2, "email": "b@x", "date_created": "2001-01-01"},
+                   {"id": 3, "email": None, "date_created": "2001-01-01"}],
+        orders=[order(1, 1, "2001-02-01", 10), order(2, 2, "2001-02-01", 4, "failed")],
+        customermeta=[{"customer_id": 1, "meta_key": k} for k in "ab"],
+        customer_email_addresses=[{"customer_id": 1}] * 3,
+        notes=[{"comment_author_email": "a@X", "comment_type": "edd_payment_note", "content": c} for c in
+               ("x UTM_source=Google", "utm_source=google&referrer", "my referrer")]
+        + [{"comment_author_email": "b@x", "comment_type": "comment", "content": "utm_source=google"}],
+    )
+    found = {r["channel"]: (r["customer_count"], r["total_revenue"], r["avg_revenue_per_customer"]) for r in rows_of(customers.customer_acquisition_channels(store, DAY))}
+    assert found == {"Google": (1, 120, 10.0), "Referral": (1, 60, 10.0), "Direct/Unknown": (2, 0, 0.0)}
+    plain = {r["channel"]: r["total_revenue"] for r in rows_of(customers.customer_acquisition_channels(store, DAY, dedupe=True))}
+    assert plain == {"Google": 10, "Referral": 10, "Direct/Unknown": 0}
+
+
+def test_several_billing_addresses_repeat_revenue(make_store):
+    places = [(1, "billing", "US"), (1, "billing", "US"), (1, "billing", "FR"), (1, "shipping", "JP"), (2, "billing", None), (3, "billing", "Unknown")]
+    store = make_store(
+        customers=[{"id": i, "date_created": "2001-01-01"} for i in (1, 2, 3)],
+        orders=[order(1, 1, "2001-02-01", 10), order(2, 1, "2001-02-01", 20), order(3, 2, "2001-02-01", 40, "failed"), order(4, None, "2001-02-01", 80)],
+        order_addresses=[{"order_id": o, "type": t, "country": c} for o, t, c in places],
+    )
+    countries = {r["country"]: (r["customer_count"], r["total_orders"], r["total_revenue"]) for r in rows_of(customers.customers_by_country(store, DAY))}
+    assert countries == {"US": (1, 1, 20), "FR": (1, 1, 10), "Unknown": (3, 2, 20)}
+    regions = {r["region"]: (r["order_count"], r["customer_count"], r["total_revenue"], r["avg_order_value"]) for r in rows_of(revenue.revenue_by_region(store, DAY))}
+    assert regions == {"North America": (1, 1, 20, 10.0), "Europe": (1, 1, 10, 10.0), "Other": (2, 1, 100, 50.0)}
+
+
+def test_signup_after_purchase_counts_as_one_day(make_store):
+    store = make_store(
+        customers=[{"id": 1, "date_created": "2001-02-03"}, {"id": 2, "date_created": "2001-02-01T23:00:00"}, {"id": 3}],
+        orders=[order(1, 1, "2001-02-01"), order(2, 2, "2001-02-02T01:00:00"), order(3, 3, "2001-02-01")],
+    )
+    assert rows_of(customers.time_to_first_purchase(store, DAY)) == [{"time_segment": "1 Day", "customer_count": 2, "avg_days": -0.5}]
+
+
+def test_failed_orders_keep_a_customer_recent(make_store):
+    store = make_store(
+        customers=[{"id": 1}, {"id": 2}],
+        orders=[order(1, 1, "2000-01-01", 10), order(2, 1, "2001-08-01", 99, "failed"), order(3, 2, "2001-08-01", 5, "pending")],
+        subscriptions=[{"id": 1, "customer_id": 1, "status": "active"}, {"id": 2, "customer_id": 1, "status": "cancelled", "expiration": "2000-01-01"}],
+    )
+    (row,) = rows_of(predictive.churn_prediction_scores(store, DAY))
+    assert (row["days_since_last_order"], row["total_orders"], row["lifetime_value"]) == (1, 2, 10)
+    assert (row["recent_failed_payments"], row["active_subscriptions"], row["churn_risk"], row["churn_score"]) == (1, 1, "Medium", 55)
+
+
+def test_forecast_has_no_compounding_and_at_most_six_months(make_store):
+    store = make_store(orders=[order(1, 1, "2001-06-10", 100), order(2, 1, "2001-07-10", 150), order(3, 1, "2001-08-01", 75)])
+    found = rows_of(predictive.revenue_forecast(store, DAY, months=9))
+    assert [r["forecast_date"] for r in found] == [f"200{1 if m < 13 else 2}-{(m - 1) % 12 + 1:02d}-01" for m in range(9, 15)]
+    assert found[0]["forecast_label"] == "September 2001" and found[0]["confidence_level"] == "Low"
+    # growth +50 and -50: mean 0, population deviation 50
+    assert {(r["projected_revenue"], r["conservative_estimate"], r["optimistic_estimate"]) for r in found} == {(108.33, 54.17, 162.5)}
+    assert rows_of(predictive.revenue_forecast(store, DAY, months=0)) == []
+
+
+def test_health_indicators_grade_unknown_as_poor(make_store):
+    found = rows_of(financial.financial_health_indicators(make_store(), DAY))
+    assert [(r["metric"], r["value"], r["health_status"]) for r in found] == [
+        (m, None, "Poor") for m in ("Revenue Growth", "Churn Rate", "Customer Retention", "Refund Rate")]
+
+
+def test_run_rate_tells_none_from_old(make_store):
+    old = make_store(orders=[order(1, 1, "1999-01-01", 10)])
+    (row,) = rows_of(financial.revenue_run_rate(old, DAY))
+    assert (row["last_month_revenue"], row["annual_run_rate_3mo"], row["mrr_from_subscriptions"]) == (0.0, 0.0, None)
+    (row,) = rows_of(financial.revenue_run_rate(make_store(), DAY))
+    assert set(row.values()) == {None}
+
+
+def test_top_growth_products_are_chosen_on_all_time(make_store):
+    store = make_store(
+        orders=[order(1, 1, "1999-01-05"), order(2, 1, "2001-05-05")],
+        order_items=[item(1, 1, 1, 1000), item(2, 1, 2, 5), item(2, 2, 3, 500)],
+    )
+    found = rows_of(products.product_growth_trends(store, DAY, "2001-01-01", "2001-06-01", limit=1))
+    assert [(r["date"], r["product_id"], r["units_sold"], r["revenue"], r["order_count"]) for r in found] == [("2001-05-01", 1, 2, 5, 1)]

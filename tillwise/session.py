@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # cost is only paid when a hot key is really there.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Written timestamps carry statistics, so date ranges can skip row groups.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 

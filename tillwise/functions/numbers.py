@@ -34,6 +34,16 @@ def percent_change(current: Column, previous: Column, digits: int = 2) -> Column
     return percent(current - previous, previous, digits)
 
 
+def cents_of(amount: str) -> Column:
+    """A DECIMAL(18,2) amount as LONG cents: exact, and cheap to sum over windows."""
+    return (F.col(amount) * 100).cast("long")
+
+
+def money_of(cents: Column) -> Column:
+    """Cents back as money."""
+    return (cents.cast("decimal(36,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(38,2)")
+
+
 def leading_number(text: Column) -> Column:
     """Number at the start of a text, 0 when there is none, NULL for NULL."""
     digits = F.regexp_extract(text, r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1)

@@ -18,7 +18,7 @@ from tillwise.functions.dates import (
     within_months,
 )
 from tillwise.functions.labels import is_paid, region_of
-from tillwise.functions.numbers import percent, percent_change, rounded_ratio
+from tillwise.functions.numbers import cents_of, money_of, percent, percent_change, rounded_ratio
 from tillwise.plans.customers import signups
 from tillwise.plans.prefix import HEAVY_ROWS, running_before, split_heavy, value_counts, value_ranks
 from tillwise.plans.sales import (
@@ -203,47 +203,58 @@ def revenue_breakdown(
     existing revenue too. History always reaches back to the first order,
     whatever the range. Orders without a customer have no history.
     """
-    last = F.lit(True) if not end else is_within(F.col("date_created"), None, end)
-    paid = paid_orders(store).filter(last).select(
-        "customer_id", "type", "total", "date_created", F.unix_micros("date_created").alias("instant")
+    # Rows travel narrow: whole cents and one clock value.
+    paid = within(store.orders.filter(is_paid()), "date_created", None, end).select(
+        "customer_id",
+        "type",
+        cents_of("total").alias("cents"),
+        F.unix_micros("date_created").alias("instant"),
     )
-    # An order counts in its customer's history even where its total is unknown.
-    known = paid.filter(F.col("customer_id").isNotNull() & F.col("instant").isNotNull()).withColumns(
-        {"orders": F.lit(1).cast("long"), "priced": F.col("total").isNotNull().cast("long")}
+    has_history = F.col("customer_id").isNotNull() & F.col("instant").isNotNull()
+    light, hot = split_heavy(
+        paid.filter(has_history).withColumn("orders", F.lit(1).cast("long")), "customer_id", heavy_rows
     )
-    measures = {"orders": "sum", "priced": "sum", "total": "sum"}
-    light, hot = split_heavy(known, "customer_id", heavy_rows)
-    tracked = running_before(light, hot, "customer_id", "instant", measures, _HOUR).select(
+    # Equal orders of a busy customer at one moment travel as one row.
+    hot = hot.groupBy("customer_id", "type", "cents", "instant").agg(F.sum("orders").alias("orders"))
+
+    # An order counts in its customer's history even where its total is unknown.
+    def measured(df: DataFrame) -> DataFrame:
+        return df.withColumns(
+            {"priced": F.when(F.col("cents").isNotNull(), F.col("orders")), "amount": F.col("cents") * F.col("orders")}
+        )
+
+    measures = {"orders": "sum", "priced": "sum", "amount": "sum"}
+    tracked = running_before(measured(light), measured(hot), "customer_id", "instant", measures, _HOUR).select(
         "type",
-        "total",
-        "date_created",
-        (zero("orders_before") == 0).alias("is_first"),
+        "amount",
+        "instant",
+        F.col("orders_before").isNull().alias("is_first"),
         # total > mean of earlier, without dividing
-        (F.col("total") * F.col("priced_before") > F.col("total_before")).alias("is_upgrade"),
+        (F.col("cents").cast("decimal(19,0)") * F.col("priced_before") > F.col("amount_before")).alias("is_upgrade"),
     )
-    anonymous = paid.filter(F.col("customer_id").isNull() | F.col("instant").isNull()).select(
-        "type", "total", "date_created", F.lit(True).alias("is_first"), F.lit(False).alias("is_upgrade")
+    anonymous = paid.filter(~has_history).select(
+        "type", F.col("cents").alias("amount"), "instant",
+        F.lit(True).alias("is_first"), F.lit(False).alias("is_upgrade"),
     )
     sale = F.col("type") == fv.SALE
+    parts = {
+        "new_customer_revenue": sale & F.col("is_first"),
+        "existing_customer_revenue": sale & ~F.col("is_first"),
+        "renewal_revenue": F.col("type") == fv.RENEWAL,
+        "upgrade_revenue": sale & F.col("is_upgrade"),
+    }
     monthly = (
-        within(tracked.unionByName(anonymous), "date_created", start, end)
+        within(
+            tracked.unionByName(anonymous).withColumn("date_created", F.timestamp_micros("instant")),
+            "date_created", start, None,
+        )
         .groupBy(month_of("date_created").alias("month"))
         .agg(
-            sum_if(sale & F.col("is_first"), "total").alias("new_customer_revenue"),
-            sum_if(sale & ~F.col("is_first"), "total").alias("existing_customer_revenue"),
-            sum_if(F.col("type") == fv.RENEWAL, "total").alias("renewal_revenue"),
-            sum_if(sale & F.col("is_upgrade"), "total").alias("upgrade_revenue"),
-            F.sum("total").alias("total_revenue"),
+            *(money_of(F.sum(F.when(rule, F.col("amount")).otherwise(0))).alias(name) for name, rule in parts.items()),
+            money_of(F.sum("amount")).alias("total_revenue"),
         )
     )
-    return by_month_series(
-        monthly,
-        "new_customer_revenue",
-        "existing_customer_revenue",
-        "renewal_revenue",
-        "upgrade_revenue",
-        "total_revenue",
-    )
+    return by_month_series(monthly, *parts, "total_revenue")
 
 
 def _top_shares(values: DataFrame, value: str, quotas: DataFrame, segments: dict[str, str]) -> DataFrame:
@@ -338,55 +349,52 @@ def payment_method_performance(
 
 
 def _recovery_events(moments: DataFrame) -> DataFrame:
-    """Unfold order moments into additions and probes on one time line.
+    """Unfold orders into one time line per customer: what they add, what they ask.
+
+    Four sub-steps per microsecond: month starts come first, then payments, then
+    failures. A row sees strictly earlier steps only, so a payment does not see
+    a failure of the same moment and a failure does see such a payment.
 
-    The line has four sub-steps per microsecond: probes that must not see the
-    same moment come before it, probes that must see it come after it.
-    ``paid*`` and ``failed_at`` are the additions. A probe has a ``month``:
-    with ``sign`` it reads the payment totals, with ``since`` the latest failure.
+    A payment adds ``paid*`` and asks for the latest failure since ``since``, at
+    its own moment for its own month and at month starts for the months before
+    that its 30 days still touch. A failure adds ``failed_at`` and asks for the
+    payment totals, at its own moment (negative ``weight``) and 30 days later.
+    ``day`` is the failure's day, or the first day of the month asked about.
     """
-    moment = F.col("date_created")
-    micros, month = F.unix_micros(moment), month_of(moment)
-    day = F.unix_date(F.to_date(moment)).cast("long")
-    failed, paid = F.col("failed"), F.col("paid")
+    moment, n, failed = F.col("date_created"), F.col("n"), F.col("failed")
+    micros = F.unix_micros(moment)
+    day = F.unix_date(F.to_date(moment))
     fields = {
-        "instant": "long", "weight": "long", "sign": "long", "day": "long", "month": "timestamp", "since": "long",
-        "paid": "long", "paid_total": "decimal(18,2)", "paid_days": "long", "failed_at": "long",
+        "instant": "long", "day": "int", "weight": "long", "since": "long",
+        "paid": "long", "paid_cents": "long", "paid_days": "long", "failed_at": "long",
     }
 
-    def event(when: Column, **values: Column) -> Column:
-        made = F.struct(*(values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in fields.items()))
-        return F.when(when, made)
+    def event(**values: Column) -> Column:
+        return F.struct(*(values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields.items()))
 
-    # The payment totals of (t, t + 30 days] are those at its end minus those at its start.
-    window = [
-        event(failed > 0, instant=(micros + ahead) * 4 + 2, sign=F.lit(sign), weight=failed, day=day, month=month)
-        for sign, ahead in ((-1, 0), (1, _RECOVERY_WINDOW))
-    ]
-    # The 30 days before a payment touch up to three months; ask in each for the latest failure.
     opened = moment - F.expr("INTERVAL '30' DAY")
-    months = [month - F.expr(f"INTERVAL '{k}' MONTH") for k in range(3)]
-    ends = [moment, *months[:2]]
-    lookups = [
-        event(
-            (paid > 0) & (until > F.greatest(opened, first)),
-            instant=F.unix_micros(until) * 4,
-            weight=paid,
-            month=first,
-            since=F.unix_micros(F.greatest(opened, first)),
-        )
-        for first, until in zip(months, ends)
+    months = [month_of(moment) - F.expr(f"INTERVAL '{k}' MONTH") for k in range(3)]
+
+    def question(k: int) -> dict[str, Column]:
+        return {
+            "day": F.unix_date(F.to_date(months[k])),
+            "weight": n,
+            "since": F.unix_micros(F.greatest(opened, months[k])),
+        }
+
+    payment = event(
+        instant=micros * 4 + 1, paid=n, paid_cents=F.col("cents"), paid_days=n * day, **question(0)
+    )
+    failure = event(instant=micros * 4 + 2, day=day, weight=-n, failed_at=micros)
+    closing = event(instant=(micros + _RECOVERY_WINDOW) * 4 + 2, day=day, weight=n)
+    before = [
+        F.when(~failed & (opened < months[k - 1]), event(instant=F.unix_micros(months[k - 1]) * 4, **question(k)))
+        for k in (1, 2)
     ]
-    addition = event(
-        F.lit(True),
-        instant=micros * 4 + 1,
-        paid=paid,
-        paid_total=F.col("amount"),
-        paid_days=paid * day,
-        failed_at=F.when(failed > 0, micros),
+    events = F.array(
+        F.when(failed, failure).otherwise(payment), F.when(failed, closing).otherwise(before[0]), before[1]
     )
-    unfolded = moments.select("customer_id", F.inline(F.array(addition, *window, *lookups)))
-    return unfolded.filter(F.col("instant").isNotNull())
+    return moments.select("customer_id", F.inline(events)).filter(F.col("instant").isNotNull())
 
 
 def failed_payment_recovery(
@@ -405,43 +413,41 @@ def failed_payment_recovery(
     order recovers a month when the latest failure before the month ends (or
     before the order) is at most 30 days old.
     """
-    failed = within(store.orders.filter(F.col("status") == fv.FAILED), "date_created", start, end)
-    failures = failed.groupBy(month_of("date_created").alias("month")).agg(rows("failed_count"))
-
     failing = (F.col("status") == fv.FAILED) & is_within(F.col("date_created"), start, end)
-    moments = (
-        store.orders.filter(F.col("date_created").isNotNull() & (is_paid() | failing))
-        .withColumns({"failed": failing.cast("long"), "paid": (~failing).cast("long")})
-        .select("customer_id", "date_created", "failed", "paid", F.when(~failing, F.col("total")).alias("amount"))
+    relevant = store.orders.filter(is_paid() | failing)
+    failures = (
+        relevant.filter(~is_paid()).groupBy(month_of("date_created").alias("month")).agg(rows("failed_count"))
+    )
+    moments = relevant.filter(F.col("date_created").isNotNull()).select(
+        "customer_id",
+        "date_created",
+        (~is_paid()).alias("failed"),
+        F.lit(1).cast("long").alias("n"),
+        cents_of("total").alias("cents"),
     )
     light, hot = split_heavy(moments, "customer_id", heavy_rows)
     # One row per second for a busy customer: copies collapse before the shuffle.
-    hot = hot.groupBy("customer_id", "date_created").agg(
-        F.sum("failed").alias("failed"),
-        F.sum("paid").alias("paid"),
-        F.sum("amount").cast("decimal(18,2)").alias("amount"),
+    hot = hot.groupBy("customer_id", "date_created", "failed").agg(
+        F.sum("n").alias("n"), F.sum("cents").alias("cents")
     )
-    measures = {"paid": "sum", "paid_total": "sum", "paid_days": "sum", "failed_at": "max"}
+    measures = {"paid": "sum", "paid_cents": "sum", "paid_days": "sum", "failed_at": "max"}
     seen = running_before(
         _recovery_events(light), _recovery_events(hot), "customer_id", "instant", measures, 4 * _HOUR
     )
-    signed = F.col("sign") * F.col("weight")
-    recoveries = (
-        seen.filter(F.col("month").isNotNull())
-        .groupBy("month")
-        .agg(
-            F.sum(F.when(F.col("failed_at_before") >= F.col("since"), F.col("weight"))).alias("recovered"),
-            F.sum(signed * zero("paid_before")).alias("pairs"),
-            F.sum(signed * zero("paid_total_before")).alias("revenue"),
-            F.sum(signed * (zero("paid_days_before") - F.col("day") * zero("paid_before"))).alias("days"),
-        )
+    asks_failure = F.col("since").isNotNull()
+    weight = F.when(~asks_failure, F.col("weight"))
+    recoveries = seen.groupBy(month_of(F.date_from_unix_date("day")).alias("month")).agg(
+        F.sum(F.when(asks_failure & (F.col("failed_at_before") >= F.col("since")), F.col("weight"))).alias("recovered"),
+        F.sum(weight * zero("paid_before")).alias("pairs"),
+        money_of(F.sum(weight * zero("paid_cents_before").cast("decimal(19,0)"))).alias("revenue"),
+        F.sum(weight * (zero("paid_days_before") - F.col("day") * zero("paid_before"))).alias("days"),
     )
     monthly = (
         failures.join(recoveries, failures["month"].eqNullSafe(recoveries["month"]), "left")
         .drop(recoveries["month"])
         .withColumn("recovered_count", zero("recovered"))
         .withColumn("recovery_rate", percent(F.col("recovered_count"), F.col("failed_count")))
-        .withColumn("recovered_revenue", F.coalesce("revenue", F.lit(0).cast("decimal(28,2)")))
+        .withColumn("recovered_revenue", F.coalesce("revenue", F.lit(0).cast("decimal(38,2)")))
         .withColumn("avg_days_to_recovery", rounded_ratio(F.col("days"), F.col("pairs"), 1))
     )
     return by_month_series(

@@ -132,16 +132,22 @@ def running_before(
 
     ``instant`` is a LONG that orders the rows of a key; rows at the same
     instant do not see each other. Normal keys (``light``) take one window.
-    Heavy keys (``hot``) are first totalled per instant (copies collapse before
-    any shuffle), then per block of ``block_width`` instants, and the totals are
-    joined back to the rows, a join that may be split.
+    Heavy keys (``hot``) take one window per block of ``block_width`` instants,
+    plus the totals of the key's earlier blocks. The caller has collapsed copies
+    among the hot rows, so that the rows of one block are few.
     """
-    window = Window.partitionBy(key).orderBy(instant).rangeBetween(Window.unboundedPreceding, -1)
+    everything = (Window.unboundedPreceding, -1)
+    window = Window.partitionBy(key).orderBy(instant).rangeBetween(*everything)
     light = light.withColumns({f"{m}_before": _COMBINE[kind](m).over(window) for m, kind in measures.items()})
 
-    cells = hot.groupBy(key, F.floor(F.col(instant) / block_width).alias("block"), instant).agg(
-        *_aggregates(measures)
+    hot = hot.withColumn("block", F.floor(F.col(instant) / block_width))
+    blocks = prefix_before(hot.groupBy(key, "block").agg(*_aggregates(measures)), [key], ["block"], measures)
+    blocks = blocks.select(key, "block", *(F.col(f"{m}_before").alias(f"{m}_earlier") for m in measures))
+    window = Window.partitionBy(key, "block").orderBy(instant).rangeBetween(*everything)
+    hot = hot.join(blocks, [key, "block"]).withColumns(
+        {
+            f"{m}_before": _merge(kind, F.col(f"{m}_earlier"), _COMBINE[kind](m).over(window))
+            for m, kind in measures.items()
+        }
     )
-    history = prefix_before(cells, [key], ["block", instant], measures)
-    hot = hot.join(history.select(key, instant, *(f"{m}_before" for m in measures)), [key, instant])
-    return light.unionByName(hot)
+    return light.unionByName(hot.select(*light.columns))

@@ -740,7 +740,7 @@ def quick_wins():
     rules = [
         ("revenue_change > 10", "Strong Revenue Growth", f"'Revenue up ' || {tenth('revenue_change')} || '% vs previous period'"),
         ("mrr_growth > 5", "MRR Expanding", f"'MRR growing ' || {tenth('mrr_growth')} || '% month-over-month'"),
-        ("churn_rate < 5", "Low Churn Rate", f"'Customer retention at ' || {tenth('100 - churn_rate')} || '%'"),
+        ("coalesce(churn_rate, 0) < 5", "Low Churn Rate", f"'Customer retention at ' || {tenth('100 - coalesce(churn_rate, 0)')} || '%'"),
         ("new_customers > 50", "Customer Acquisition", "CAST(new_customers AS VARCHAR) || ' new customers this period'"),
     ]
     parts = [f"SELECT period, '{title}' AS title, {text} AS description FROM fx_periods WHERE {rule}" for rule, title, text in rules]

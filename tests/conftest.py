@@ -23,7 +23,7 @@ def spark():
         "tillwise-tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.driver.host": "localhost",

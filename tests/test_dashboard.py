@@ -46,7 +46,8 @@ def test_quick_wins(periods):
         ("Low Churn Rate", "Customer retention at 99.0%"),
         ("Customer Acquisition", "60 new customers this period"),
     ]
-    assert found["none"] == found["quiet"] == found["worst"] == [
+    assert found["none"] == [("Low Churn Rate", "Customer retention at 100.0%")]
+    assert found["quiet"] == found["worst"] == [
         ("Steady Performance", "Continue monitoring key metrics for opportunities")]
 
 

@@ -369,14 +369,17 @@ def _one_decimal(value: Column) -> Column:
 
 
 def quick_wins(periods: DataFrame) -> DataFrame:
-    """Good news per period: revenue, MRR, churn and signups; a default line if none."""
+    """Good news per period: revenue, MRR, churn and signups; a default line if none.
+
+    Unknown churn counts as no churn, as it does in the health score.
+    """
     # The message texts.
 
     def win(title: str, *text: Column | str) -> dict[str, Column]:
         parts = [F.lit(t) if isinstance(t, str) else t for t in text]
         return {"title": F.lit(title), "description": F.concat(*parts)}
 
-    revenue, mrr, churn = F.col("revenue_change"), F.col("mrr_growth"), F.col("churn_rate")
+    revenue, mrr, churn = F.col("revenue_change"), F.col("mrr_growth"), _number("churn_rate")
     people = F.col("new_customers")
     rules = [
         (revenue > 10, win("Strong Revenue Growth", "Revenue up ", _one_decimal(revenue), "% vs previous period")),

@@ -114,3 +114,36 @@ def test_counting_orders_needs_no_further_shuffle(stored):
     exchanges = re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (\w+\([^,)]*)", plan)
     assert sum(e.startswith("hashpartitioning(order_id") for e in exchanges) == 2
     assert sum(e.startswith("hashpartitioning(product_id") for e in exchanges) == 3
+
+
+SKEW_SETTINGS = {
+    "spark.sql.shuffle.partitions": "8",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+}
+
+
+@pytest.mark.parametrize("name", ["top_products", "product_lifecycle_stages", "bundle_performance"])
+def test_hot_order_is_split(stored, spark, tmp_path, name):
+    """A third of all items in one order: the join is split, the result stays the same."""
+    items = spark.range(0, 60_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 4 ELSE id % 1500 END AS order_id", "xxhash64(id) % 90 + 90 AS product_id",
+        "CAST(id % 5 AS INT) AS quantity", "CAST(id % 700 AS DECIMAL(18,2)) AS total",
+    )
+    items.write.parquet(f"{tmp_path}/items")
+    store = stored.with_tables(order_items=spark.read.parquet(f"{tmp_path}/items"))
+    plain = OPERATORS[name](store, AS_OF).collect()
+    before = {key: spark.conf.get(key, None) for key in SKEW_SETTINGS}
+    try:
+        for key, value in SKEW_SETTINGS.items():
+            spark.conf.set(key, value)
+        report = OPERATORS[name](store, AS_OF)
+        found = report.collect()
+        final = plan_of(report).split("== Initial Plan ==")[0]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert found == plain
+    assert "SortMergeJoin(skew=true)" in final

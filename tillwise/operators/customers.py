@@ -26,7 +26,7 @@ from tillwise.functions.labels import (
     recency_score,
     rfm_segment,
 )
-from tillwise.functions.numbers import percent, rounded_ratio
+from tillwise.functions.numbers import cents_of, money_of, money_sum, percent, rounded_ratio
 from tillwise.plans.customers import (
     known_customers,
     order_history,
@@ -63,7 +63,7 @@ def customer_lifetime_values(
     """Top customers by paid revenue; order count and last order cover every status."""
     paid_total = F.when(is_paid(), F.col("total"))
     history = order_history(
-        store.orders, rounded_ratio(F.sum(paid_total), F.count(paid_total)).alias("avg_order_value")
+        store.orders, rounded_ratio(money_sum("total", is_paid()), F.count(paid_total)).alias("avg_order_value")
     )
     people = signups(store, start, end).withColumnRenamed("id", "customer_id")
     return (
@@ -375,13 +375,13 @@ def customers_by_country(
     orders = store.orders.filter(F.col("customer_id").isNotNull()).select(
         F.col("id").alias("order_id"),
         "customer_id",
-        F.when(is_paid(), F.col("total")).otherwise(F.lit(0).cast("decimal(18,2)")).alias("paid"),
+        F.when(is_paid(), cents_of("total")).otherwise(0).alias("cents"),
     )
     countries = billing_places(store, F.coalesce("country", F.lit("Unknown")))
     per_customer = (
         orders.join(countries, "order_id", "left")
         .groupBy("customer_id", F.coalesce("place", F.lit("Unknown")).alias("country"))
-        .agg(rows("orders"), F.sum(F.col("paid") * F.coalesce("copies", F.lit(1))).alias("revenue"))
+        .agg(rows("orders"), F.sum(F.col("cents") * F.coalesce("copies", F.lit(1))).alias("cents"))
     )
     people = signups(store, start, end).select(F.col("id").alias("customer_id"))
     return (
@@ -390,7 +390,7 @@ def customers_by_country(
         .agg(
             rows("customer_count"),
             zero(F.sum("orders")).alias("total_orders"),
-            F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(38,2)")).alias("total_revenue"),
+            money_of(zero(F.sum("cents")), 38).alias("total_revenue"),
         )
         .transform(head, limit, F.desc("customer_count"), "country")
     )

@@ -16,7 +16,7 @@ from tillwise.functions.dates import (
     shift_months,
 )
 from tillwise.functions.labels import first_match, graded, is_paid
-from tillwise.functions.numbers import leading_number, percent, percent_change, ratio, rounded, rounded_ratio
+from tillwise.functions.numbers import leading_number, money_sum, percent, percent_change, ratio, rounded, rounded_ratio
 from tillwise.operators.products import bundle_marks, meta_rows, split_by_type
 from tillwise.plans.sales import count_if, paid_orders, rows, sold_items, sum_if
 from tillwise.sources.store import Store
@@ -77,7 +77,7 @@ def cash_flow_projection(store: Store, as_of: Day, days: int = 90) -> DataFrame:
         paid_orders(store)
         .filter((F.col("type") == fv.SALE) & (F.col("date_created") >= at(shift_days(today, -90))))
         .groupBy(F.to_date("date_created").alias("day"))
-        .agg(F.sum("total").alias("revenue"))
+        .agg(money_sum("total").alias("revenue"))
     )
 
     def projected(n: int):
@@ -120,7 +120,7 @@ def profitability_by_segment(store: Store, as_of: Day, start: Day = None, end: D
     sold = (
         sold_items(store, start, end)
         .groupBy("product_id")
-        .agg(F.sum("quantity").alias("units"), F.sum("item_total").alias("earned"))
+        .agg(F.sum("quantity").alias("units"), money_sum("item_total").alias("earned"))
         .join(dims, "product_id", "left")
     )
     revenue = F.sum(F.col("weight") * F.coalesce("cost_rows", F.lit(1)) * F.col("earned"))
@@ -155,7 +155,7 @@ def profitability_by_segment(store: Store, as_of: Day, start: Day = None, end: D
         .agg(
             rows("orders"),
             count_if(listed).alias("listed"),
-            F.sum(F.when(listed, F.col("total"))).alias("earned"),
+            money_sum("total", listed).alias("earned"),
         )
         .filter(F.col("listed") > 0)
         .groupBy(loyalty.alias("segment_name"))
@@ -187,7 +187,7 @@ def ltv_cac_ratio(store: Store, as_of: Day) -> DataFrame:
     ltv = spent.join(
         store.customers.select(F.col("id").alias("customer_id")), "customer_id", "left_semi"
     ).agg(F.sum("spent").alias("spent"), rows("customer_count"))
-    revenue = paid_orders(store).filter(F.col("date_created") >= since).agg(F.sum("total").alias("year_revenue"))
+    revenue = paid_orders(store).filter(F.col("date_created") >= since).agg(money_sum("total").alias("year_revenue"))
     fresh = store.customers.filter(F.col("date_created") >= since).agg(rows("new_customers"))
     mean = ratio(F.col("spent"), F.col("customer_count"))
     cac = ratio(F.col("year_revenue"), F.col("new_customers"))
@@ -212,11 +212,11 @@ def revenue_run_rate(store: Store, as_of: Day) -> DataFrame:
     today = required_day(as_of)
     one, three = at(shift_months(today, -1)), at(shift_months(today, -3))
     recent = paid_orders(store).filter(F.col("date_created") >= three).agg(
-        sum_if(F.col("date_created") >= one, "total").alias("month"), F.sum("total").alias("quarter")
+        sum_if(F.col("date_created") >= one, "total").alias("month"), money_sum("total").alias("quarter")
     )
     ever = paid_orders(store).limit(1).agg(rows("ever"))
     subs = store.subscriptions.filter(F.col("status") == fv.ACTIVE).agg(
-        F.sum("recurring_amount").alias("mrr_from_subscriptions")
+        money_sum("recurring_amount").alias("mrr_from_subscriptions")
     )
 
     def known(amount):
@@ -245,12 +245,12 @@ def financial_health_indicators(store: Store, as_of: Day) -> DataFrame:
     """
     today = required_day(as_of)
     one, two = at(shift_months(today, -1)), at(shift_months(today, -2))
-    created, status, total = F.col("date_created"), F.col("status"), F.col("total")
+    created, status = F.col("date_created"), F.col("status")
     paid, recent = is_paid(), created >= one
 
     orders = store.orders.filter((created >= two) & (paid | (status == fv.REFUNDED))).agg(
-        F.sum(F.when(paid & recent, total)).alias("this_month"),
-        F.sum(F.when(paid & ~recent, total)).alias("month_before"),
+        money_sum("total", paid & recent).alias("this_month"),
+        money_sum("total", paid & ~recent).alias("month_before"),
         count_if(recent & (status == fv.REFUNDED)).alias("refunds"),
         count_if(recent).alias("settled"),
     )

@@ -17,7 +17,7 @@ from tillwise.functions.dates import (
     shift_months,
 )
 from tillwise.functions.labels import first_match, graded, is_paid
-from tillwise.functions.numbers import percent_change, ratio, rounded, rounded_ratio
+from tillwise.functions.numbers import money_of, money_sum, percent_change, ratio, rounded, rounded_ratio
 from tillwise.plans.customers import known_customers, order_history, subscription_counts
 from tillwise.plans.sales import count_if, monthly_customer_sales, paid_orders, rows, sold_items, head, with_titles, zero
 from tillwise.sources.store import Store
@@ -80,7 +80,7 @@ def revenue_forecast(store: Store, as_of: Day, months: int = 6) -> DataFrame:
         paid_orders(store)
         .filter(F.col("date_created") >= at(shift_months(today, -12)))
         .groupBy(month_of("date_created").alias("month"))
-        .agg(F.sum("total").alias("revenue"))
+        .agg(money_sum("total").alias("revenue"))
     )
     previous = F.lag("revenue").over(Window.orderBy("month"))
     growth = 100.0 * ratio(F.col("revenue") - previous, previous)
@@ -134,7 +134,7 @@ def demand_forecast(store: Store, as_of: Day, days: int = 30, limit: int | None
     daily = (
         sold_items(store, shift_days(today, -90), None, "date_created")
         .groupBy("product_id", F.to_date("date_created").alias("day"))
-        .agg(F.sum("quantity").alias("units"), F.sum("item_total").alias("revenue"))
+        .agg(F.sum("quantity").alias("units"), money_sum("item_total").alias("revenue"))
     )
     latest = F.col("day") >= F.lit(shift_days(today, -30))
     earlier = (F.col("day") >= F.lit(shift_days(today, -60))) & ~latest
@@ -185,7 +185,7 @@ def seasonal_patterns(store: Store, as_of: Day) -> DataFrame:
         monthly_customer_sales(store, since)
         .groupBy("month")
         .agg(
-            F.sum("revenue").cast("double").alias("revenue"),
+            money_of(F.sum("cents")).cast("double").alias("revenue"),
             F.sum("orders").alias("orders"),
             F.count("customer_id").alias("customers"),
         )

@@ -17,7 +17,7 @@ from tillwise.functions.dates import (
     shift_months,
 )
 from tillwise.functions.labels import first_match, position
-from tillwise.functions.numbers import percent_change, ratio, rounded_ratio
+from tillwise.functions.numbers import cents_of, money_of, money_sum, percent_change, ratio, rounded_ratio
 from tillwise.plans.sales import paid_orders, rows, sold_items, sum_if, head, with_titles, zero
 from tillwise.sources.store import Store
 
@@ -46,7 +46,7 @@ def top_products(
         .groupBy("product_id", "order_id")
         .agg(
             F.sum("quantity").alias("units"),
-            F.sum("item_total").alias("revenue"),
+            F.sum(cents_of("item_total")).alias("cents"),
             F.sum(price).alias("prices"),
             F.count(price).alias("priced"),
         )
@@ -54,9 +54,9 @@ def top_products(
         .agg(
             rows("order_count"),
             F.sum("units").alias("units_sold"),
-            F.sum("revenue").alias("total_revenue"),
+            money_of(F.sum("cents"), 38).alias("total_revenue"),
             rounded_ratio(F.sum("prices"), F.sum("priced")).alias("avg_price"),
-            rounded_ratio(F.sum("revenue"), F.count(F.lit(1))).alias("aov"),
+            rounded_ratio(money_of(F.sum("cents")), F.count(F.lit(1))).alias("aov"),
         )
         .transform(head, limit, F.desc("total_revenue"), "product_id")
     )
@@ -80,19 +80,19 @@ def product_growth_trends(
     monthly = (
         sold_items(store, None, None, "date_created")
         .groupBy("product_id", "order_id", "date_created")
-        .agg(F.sum("quantity").alias("units"), F.sum("item_total").alias("revenue"))
+        .agg(F.sum("quantity").alias("units"), F.sum(cents_of("item_total")).alias("cents"))
         .groupBy("product_id", month_of("date_created").alias("month"))
         .agg(
-            F.sum("revenue").alias("all_revenue"),
+            F.sum("cents").alias("all_cents"),
             F.sum(F.when(listed, F.col("units"))).alias("units_sold"),
-            F.sum(F.when(listed, F.col("revenue"))).alias("revenue"),
+            money_of(F.sum(F.when(listed, F.col("cents"))), 38).alias("revenue"),
             F.count(F.when(listed, F.lit(1))).alias("order_count"),
         )
     )
     top = (
         monthly.groupBy("product_id")
         .agg(
-            F.sum("all_revenue").alias("ranking"),
+            F.sum("all_cents").alias("ranking"),
             F.collect_list(F.struct("month", "units_sold", "revenue", "order_count")).alias("months"),
         )
         .transform(head, limit, F.desc("ranking"), "product_id")
@@ -133,7 +133,7 @@ def product_performance_matrix(
         sold_items(store, six, None, "date_created")
         .groupBy("product_id")
         .agg(
-            F.sum(F.when(sold_at >= at(three), F.col("item_total"))).alias("now"),
+            money_sum("item_total", sold_at >= at(three)).alias("now"),
             current.alias("current"),
             previous.alias("previous"),
         )
@@ -231,7 +231,7 @@ def bundle_performance(store: Store, as_of: Day, start: Day = None, end: Day = N
         split_by_type(
             sold_items(store, start, end)
             .groupBy("product_id")
-            .agg(rows("lines"), F.sum("quantity").alias("units"), F.sum("item_total").alias("revenue"))
+            .agg(rows("lines"), F.sum("quantity").alias("units"), money_sum("item_total").alias("revenue"))
             .join(marks, "product_id", "left"),
             child_is_bundle=True,
         )
@@ -295,7 +295,7 @@ def product_lifecycle_stages(store: Store, as_of: Day, dedupe: bool = False) ->
         sold_items(store, None, None, "date_created")
         .groupBy("product_id", month_of("date_created").alias("month"))
         .agg(
-            F.sum("item_total").alias("revenue"),
+            money_sum("item_total").alias("revenue"),
             sum_if(sold_at >= at(one), "item_total").alias("current"),
             sum_if((sold_at >= at(two)) & (sold_at < at(one)), "item_total").alias("previous"),
             F.min("date_created").alias("first_sale"),

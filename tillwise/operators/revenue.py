@@ -18,7 +18,7 @@ from tillwise.functions.dates import (
     within_months,
 )
 from tillwise.functions.labels import is_paid, region_of
-from tillwise.functions.numbers import cents_of, money_of, percent, percent_change, rounded_ratio
+from tillwise.functions.numbers import cents_of, money_of, money_sum, percent, percent_change, rounded_ratio
 from tillwise.plans.customers import signups
 from tillwise.plans.prefix import HEAVY_ROWS, running_before, split_heavy, value_counts, value_ranks
 from tillwise.plans.sales import (
@@ -83,7 +83,7 @@ def revenue_by_month(store: Store, as_of: Day, start: Day = None, end: Day = Non
         .agg(
             sum_if(kind == fv.SALE, "total").alias("new_revenue"),
             sum_if(kind == fv.RENEWAL, "total").alias("recurring_revenue"),
-            F.sum("total").alias("total_revenue"),
+            money_sum("total").alias("total_revenue"),
         )
     )
     return by_month_series(monthly, "new_revenue", "recurring_revenue", "total_revenue")
@@ -93,7 +93,7 @@ def refunded_revenue_by_month(store: Store, as_of: Day, start: Day = None, end:
     """Absolute value of the refunded sum per month."""
     refunds = within(store.orders.filter(F.col("status") == fv.REFUNDED), "date_created", start, end)
     monthly = refunds.groupBy(month_of("date_created").alias("month")).agg(
-        F.abs(F.sum("total")).alias("value")
+        F.abs(money_sum("total")).alias("value")
     )
     return by_month_series(monthly, "value")
 
@@ -150,7 +150,7 @@ def customer_engagement_metrics(
         .agg(
             F.count("customer_id").alias("active_customers"),
             F.sum("orders").alias("total_orders"),
-            F.sum("revenue").alias("revenue"),
+            money_of(F.sum("cents")).alias("revenue"),
         )
         .withColumn("avg_order_value", rounded_ratio(F.col("revenue"), F.col("total_orders")))
         .withColumn("orders_per_customer", rounded_ratio(F.col("total_orders"), F.col("active_customers")))
@@ -176,14 +176,14 @@ def revenue_by_region(store: Store, as_of: Day, start: Day = None, end: Day = No
         .agg(
             rows("orders"),
             F.sum(F.when(F.col("total").isNotNull(), copies)).alias("copies"),
-            F.sum(F.col("total") * copies).alias("revenue"),
+            F.sum(cents_of("total") * copies).alias("cents"),
         )
         .groupBy("region")
         .agg(
             F.sum("orders").alias("order_count"),
             F.count("customer_id").alias("customer_count"),
-            F.sum("revenue").alias("total_revenue"),
-            rounded_ratio(F.sum("revenue"), F.sum("copies")).alias("avg_order_value"),
+            money_of(F.sum("cents"), 38).alias("total_revenue"),
+            rounded_ratio(money_of(F.sum("cents")), F.sum("copies")).alias("avg_order_value"),
         )
         .orderBy(F.desc("total_revenue"), "region")
     )
@@ -297,7 +297,7 @@ def revenue_concentration(store: Store, as_of: Day) -> DataFrame:
     spent = with_orders.join(
         store.customers.select(F.col("id").alias("customer_id")), "customer_id", "left_semi"
     )
-    sold = sold_items(store).groupBy("product_id").agg(F.sum("item_total").alias("earned"))
+    sold = sold_items(store).groupBy("product_id").agg(money_sum("item_total").alias("earned"))
     distinct_products = store.order_items.groupBy("product_id").agg(rows())
 
     def quota(counted: str, share: str) -> Column:
@@ -309,7 +309,7 @@ def revenue_concentration(store: Store, as_of: Day) -> DataFrame:
     parts = _top_shares(
         spent, "spent", customers, {"tenth": "Top 10% Customers", "fifth": "Top 20% Customers"}
     ).unionByName(_top_shares(sold, "earned", products, {"tenth": "Top 10% Products"}))
-    total = paid_orders(store).agg(F.sum("total").alias("all_revenue"))
+    total = paid_orders(store).agg(money_sum("total").alias("all_revenue"))
     return parts.crossJoin(F.broadcast(total)).select(
         "segment", "count", "revenue", percent(F.col("revenue"), F.col("all_revenue")).alias("revenue_percentage")
     )
@@ -322,7 +322,7 @@ def average_revenue_per_customer(
     monthly = (
         monthly_customer_sales(store, start, end)
         .groupBy("month")
-        .agg(rounded_ratio(F.sum("revenue"), F.count("customer_id")).alias("avg_revenue_per_customer"))
+        .agg(rounded_ratio(money_of(F.sum("cents")), F.count("customer_id")).alias("avg_revenue_per_customer"))
     )
     return by_month_series(monthly, "avg_revenue_per_customer")
 
@@ -342,7 +342,7 @@ def payment_method_performance(
             count_if(F.col("status") == fv.FAILED).alias("failed_payments"),
             percent(count_if(paid), F.count(F.lit(1))).alias("success_rate"),
             sum_if(paid, "total").alias("total_revenue"),
-            rounded_ratio(F.sum(paid_total), F.count(paid_total)).alias("avg_transaction_value"),
+            rounded_ratio(money_sum("total", paid), F.count(paid_total)).alias("avg_transaction_value"),
         )
         .orderBy(F.desc("total_revenue"), "payment_method")
     )
@@ -439,7 +439,7 @@ def failed_payment_recovery(
     recoveries = seen.groupBy(month_of(F.date_from_unix_date("day")).alias("month")).agg(
         F.sum(F.when(asks_failure & (F.col("failed_at_before") >= F.col("since")), F.col("weight"))).alias("recovered"),
         F.sum(weight * zero("paid_before")).alias("pairs"),
-        money_of(F.sum(weight * zero("paid_cents_before").cast("decimal(19,0)"))).alias("revenue"),
+        money_of(F.sum(weight * zero("paid_cents_before").cast("decimal(19,0)")), 38).alias("revenue"),
         F.sum(weight * (zero("paid_days_before") - F.col("day") * zero("paid_before"))).alias("days"),
     )
     monthly = (
@@ -469,7 +469,7 @@ def revenue_velocity(store: Store, as_of: Day, start: Day = None, end: Day = Non
     monthly = (
         paid_orders(store, start, end)
         .groupBy(month_of("date_created").alias("month"))
-        .agg(F.sum("total").alias("monthly_revenue"))
+        .agg(money_sum("total").alias("monthly_revenue"))
     )
     order = Window.orderBy("month")
     revenue, previous = F.col("monthly_revenue"), F.col("previous_month_revenue")

@@ -22,7 +22,7 @@ from tillwise.functions.dates import (
     within_months,
 )
 from tillwise.functions.labels import is_paid
-from tillwise.functions.numbers import percent, rounded, rounded_ratio
+from tillwise.functions.numbers import money_sum, percent, rounded, rounded_ratio
 from tillwise.plans.sales import rows, head, zero
 from tillwise.sources.store import Store
 
@@ -56,7 +56,7 @@ def mrr_by_month(store: Store, as_of: Day, start: Day = None, end: Day = None) -
         .groupBy(month_of("created").alias("month"))
         .agg(
             rows("subscriptions"),
-            rounded_ratio(F.sum("initial_amount"), F.lit(12)).alias("mrr"),
+            rounded_ratio(money_sum("initial_amount"), F.lit(12)).alias("mrr"),
         )
     )
     return by_month_series(monthly, "subscriptions", "mrr")
@@ -69,7 +69,7 @@ def current_mrr_breakdown(store: Store, as_of: Day) -> DataFrame:
     status, created, expires = F.col("status"), F.col("created"), F.col("expiration")
 
     def monthly(condition):
-        total = rounded_ratio(F.sum(F.when(condition, F.col("initial_amount"))), F.lit(12))
+        total = rounded_ratio(money_sum("initial_amount", condition), F.lit(12))
         return F.coalesce(total, F.lit(0.0))
 
     return (
@@ -143,7 +143,7 @@ def upcoming_renewals(store: Store, as_of: Day, days: int = 30) -> DataFrame:
     due = within(store.subscriptions.filter(F.col("status") == fv.ACTIVE), "expiration", today, until)
     return due.agg(
         rows("count"),
-        F.coalesce(F.sum("recurring_amount"), F.lit(0).cast("decimal(28,2)")).alias("estimated_revenue"),
+        F.coalesce(money_sum("recurring_amount"), F.lit(0).cast("decimal(28,2)")).alias("estimated_revenue"),
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tillwise.functions import fixed_values as fv
 from tillwise.functions.dates import Day, month_of, non_negative, within
 from tillwise.functions.labels import is_paid
+from tillwise.functions.numbers import cents_of, money_of
 from tillwise.sources.store import Store
 
 
@@ -31,10 +32,9 @@ def zero(column: str | Column) -> Column:
     return F.coalesce(column, F.lit(0))
 
 
-def sum_if(condition: Column, value: str | Column) -> Column:
-    """Sum of the values that satisfy a condition; 0 if none does."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.sum(F.when(condition, value).otherwise(F.lit(0).cast("decimal(18,2)")))
+def sum_if(condition: Column, amount: str) -> Column:
+    """Sum of the amounts that satisfy a condition; 0 if none of some rows does."""
+    return money_of(F.sum(F.when(condition, cents_of(amount)).otherwise(0)))
 
 
 def count_if(condition: Column) -> Column:
@@ -42,11 +42,11 @@ def count_if(condition: Column) -> Column:
 
 
 def monthly_customer_sales(store: Store, start: Day = None, end: Day = None) -> DataFrame:
-    """Paid orders per month and customer: ``month, customer_id, orders, revenue``."""
+    """Paid orders per month and customer: ``month, customer_id, orders, cents``."""
     return (
         paid_orders(store, start, end)
         .groupBy(month_of("date_created").alias("month"), "customer_id")
-        .agg(rows("orders"), F.sum("total").alias("revenue"))
+        .agg(rows("orders"), F.sum(cents_of("total")).alias("cents"))
     )
 
 

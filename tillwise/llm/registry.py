@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.llm import check_sql
+from tillwise.llm.bpe_automaton import encoding_digests
 from tillwise.llm.exact_dedup import copy_groups
+from tillwise.llm.sharding import shard_documents
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -18,8 +21,18 @@ def op1_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return copy_groups(_table(spark, directory, "documents"))
 
 
+def op3_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    return shard_documents(_table(spark, directory, "documents"))
+
+
+def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return encoding_digests(_table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_sharding": op3_sharding,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -11,6 +11,7 @@ from tillwise.llm import check_sql
 from tillwise.llm.bpe_automaton import encoding_digests
 from tillwise.llm.exact_dedup import copy_groups
 from tillwise.llm.sharding import shard_documents
+from tillwise.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op3_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return shard_documents(_table(spark, directory, "documents"))
 
 
+def op8_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates(_table(spark, directory, "documents"))
+
+
 def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return encoding_digests(_table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,6 +37,7 @@ def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.llm import check_sql
 from tillwise.llm.bpe_automaton import encoding_digests
+from tillwise.llm.decontaminate import find_overlaps
 from tillwise.llm.exact_dedup import copy_groups
 from tillwise.llm.sharding import shard_documents
 from tillwise.llm.simhash import near_duplicates
@@ -30,6 +31,10 @@ def op8_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(_table(spark, directory, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
+    return find_overlaps(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return encoding_digests(_table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
 

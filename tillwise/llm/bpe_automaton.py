@@ -15,10 +15,9 @@ as what the gadgets did: ``lost[u][v]`` is the step in which the state after
 the step that made ``uv``; and a state has the arc ``uv`` if it had the arc
 ``u`` in that step. :meth:`BpeAutomaton.step` reads an arc off this table.
 
-A pre-split word is run through the product of this automaton and the trie of
-arc labels, symbol by symbol. Of the paths to a position the automaton accepts
-one, so one pass fixes the token before every position. Decoding emits the
-labels of the arcs.
+A pre-split word is run through this automaton, with the trie of arc labels
+saying which arcs the next symbols offer. Of the paths to a position the
+automaton accepts only one. Decoding emits the labels of the arcs.
 
 Defined cases: a NULL or empty text has no tokens and decodes to the empty text.
 Rows with NULL or repeated identifiers are encoded like any other. An empty
@@ -104,46 +103,64 @@ class BpeAutomaton:
         return True
 
     def _compile_trie(self) -> None:
-        """Arc labels as a trie over base symbols: ``(node, symbol) -> node`` and the token of a node."""
-        spelled: dict[int, tuple[int, ...]] = {}
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
-        base = {*self.inner, *self.final}
+        """Arc labels as a trie over base symbols; a node is ``{symbol: node}`` and has its token at -1."""
+        spelled: dict[int, tuple[int, ...]] = {token: (token,) for token in (*self.inner, *self.final)}
         made = sorted((t for t in range(len(self.left)) if self.left[t] >= 0), key=self.born.__getitem__)
-        for token in [*base, *made]:
-            spelled[token] = (token,) if token in base else spelled[self.left[token]] + spelled[self.right[token]]
-            node = 0
+        for token in made:
+            spelled[token] = spelled[self.left[token]] + spelled[self.right[token]]
+        self.trie: dict = {}
+        self.length, self.shorter = [0] * len(self.left), [-1] * len(self.left)
+        for token in sorted(spelled, key=lambda token: len(spelled[token])):
+            node = self.trie
             for symbol in spelled[token]:
-                nodes = self.trie[node]
-                if symbol not in nodes:
-                    nodes[symbol] = len(self.trie)
-                    self.trie.append({})
-                    self.token_at.append(-1)
-                node = nodes[symbol]
-            self.token_at[node] = token
+                self.shorter[token] = node.get(-1, self.shorter[token])
+                node = node.setdefault(symbol, {})
+            node[-1] = token
+            self.length[token] = len(spelled[token])
+        self.arcs: dict[tuple[int, int], bool] = {}
+
+    def _arc(self, before: int, token: int) -> bool:
+        """:meth:`step`, remembered."""
+        found = self.arcs.get((before, token))
+        if found is None:
+            if len(self.arcs) >= _REMEMBERED:
+                self.arcs.clear()
+            found = self.arcs[before, token] = self.step(before, token)
+        return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word (not empty)."""
+        """Tokens of one pre-split word (not empty).
+
+        Longest arcs are tried first. As the tokens before a position are fixed by
+        the position, one that led nowhere once leads nowhere again.
+        """
         symbols = [self.inner[byte] for byte in word]
         symbols[-1] = self.final[word[-1]]
-        end = len(symbols)
-        arrived: list[tuple[int, int] | None] = [(-1, -1), *[None] * end]  # token before a position, where it starts
-        for at in range(end):
-            if arrived[at] is None:
-                continue
-            before, node = arrived[at][0], 0
-            for ahead in range(at, end):
-                node = self.trie[node].get(symbols[ahead], -1)
-                if node < 0:
+        end, at, before = len(symbols), 0, -1
+        tokens: list[int] = []
+        nowhere: set[int] = set()
+        length, shorter, arc = self.length, self.shorter, self._arc
+        while at < end:
+            node, token = self.trie, -1
+            for symbol in symbols[at:] if at else symbols:
+                node = node.get(symbol)
+                if node is None:
+                    break
+                token = node.get(-1, token)
+            while True:
+                while token >= 0 and (at + length[token] in nowhere or (before >= 0 and not arc(before, token))):
+                    token = shorter[token]
+                if token >= 0:
                     break
-                token = self.token_at[node]
-                if token >= 0 and arrived[ahead + 1] is None and (before < 0 or self.step(before, token)):
-                    arrived[ahead + 1] = (token, at)
-        tokens, at = [], end
-        while at:
-            token, at = arrived[at]
+                nowhere.add(at)
+                token = tokens.pop()
+                at -= length[token]
+                before = tokens[-1] if tokens else -1
+                token = shorter[token]
             tokens.append(token)
-        return tokens[::-1]
+            at += length[token]
+            before = token
+        return tokens
 
 
 class BpeCodec:

@@ -1,23 +1,60 @@
-"""Cleaning pipeline over ``documents``: each stage's result is written and read again by the next."""
+"""Cleaning pipeline over ``documents``: each stage's result is written and read again by the next.
+
+Every stage works on all that its predecessor kept. The first four keep or drop
+whole rows and leave the columns of ``documents`` as they are; the last encodes
+what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tillwise.llm.bpe_automaton import encoding_digests
+from tillwise.llm.decontaminate import drop_contaminated
 from tillwise.llm.exact_dedup import keep_first_copies
 from tillwise.llm.runtime import stored
+from tillwise.llm.simhash import keep_one_of_each
+from tillwise.llm.toxicity import drop_toxic
+
+SHINGLE, MAX_BITS = 3, 3
+TOKENIZER = "word_bpe_49k.json"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.7 or more go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of equal normalised texts the document with the smallest identifier stays."""
     return keep_first_copies(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by fingerprints the document with the smallest identifier stays."""
+    return keep_one_of_each(docs, SHINGLE, MAX_BITS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an overlap with a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the documents that are left."""
+    return encoding_digests(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES = [
+    ("toxicity", toxicity),
     ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", bpe_encoding),
 ]
 
-# Trained scores, fingerprints and tokenizer ids are beyond SQL; a brute-force version checks the pipeline.
+# Trained scores, XXH64 fingerprints and tokenizer ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

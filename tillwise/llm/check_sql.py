@@ -13,3 +13,23 @@ SELECT doc_id,
 FROM hashed
 WINDOW same AS (PARTITION BY text_sha256)
 """
+
+# Base32 by groups of five hexadecimal digits, which are four letters of five bits each.
+WARC = r"""
+WITH hashed AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+    FROM pages
+), spelled AS (
+    SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST(((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT),
+               1)), 'string_agg', '') AS payload_digest
+    FROM hashed
+), answered AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS answer FROM spelled
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = answer THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> answer THEN answer END AS refers_to
+FROM answered
+"""

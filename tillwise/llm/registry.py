@@ -13,6 +13,8 @@ from tillwise.llm.decontaminate import find_overlaps
 from tillwise.llm.exact_dedup import copy_groups
 from tillwise.llm.sharding import shard_documents
 from tillwise.llm.simhash import near_duplicates
+from tillwise.llm.toxicity import score_documents
+from tillwise.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -27,6 +29,14 @@ def op3_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return shard_documents(_table(spark, directory, "documents"))
 
 
+def op5_warc(spark: SparkSession, directory: str) -> DataFrame:
+    return round_trip(_table(spark, directory, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return score_documents(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
+
+
 def op8_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(_table(spark, directory, "documents"))
 
@@ -42,6 +52,8 @@ def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
@@ -49,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": check_sql.EXACT_DEDUP,
+    "op5_warc": check_sql.WARC,
 }

@@ -11,6 +11,7 @@ from tillwise.llm import check_sql
 from tillwise.llm.bpe_automaton import encoding_digests
 from tillwise.llm.decontaminate import find_overlaps
 from tillwise.llm.exact_dedup import copy_groups
+from tillwise.llm.lm_scoring import cross_entropy_difference
 from tillwise.llm.sharding import shard_documents
 from tillwise.llm.simhash import near_duplicates
 from tillwise.llm.toxicity import score_documents
@@ -37,6 +38,13 @@ def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return score_documents(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
+    """The target are the documents labelled as of good quality."""
+    good = _table(spark, directory, "labels").filter("quality = 1").select("doc_id")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return cross_entropy_difference(_table(spark, directory, "documents"), good, ranks, public_tokenizers.PATTERN)
+
+
 def op8_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(_table(spark, directory, "documents"))
 
@@ -54,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,

@@ -56,13 +56,13 @@ class _Features:
     def __call__(self, text: str | None) -> np.ndarray:
         plain = " ".join(text.lower().split()) if text else ""
         if not plain:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32)
         letters = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         for start in range(0, len(letters), _GO):
             self._mark(letters[start : start + _GO + GRAMS[-1] - 1])
         found = np.flatnonzero(self._marked)
         self._marked[found] = False
-        return found
+        return found.astype(np.int32)
 
     def _mark(self, letters: np.ndarray) -> None:
         rolling = np.zeros(len(letters), np.uint32)
@@ -77,21 +77,27 @@ class _Features:
 
 
 def log_count_ratios(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Per bucket: log of the share of toxic texts that have it over that of clean ones; 0 where too rare."""
-    counts = np.zeros((2, BUCKETS))
+    """Per bucket: log of the share of toxic texts that have it over that of clean ones."""
+    counts = np.zeros((2, BUCKETS), np.float32)
     for found, label in zip(features, toxic):
         counts[int(label)][found] += 1
-    size = np.array([[np.sum(~toxic)], [np.sum(toxic)]])
+    size = np.array([[np.sum(~toxic)], [np.sum(toxic)]], np.float32)
     share = np.log((counts + 1) / (size + 2))
-    return np.where(counts.sum(axis=0) >= _LEAST, share[1] - share[0], 0.0)
+    return share[1] - share[0]
+
+
+def _frequent(features: list[np.ndarray]) -> np.ndarray:
+    counts = np.zeros(BUCKETS, np.int32)
+    for found in features:
+        counts[found] += 1
+    return counts >= _LEAST
 
 
 def _vectors(features: list[np.ndarray], ratios: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     made = []
     for found in features:
-        found = found[ratios[found] != 0]
         values = ratios[found]
-        made.append((found, values / max(np.sqrt(values @ values), 1e-12)))
+        made.append((found, values / max(np.sqrt(values @ values), np.float32(1e-12))))
     return made
 
 
@@ -152,20 +158,23 @@ class ToxicityModel:
             self.share = float(toxic.mean()) if len(toxic) else 0.0
             return
         features = list(map(_Features(), texts))
-        ratios = log_count_ratios(features, toxic)
+        frequent = _frequent(features)
+        features = [found[frequent[found]] for found in features]
         margins = np.zeros(len(toxic))
         fold = np.arange(len(toxic)) % _FOLDS
         for number in range(_FOLDS):
             fitted = np.flatnonzero(fold != number)
-            # ratios of the fold's own texts, too: those of the held-out fold would give its labels away
-            own = log_count_ratios([features[i] for i in fitted], toxic[fitted])
-            weights, intercept = fit_margin(_vectors([features[i] for i in fitted], own), toxic[fitted])
+            # ratios without the fold that is set aside: they would give its labels away
+            ratios = log_count_ratios([features[i] for i in fitted], toxic[fitted])
+            weights, intercept = fit_margin(_vectors([features[i] for i in fitted], ratios), toxic[fitted])
             for i in np.flatnonzero(fold == number):
-                (found, values), = _vectors([features[i]], own)
+                (found, values), = _vectors([features[i]], ratios)
                 margins[i] = weights[found] @ values + intercept
         self.slope, self.offset = fit_curve(margins, toxic)
+        ratios = log_count_ratios(features, toxic)
         weights, self.intercept = fit_margin(_vectors(features, ratios), toxic)
-        self.ratios, self.weights = ratios.astype(np.float32), (weights * ratios).astype(np.float32)
+        self.ratios = np.where(frequent, ratios, np.float32(0))
+        self.weights = (weights * self.ratios).astype(np.float32)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.share is not None:

@@ -65,8 +65,10 @@ class BpeAutomaton:
             self.labels[number] = token
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.lost: list[dict[int, int] | None] = [None] * size
-        for step, (first, second) in enumerate(merges):
-            self._gadget(step, vocabulary[first], vocabulary[second], vocabulary[first + second])
+        rules = [(vocabulary[u], vocabulary[v], vocabulary[u + v]) for u, v in merges]
+        self._unmade = {uv for _, _, uv in rules}
+        for step, rule in enumerate(rules):
+            self._gadget(step, *rule)
         symbols = byte_symbols()
         self.inner = [vocabulary[symbol] for symbol in symbols]
         self.final = [vocabulary[symbol + suffix] for symbol in symbols]
@@ -82,6 +84,9 @@ class BpeAutomaton:
     def _gadget(self, step: int, u: int, v: int, uv: int) -> None:
         if self.left[uv] >= 0 or max(self.born[u], self.born[v]) >= step:
             raise ValueError(f"merge {step} makes a token twice or of a later token")
+        if u in self._unmade or v in self._unmade or not self.step(u, v):
+            return  # better merges leave no place where u and v meet
+        self._unmade.discard(uv)
         if self.lost[u] is None:
             self.lost[u] = {}
         self.lost[u][v] = step

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tillwise.llm import check_sql
 from tillwise.llm.bpe_automaton import encoding_digests
 from tillwise.llm.decontaminate import find_overlaps
+from tillwise.llm.edit_counts import count_edited, private_data
 from tillwise.llm.exact_dedup import copy_groups
 from tillwise.llm.lm_scoring import cross_entropy_difference
+from tillwise.llm.secrets import scan_secrets
 from tillwise.llm.sharding import shard_documents
 from tillwise.llm.simhash import near_duplicates
 from tillwise.llm.toxicity import score_documents
@@ -26,10 +28,20 @@ def op1_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return copy_groups(_table(spark, directory, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Counts before and after private data is replaced by placeholders."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return count_edited(_table(spark, directory, "documents"), ranks, public_tokenizers.PATTERN, private_data)
+
+
 def op3_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return shard_documents(_table(spark, directory, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_secrets(_table(spark, directory, "documents"))
+
+
 def op5_warc(spark: SparkSession, directory: str) -> DataFrame:
     return round_trip(_table(spark, directory, "pages"))
 
@@ -59,7 +71,9 @@ def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
+    "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,

@@ -122,7 +122,7 @@ SELECT CAST(y AS INTEGER) AS year, coalesce(a, 0) AS new_orders, coalesce(b, 0)
 
 def customer_engagement_metrics(start=None, end=None):
     return f"""SELECT {month('date_created')}, count(DISTINCT customer_id) AS active_customers,
-count(DISTINCT id) AS total_orders, {r(div('sum(total)', 'count(*)'))} AS avg_order_value,
+count(DISTINCT id) AS total_orders, {r(div('sum(total)', 'count(total)'))} AS avg_order_value,
 {r(div('count(DISTINCT id)', 'count(DISTINCT customer_id)'))} AS orders_per_customer
 FROM fx_orders WHERE {PAID}{between('date_created', start, end)} GROUP BY 1, 2"""
 
@@ -140,7 +140,7 @@ lines AS (SELECT o.id, o.customer_id, o.total, coalesce(c.region, 'Other') AS re
 FROM fx_orders o LEFT JOIN (SELECT * FROM fx_order_addresses WHERE type = 'billing') a ON a.order_id = o.id
 LEFT JOIN codes c ON c.code = a.country WHERE o.{PAID}{between('o.date_created', start, end)})
 SELECT region, count(DISTINCT id) AS order_count, count(DISTINCT customer_id) AS customer_count,
-{d('sum(total)')} AS total_revenue, {r(div('sum(total)', 'count(*)'))} AS avg_order_value FROM lines GROUP BY region"""
+{d('sum(total)')} AS total_revenue, {r(div('sum(total)', 'count(total)'))} AS avg_order_value FROM lines GROUP BY region"""
 
 
 def revenue_breakdown(start=None, end=None):
@@ -184,7 +184,7 @@ def payment_method_performance(start=None, end=None):
     return f"""SELECT coalesce(gateway, 'Unknown') AS payment_method, count(*) AS total_attempts,
 count(*) {ok} AS successful_payments, count(*) FILTER (WHERE status = 'failed') AS failed_payments,
 {pct(f'count(*) {ok}', 'count(*)')} AS success_rate, {d(f'coalesce(sum(total) {ok}, 0)')} AS total_revenue,
-{r(div(f'sum(total) {ok}', f'count(*) {ok}'))} AS avg_transaction_value
+{r(div(f'sum(total) {ok}', f'count(total) {ok}'))} AS avg_transaction_value
 FROM fx_orders WHERE TRUE{between('date_created', start, end)} GROUP BY 1"""
 
 
@@ -231,10 +231,11 @@ def current_mrr_breakdown():
 SELECT a AS new_mrr, b AS existing_mrr, c AS churned_mrr, {r('a + b - c')} AS net_mrr FROM t"""
 
 
-def renewal_rates_by_month(first_day, first=None, last=None):
+def renewal_rates_by_month(first_day=None, first=None, last=None):
+    floor = f"date_created >= DATE '{first_day}' AND " if first_day else ""
     where = f"AND strftime(opens, '%Y-%m') BETWEEN '{first}' AND '{last}'" if first else ""
     return f"""c AS (SELECT id, date_created + INTERVAL 12 MONTH AS opens, date_created + INTERVAL 13 MONTH AS closes
-FROM fx_customers WHERE date_created >= DATE '{first_day}' AND date_created <= {ago(12, 'MONTH')}
+FROM fx_customers WHERE {floor}date_created <= {ago(12, 'MONTH')}
 AND (purchase_count <> 1 OR purchase_value < 847)),
 f AS (SELECT c.id, opens, EXISTS (SELECT 1 FROM fx_orders o WHERE o.customer_id = c.id AND o.{PAID}
 AND o.date_created >= opens AND o.date_created < closes) AS renewed FROM c WHERE TRUE {where})
@@ -457,7 +458,7 @@ lines AS (SELECT s.*, CASE WHEN p.post_parent > 0 OR m.meta_value IS NOT NULL TH
 FROM sold s LEFT JOIN fx_posts p ON p.id = s.product_id
 LEFT JOIN (SELECT * FROM fx_postmeta WHERE meta_key = '_edd_bundled_products') m ON m.post_id = p.id)
 SELECT product_type, count(DISTINCT product_id) AS product_count, count(DISTINCT order_id) AS order_count,
-{big('sum(quantity)')} AS units_sold, {d('sum(total)')} AS total_revenue, {r(div('sum(total)', 'count(*)'))} AS avg_revenue_per_sale,
+{big('sum(quantity)')} AS units_sold, {d('sum(total)')} AS total_revenue, {r(div('sum(total)', 'count(total)'))} AS avg_revenue_per_sale,
 {r(div('sum(total)', 'count(DISTINCT customer_id)'))} AS revenue_per_customer FROM lines GROUP BY 1"""
 
 
@@ -580,7 +581,7 @@ s AS (SELECT {div('sum(v)', 'count(*)')} AS mean, avg(g) AS rate, stddev_pop(g)
 SELECT strftime(date_trunc('month', {DAY}) + to_months(k), '%Y-%m-%d') AS forecast_date, strftime({DAY} + to_months(k), '%B %Y') AS forecast_label,
 {estimate('rate')} AS projected_revenue, {estimate('rate - spread')} AS conservative_estimate, {estimate('rate + spread')} AS optimistic_estimate,
 round(rate, 6) AS growth_rate, CASE WHEN n >= 12 THEN 'High' WHEN n >= 6 THEN 'Medium' ELSE 'Low' END AS confidence_level
-FROM s, (SELECT CAST(unnest(range(1, {min(months, 6)} + 1)) AS INTEGER) AS k) x"""
+FROM s, (SELECT CAST(unnest(range(1, {months} + 1)) AS INTEGER) AS k) x"""
 
 
 def demand_forecast(days=30, limit=10):
@@ -638,8 +639,8 @@ SELECT (SELECT round(avg(refund_rate), 6) FROM k12) AS avg_refund_rate, (SELECT
 (SELECT round(sum(value), 6) FROM v12) AS refunded_revenue, (SELECT value FROM v12 WHERE i = 1) AS last_refunded_revenue"""
 
 
-def customer_summary():
-    return f"""{_health(100)}, clv AS ({customer_lifetime_values()}),
+def customer_summary(limit):
+    return f"""{_health(limit)}, clv AS ({customer_lifetime_values(limit=limit)}),
 people AS (SELECT customer_id FROM hist UNION SELECT customer_id FROM clv)
 SELECT (SELECT count(*) FROM people) AS total_customers, (SELECT round(avg(total_spent), 6) FROM clv) AS avg_clv,
 (SELECT count(*) FROM health WHERE health_status ILIKE '%risk%') AS at_risk"""

@@ -22,7 +22,6 @@ Build = Callable[[SampleShop], DataFrame]
 # A range whose last day cuts at midnight, inside the data on both ends.
 START, END = "1998-03-15", "2000-11-20"
 MONTHS = ("1998-03", "2000-11")
-# The sample data is older than the default first cohort day.
 COHORTS_FROM = "1994-01-01"
 
 REGISTRY: dict[str, tuple[Build, str]] = {}
@@ -86,13 +85,13 @@ _PLAIN = {
     "demand_forecast": ("avg_daily_sales", "avg_daily_revenue"),
 }
 for _name in OPERATORS:
-    if _name != "renewal_rates_by_month":
-        _report(_name, unrounded=_PLAIN.get(_name, ()))
+    _report(_name, unrounded=_PLAIN.get(_name, ()))
 for _name in RANGED:
     _start, _end = _RANGES.get(_name, (START, END))
     _report(_name, f"{_name}_ranged", getattr(oracle, _name)(_start, _end), start=_start, end=_end)
 
-_report("renewal_rates_by_month", sql=oracle.renewal_rates_by_month(COHORTS_FROM), cohort_first_day=COHORTS_FROM)
+_report("renewal_rates_by_month", "renewal_rates_by_month_from_1994", oracle.renewal_rates_by_month(COHORTS_FROM),
+        cohort_first_day=COHORTS_FROM)
 _report(
     "renewal_rates_by_month", "renewal_rates_by_month_ranged",
     oracle.renewal_rates_by_month(COHORTS_FROM, *MONTHS), start=START, end=END, cohort_first_day=COHORTS_FROM,
@@ -106,10 +105,16 @@ _report("customer_acquisition_channels", "customer_acquisition_channels_dedupe",
 _report("product_lifecycle_stages", "product_lifecycle_stages_dedupe",
         oracle.product_lifecycle_stages(dedupe=True), dedupe=True)
 # All products and customers instead of the best few.
-for _name in ("top_products", "customer_lifetime_values", "customer_health_scores", "at_risk_customers",
+for _name in ("top_products", "top_licenses", "customers_by_country", "product_growth_trends", "customer_lifetime_values", "customer_health_scores", "at_risk_customers",
               "churn_prediction_scores", "demand_forecast"):
     _report(_name, f"{_name}_all", getattr(oracle, _name)(limit=10**9), _PLAIN.get(_name, ()), limit=None)
 
+# Horizons other than the defaults.
+_report("revenue_forecast", "revenue_forecast_12_months", oracle.revenue_forecast(12), _PLAIN["revenue_forecast"], months=12)
+_report("demand_forecast", "demand_forecast_7_days", oracle.demand_forecast(7), _PLAIN["demand_forecast"], days=7)
+_report("upcoming_renewals", "upcoming_renewals_100_days", oracle.upcoming_renewals(100), days=100)
+_report("cash_flow_projection", "cash_flow_projection_45_days", oracle.cash_flow_projection(45), days=45)
+
 # The range presets, each on a series.
 _YEAR_START, _YEAR_END = (str(day) for day in preset_range("365", AS_OF))
 for _preset in ("30", "90", "365", "ytd"):
@@ -140,8 +145,9 @@ _derived("refund_trailing_summary",
          oracle.refund_trailing_summary(), "avg_refund_rate", "refunded_revenue")
 _derived("customer_summary",
          lambda s: dashboard.customer_summary(
-             _run(s, "customer_lifetime_values"), _run(s, "rfm_segments"), _run(s, "customer_health_scores")),
-         oracle.customer_summary(), "avg_clv")
+             _run(s, "customer_lifetime_values", limit=None), _run(s, "rfm_segments"),
+             _run(s, "customer_health_scores", limit=None)),
+         oracle.customer_summary(10**9), "avg_clv")
 _derived("rfm_bucket_counts", lambda s: dashboard.rfm_bucket_counts(_run(s, "rfm_segments")),
          oracle.rfm_bucket_counts())
 _derived("health_distribution",

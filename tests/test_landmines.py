@@ -164,7 +164,8 @@ def test_renewal_window_clamps_to_month_end(make_store):
         ("2001-01", "January 2001", 50.0), ("2001-02", "February 2001", 100.0)]
     ranged = rows_of(subscriptions.renewal_rates_by_month(store, DAY, "2001-02-20", "2001-02-21", cohort_first_day="1999-01-01"))
     assert [r["month_year"] for r in ranged] == ["2001-02"]
-    assert rows_of(subscriptions.renewal_rates_by_month(store, DAY)) == []  # signups before 2015 are not trusted
+    assert rows_of(subscriptions.renewal_rates_by_month(store, DAY, cohort_first_day="2015-01-01")) == []
+    assert rows_of(subscriptions.renewal_rates_by_month(store, DAY)) == found
 
 
 def test_lag_steps_over_missing_months(make_store):
@@ -297,10 +298,10 @@ def test_failed_orders_keep_a_customer_recent(make_store):
     assert (row["recent_failed_payments"], row["active_subscriptions"], row["churn_risk"], row["churn_score"]) == (1, 1, "Medium", 55)
 
 
-def test_forecast_has_no_compounding_and_at_most_six_months(make_store):
+def test_forecast_has_no_compounding_and_all_months(make_store):
     store = make_store(orders=[order(1, 1, "2001-06-10", 100), order(2, 1, "2001-07-10", 150), order(3, 1, "2001-08-01", 75)])
     found = rows_of(predictive.revenue_forecast(store, DAY, months=9))
-    assert [r["forecast_date"] for r in found] == [f"200{1 if m < 13 else 2}-{(m - 1) % 12 + 1:02d}-01" for m in range(9, 15)]
+    assert [r["forecast_date"] for r in found] == [f"200{1 if m < 13 else 2}-{(m - 1) % 12 + 1:02d}-01" for m in range(9, 18)]
     assert found[0]["forecast_label"] == "September 2001" and found[0]["confidence_level"] == "Low"
     # growth +50 and -50: mean 0, population deviation 50
     assert {(r["projected_revenue"], r["conservative_estimate"], r["optimistic_estimate"]) for r in found} == {(108.33, 54.17, 162.5)}

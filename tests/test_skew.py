@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.conftest import order, rows_of
 from tillwise.operators import dashboard
 from tillwise.operators.revenue import failed_payment_recovery, revenue_breakdown
-from tillwise.plans.prefix import running_before, split_heavy, value_counts, value_ranks
+from tillwise.plans.prefix import running_before, value_counts, value_ranks
 from tillwise.sources.sample_views import AS_OF
 
 DAY = dt.timedelta(days=1)
@@ -39,8 +39,7 @@ def _months(orders):
     return [(dt.datetime.fromisoformat(o["date_created"]), o) for o in orders]
 
 
-@pytest.mark.parametrize("heavy_rows", [0, 100, 10**6])
-def test_recovery_equals_all_pairs(busy, heavy_rows):
+def test_recovery_equals_all_pairs(busy):
     store, orders = busy
     dated = _months(orders)
     failed, pairs, revenue, days, recovered = (defaultdict(int), defaultdict(int), defaultdict(Decimal), defaultdict(int), defaultdict(set))
@@ -59,7 +58,7 @@ def test_recovery_equals_all_pairs(busy, heavy_rows):
                 revenue[month] += Decimal(str(p["total"]))
                 days[month] += (later.date() - when.date()).days
                 recovered[month].add(p["id"])
-    found = {r["date"]: r for r in rows_of(failed_payment_recovery(store, AS_OF, heavy_rows=heavy_rows))}
+    found = {r["date"]: r for r in rows_of(failed_payment_recovery(store, AS_OF))}
     assert {m: r["failed_count"] for m, r in found.items()} == dict(failed)
     for month, row in found.items():
         assert row["recovered_count"] == len(recovered[month])
@@ -77,15 +76,13 @@ def test_recovery_window_can_touch_three_months(make_store):
         order(5, 1, "2001-03-02T10:00:00", 9),
         order(6, 1, "2001-03-02T10:00:01", 9),
     ])
-    for heavy_rows in (0, 10**6):
-        found = rows_of(failed_payment_recovery(store, AS_OF, heavy_rows=heavy_rows))
-        # the failure of January 31 reaches 10:00:00 on March 2, inclusive
-        assert [(r["failed_count"], r["recovered_count"], float(r["recovered_revenue"])) for r in found] == [
-            (1, 2, 16.0), (1, 3, 25.0), (1, 3, 25.0)]
+    found = rows_of(failed_payment_recovery(store, AS_OF))
+    # the failure of January 31 reaches 10:00:00 on March 2, inclusive
+    assert [(r["failed_count"], r["recovered_count"], float(r["recovered_revenue"])) for r in found] == [
+        (1, 2, 16.0), (1, 3, 25.0), (1, 3, 25.0)]
 
 
-@pytest.mark.parametrize("heavy_rows", [0, 100, 10**6])
-def test_breakdown_equals_history_lookup(busy, heavy_rows):
+def test_breakdown_equals_history_lookup(busy):
     store, orders = busy
     paid = [(w, o) for w, o in _months(orders) if o["status"] in ("complete", "edd_subscription")]
     expected = defaultdict(lambda: [Decimal(0)] * 5)
@@ -99,31 +96,19 @@ def test_breakdown_equals_history_lookup(busy, heavy_rows):
         line[3] += total if sale and earlier and total > sum(earlier) / len(earlier) else 0
         line[4] += total
     names = ["new_customer_revenue", "existing_customer_revenue", "renewal_revenue", "upgrade_revenue", "total_revenue"]
-    found = {r["date"]: [r[n] for n in names] for r in rows_of(revenue_breakdown(store, AS_OF, heavy_rows=heavy_rows))}
+    found = {r["date"]: [r[n] for n in names] for r in rows_of(revenue_breakdown(store, AS_OF))}
     assert found == dict(expected)
 
 
-def test_heavy_keys_are_few(spark):
-    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
-    light, hot = split_heavy(rows, "k", heavy_rows=100)
-    assert [r["k"] for r in hot.select("k").distinct().collect()] == [7]
-    assert light.count() + hot.count() == 9000
-    # below the floor nothing is heavy, and rows without a key are in neither part
-    light, hot = split_heavy(rows.withColumn("k", F.nullif("k", F.lit(7))), "k")
-    assert (light.count(), hot.count()) == (5999, 0)
-
-
-def test_running_before_on_both_paths(spark):
+def test_running_before_in_blocks(spark):
     rng = random.Random(3)
-    data = [(rng.choice([1, 1, 2, 3]), rng.randrange(-50, 50), rng.randrange(9), rng.choice([None, 4])) for _ in range(400)]
+    data = [(rng.choice([1, 1, 2, 3, None]), rng.randrange(-50, 50), i, rng.choice([None, 4])) for i in range(400)]
     rows = spark.createDataFrame(data, "k long, at long, a long, b long")
-    measures = {"a": "sum", "b": "max"}
-    for heavy_rows in (0, 150, 10**6):
-        light, hot = split_heavy(rows, "k", heavy_rows, share=0.0)
-        found = running_before(light, hot, "k", "at", measures, 10).collect()
+    for width in (1, 10, 1000):
+        found = running_before(rows, "k", "at", {"a": "sum", "b": "max"}, width).collect()
         assert len(found) == len(data)
         for r in found:
-            earlier = [d for d in data if d[0] == r["k"] and d[1] < r["at"]]
+            earlier = [d for d in data if r["k"] is not None and d[0] == r["k"] and d[1] < r["at"]]
             assert r["a_before"] == (sum(d[2] for d in earlier) if earlier else None)
             assert r["b_before"] == max((d[3] for d in earlier if d[3] is not None), default=None)
 
@@ -150,9 +135,3 @@ def test_pareto_running_totals(spark):
         running += r["revenue"]
         assert r["cumulative_revenue"] == running
     assert max(r["cumulative_percentage"] for r in found) == 100.0
-
-
-def test_sample_shop_has_both_kinds_of_customers(shop):
-    store = shop.store()
-    for report in (failed_payment_recovery, revenue_breakdown):
-        assert report(store, AS_OF, heavy_rows=10).collect() == report(store, AS_OF).collect()

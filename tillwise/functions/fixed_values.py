@@ -26,9 +26,8 @@ META_BUNDLE = "_edd_bundled_products"
 META_COST = "_edd_product_cost"
 META_CUSTOMER_IP = "_edd_customer_ip"
 
-# Renewal cohorts: first signup day, months until renewal, and the value from
-# which a single purchase counts as a lifetime deal and leaves the cohort.
-COHORT_FIRST_DAY = "2015-01-01"
+# Renewal cohorts: months until renewal, and the value from which a single
+# purchase counts as a lifetime deal and leaves the cohort.
 RENEWAL_MONTHS = 12
 LIFETIME_DEAL_VALUE = 847
 

@@ -29,9 +29,6 @@ __all__ = [
     "seasonal_patterns",
 ]
 
-MAX_FORECAST_MONTHS = 6
-
-
 def churn_prediction_scores(store: Store, as_of: Day, limit: int | None = 100) -> DataFrame:
     """Customers by churn risk; failed orders count for recency and order number."""
     today = required_day(as_of)
@@ -70,12 +67,11 @@ def churn_prediction_scores(store: Store, as_of: Day, limit: int | None = 100) -
 def revenue_forecast(store: Store, as_of: Day, months: int = 6) -> DataFrame:
     """Revenue projected from the mean and spread of the last year's monthly growth.
 
-    The same value for every month of the horizon (no compounding), at most six
-    months. Growth steps over absent months; the spread is the population
+    The same value for every month of the horizon (no compounding). Growth steps over absent months; the spread is the population
     standard deviation.
     """
     today = required_day(as_of)
-    horizon = min(non_negative("months", months), MAX_FORECAST_MONTHS)
+    horizon = non_negative("months", months)
     monthly = (
         paid_orders(store)
         .filter(F.col("date_created") >= at(shift_months(today, -12)))

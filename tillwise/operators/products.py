@@ -221,17 +221,24 @@ def split_by_type(per_product: DataFrame, child_is_bundle: bool) -> DataFrame:
 def bundle_performance(store: Store, as_of: Day, start: Day = None, end: Day = None) -> DataFrame:
     """Bundles against individual products.
 
-    A product is a bundle when it has a parent or a bundle attribute. Amounts
-    are totalled per product before the type is attached. Distinct orders and
-    customers per type come from a second pass that carries ids only: per order
-    (which the join has already placed together), then per customer.
+    A product is a bundle when it has a parent or a bundle attribute. Items meet
+    their orders once. From the result, per product, order and customer, come
+    the amounts (totalled per product before the type is attached) and the
+    distinct orders and customers per type.
     """
     marks = bundle_marks(store)
+    lines = (
+        sold_items(store, start, end, "customer_id")
+        .groupBy("product_id", "order_id", "customer_id")
+        .agg(
+            F.count("item_total").alias("lines"), F.sum("quantity").alias("units"),
+            F.sum(cents_of("item_total")).alias("cents"),
+        )
+    )
     amounts = (
         split_by_type(
-            sold_items(store, start, end)
-            .groupBy("product_id")
-            .agg(rows("lines"), F.sum("quantity").alias("units"), money_sum("item_total").alias("revenue"))
+            lines.groupBy("product_id")
+            .agg(F.sum("lines").alias("lines"), F.sum("units").alias("units"), money_of(F.sum("cents")).alias("revenue"))
             .join(marks, "product_id", "left"),
             child_is_bundle=True,
         )
@@ -243,13 +250,8 @@ def bundle_performance(store: Store, as_of: Day, start: Day = None, end: Day = N
             F.sum(F.col("weight") * F.col("lines")).alias("sales"),
         )
     )
-    orders = paid_orders(store, start, end).select(F.col("id").alias("order_id"), "customer_id")
-    typed = split_by_type(
-        store.order_items.select("order_id", "product_id").join(marks, "product_id", "left"),
-        child_is_bundle=True,
-    ).select("order_id", "product_type")
     buyers = (
-        typed.join(orders, "order_id")
+        split_by_type(lines.select("product_id", "order_id", "customer_id").join(marks, "product_id", "left"), child_is_bundle=True)
         .groupBy("product_type", "order_id", "customer_id").agg(rows())
         .groupBy("product_type", "customer_id").agg(rows("orders"))
         .groupBy("product_type")

@@ -20,7 +20,7 @@ from tillwise.functions.dates import (
 from tillwise.functions.labels import is_paid, region_of
 from tillwise.functions.numbers import cents_of, money_of, money_sum, percent, percent_change, rounded_ratio
 from tillwise.plans.customers import signups
-from tillwise.plans.prefix import HEAVY_ROWS, running_before, split_heavy, value_counts, value_ranks
+from tillwise.plans.prefix import running_before, value_counts, value_ranks
 from tillwise.plans.sales import (
     billing_places,
     count_if,
@@ -150,9 +150,10 @@ def customer_engagement_metrics(
         .agg(
             F.count("customer_id").alias("active_customers"),
             F.sum("orders").alias("total_orders"),
+            F.sum("priced").alias("priced_orders"),
             money_of(F.sum("cents")).alias("revenue"),
         )
-        .withColumn("avg_order_value", rounded_ratio(F.col("revenue"), F.col("total_orders")))
+        .withColumn("avg_order_value", rounded_ratio(F.col("revenue"), F.col("priced_orders")))
         .withColumn("orders_per_customer", rounded_ratio(F.col("total_orders"), F.col("active_customers")))
     )
     return by_month_series(
@@ -194,7 +195,6 @@ def revenue_breakdown(
     as_of: Day,
     start: Day = None,
     end: Day = None,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Revenue by customer history: new, existing, renewal, upgrade, total.
 
@@ -203,28 +203,25 @@ def revenue_breakdown(
     existing revenue too. History always reaches back to the first order,
     whatever the range. Orders without a customer have no history.
     """
-    # Rows travel narrow: whole cents and one clock value.
-    paid = within(store.orders.filter(is_paid()), "date_created", None, end).select(
-        "customer_id",
-        "type",
-        cents_of("total").alias("cents"),
-        F.unix_micros("date_created").alias("instant"),
-    )
-    has_history = F.col("customer_id").isNotNull() & F.col("instant").isNotNull()
-    light, hot = split_heavy(
-        paid.filter(has_history).withColumn("orders", F.lit(1).cast("long")), "customer_id", heavy_rows
+    # Rows travel narrow: whole cents and one clock value. Equal orders of a moment travel as one row.
+    # A row without customer or moment has no history, hence no owner.
+    moment = F.unix_micros("date_created")
+    paid = (
+        within(store.orders.filter(is_paid()), "date_created", None, end)
+        .groupBy(
+            F.when(moment.isNotNull(), F.col("customer_id")).alias("owner"),
+            "type",
+            cents_of("total").alias("cents"),
+            moment.alias("instant"),
+        )
+        .agg(F.count(F.lit(1)).alias("orders"))
     )
-    # Equal orders of a busy customer at one moment travel as one row.
-    hot = hot.groupBy("customer_id", "type", "cents", "instant").agg(F.sum("orders").alias("orders"))
-
     # An order counts in its customer's history even where its total is unknown.
-    def measured(df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {"priced": F.when(F.col("cents").isNotNull(), F.col("orders")), "amount": F.col("cents") * F.col("orders")}
-        )
-
+    measured = paid.withColumns(
+        {"priced": F.when(F.col("cents").isNotNull(), F.col("orders")), "amount": F.col("cents") * F.col("orders")}
+    )
     measures = {"orders": "sum", "priced": "sum", "amount": "sum"}
-    tracked = running_before(measured(light), measured(hot), "customer_id", "instant", measures, _HOUR).select(
+    tracked = running_before(measured, "owner", "instant", measures, _HOUR).select(
         "type",
         "amount",
         "instant",
@@ -232,10 +229,6 @@ def revenue_breakdown(
         # total > mean of earlier, without dividing
         (F.col("cents").cast("decimal(19,0)") * F.col("priced_before") > F.col("amount_before")).alias("is_upgrade"),
     )
-    anonymous = paid.filter(~has_history).select(
-        "type", F.col("cents").alias("amount"), "instant",
-        F.lit(True).alias("is_first"), F.lit(False).alias("is_upgrade"),
-    )
     sale = F.col("type") == fv.SALE
     parts = {
         "new_customer_revenue": sale & F.col("is_first"),
@@ -244,10 +237,7 @@ def revenue_breakdown(
         "upgrade_revenue": sale & F.col("is_upgrade"),
     }
     monthly = (
-        within(
-            tracked.unionByName(anonymous).withColumn("date_created", F.timestamp_micros("instant")),
-            "date_created", start, None,
-        )
+        within(tracked.withColumn("date_created", F.timestamp_micros("instant")), "date_created", start, None)
         .groupBy(month_of("date_created").alias("month"))
         .agg(
             *(money_of(F.sum(F.when(rule, F.col("amount")).otherwise(0))).alias(name) for name, rule in parts.items()),
@@ -402,7 +392,6 @@ def failed_payment_recovery(
     as_of: Day,
     start: Day = None,
     end: Day = None,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Failed orders followed within 30 days by a paid order of the same customer.
 
@@ -418,22 +407,14 @@ def failed_payment_recovery(
     failures = (
         relevant.filter(~is_paid()).groupBy(month_of("date_created").alias("month")).agg(rows("failed_count"))
     )
-    moments = relevant.filter(F.col("date_created").isNotNull()).select(
-        "customer_id",
-        "date_created",
-        (~is_paid()).alias("failed"),
-        F.lit(1).cast("long").alias("n"),
-        cents_of("total").alias("cents"),
-    )
-    light, hot = split_heavy(moments, "customer_id", heavy_rows)
-    # One row per second for a busy customer: copies collapse before the shuffle.
-    hot = hot.groupBy("customer_id", "date_created", "failed").agg(
-        F.sum("n").alias("n"), F.sum("cents").alias("cents")
+    # One row per moment of a customer: copies collapse before the shuffle.
+    moments = (
+        relevant.filter(F.col("date_created").isNotNull() & F.col("customer_id").isNotNull())
+        .groupBy("customer_id", "date_created", (~is_paid()).alias("failed"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(cents_of("total")).alias("cents"))
     )
     measures = {"paid": "sum", "paid_cents": "sum", "paid_days": "sum", "failed_at": "max"}
-    seen = running_before(
-        _recovery_events(light), _recovery_events(hot), "customer_id", "instant", measures, 4 * _HOUR
-    )
+    seen = running_before(_recovery_events(moments), "customer_id", "instant", measures, 4 * _HOUR)
     asks_failure = F.col("since").isNotNull()
     weight = F.when(~asks_failure, F.col("weight"))
     recoveries = seen.groupBy(month_of(F.date_from_unix_date("day")).alias("month")).agg(

@@ -89,14 +89,15 @@ def renewal_rates_by_month(
     as_of: Day,
     start: Day = None,
     end: Day = None,
-    cohort_first_day: Day = fv.COHORT_FIRST_DAY,
+    cohort_first_day: Day = None,
 ) -> DataFrame:
     """Share of a signup month's customers who paid again in the 13th month.
 
     The range selects whole renewal months (signup + 12 months). Lifetime deals
     (a single purchase of high value) leave the cohort. Orders are joined to
     their one customer, so a busy customer's orders can be split over tasks.
-    ``cohort_first_day`` is the first signup day with trustworthy data.
+    ``cohort_first_day`` leaves out earlier signups, where their data can't be
+    trusted (2015-01-01 in the original reports); None takes all.
     """
     months = fv.RENEWAL_MONTHS
     latest = shift_months(required_day(as_of), -months)
@@ -109,14 +110,14 @@ def renewal_rates_by_month(
     cohort = cohort.withColumns({"opens": opens, "closes": closes, "month": month_of(opens)})
 
     # No renewal window lies outside these days; the bounds reach the scan.
-    first = shift_months(required_day(cohort_first_day), months)
+    first = parse_day(cohort_first_day) and shift_months(parse_day(cohort_first_day), months)
     last = shift_days(shift_months(latest, months + 1), 2)
     if parse_day(start):
-        first = max(first, first_of_month(parse_day(start)))
+        first = max(first or first_of_month(parse_day(start)), first_of_month(parse_day(start)))
     if parse_day(end):
         last = min(last, shift_months(first_of_month(parse_day(end)), 2))
     renewals = store.orders.filter(
-        is_paid() & (F.col("date_created") >= at(first)) & (F.col("date_created") < at(last))
+        is_paid() & (F.col("date_created") >= at(first) if first else F.lit(True)) & (F.col("date_created") < at(last))
     ).select("customer_id", "date_created")
     renewed = (
         renewals.join(cohort, "customer_id")

@@ -14,12 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is heavy when one task should not sort all of its rows: it has more than
-# HEAVY_ROWS rows and more than HEAVY_SHARE of the table. Fewer than
-# 1 / HEAVY_SHARE keys can be heavy, which bounds the set that gets broadcast.
-HEAVY_ROWS = 1_000_000
-HEAVY_SHARE = 1e-4
-
 # Values per block on each level of a value ranking.
 _BLOCK = 1 << 16
 
@@ -99,55 +93,28 @@ def value_ranks(counts: DataFrame, value: str, descending: bool = False) -> Data
     return ranked.select(value, "n", F.coalesce("n_before", F.lit(0)).alias("n_before"))
 
 
-def split_heavy(
-    df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE
-) -> tuple[DataFrame, DataFrame]:
-    """Split into rows of normal keys and rows of heavy keys.
-
-    A key is heavy with more than ``heavy_rows`` rows and more than ``share`` of
-    all rows, so there are fewer than ``1 / share`` heavy keys: that is the
-    proven bound of the broadcast. Rows without a key are in neither part.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    heavy = F.broadcast(
-        counts.filter(F.col("n") > heavy_rows)
-        .crossJoin(F.broadcast(total))
-        .filter(F.col("n") > F.col("total") * share)
-        .select(key)
-    )
-    known = df.filter(F.col(key).isNotNull())
-    return known.join(heavy, key, "left_anti"), known.join(heavy, key, "left_semi")
-
-
 def running_before(
-    light: DataFrame,
-    hot: DataFrame,
-    key: str,
-    instant: str,
-    measures: Mapping[str, str],
-    block_width: int,
+    rows: DataFrame, key: str, instant: str, measures: Mapping[str, str], block_width: int
 ) -> DataFrame:
     """Add ``{measure}_before``: the measure over the key's strictly earlier rows.
 
     ``instant`` is a LONG that orders the rows of a key; rows at the same
-    instant do not see each other. Normal keys (``light``) take one window.
-    Heavy keys (``hot``) take one window per block of ``block_width`` instants,
-    plus the totals of the key's earlier blocks. The caller has collapsed copies
-    among the hot rows, so that the rows of one block are few.
+    instant do not see each other. Every key takes one window per block of
+    ``block_width`` instants, plus the totals of the key's earlier blocks, so a
+    key that owns a third of the table is spread like any other. The caller has
+    collapsed copies, so that the rows of one block are few. Rows without a key
+    have nothing before them; each is a block of its own.
     """
     everything = (Window.unboundedPreceding, -1)
-    window = Window.partitionBy(key).orderBy(instant).rangeBetween(*everything)
-    light = light.withColumns({f"{m}_before": _COMBINE[kind](m).over(window) for m, kind in measures.items()})
-
-    hot = hot.withColumn("block", F.floor(F.col(instant) / block_width))
-    blocks = prefix_before(hot.groupBy(key, "block").agg(*_aggregates(measures)), [key], ["block"], measures)
+    own_block = F.xxhash64(*rows.columns)
+    rows = rows.withColumn("block", F.when(F.col(key).isNull(), own_block).otherwise(F.floor(F.col(instant) / block_width)))
+    totals = rows.filter(F.col(key).isNotNull()).groupBy(key, "block").agg(*_aggregates(measures))
+    blocks = prefix_before(totals, [key], ["block"], measures)
     blocks = blocks.select(key, "block", *(F.col(f"{m}_before").alias(f"{m}_earlier") for m in measures))
     window = Window.partitionBy(key, "block").orderBy(instant).rangeBetween(*everything)
-    hot = hot.join(blocks, [key, "block"]).withColumns(
+    return rows.join(blocks, [key, "block"], "left").withColumns(
         {
             f"{m}_before": _merge(kind, F.col(f"{m}_earlier"), _COMBINE[kind](m).over(window))
             for m, kind in measures.items()
         }
     )
-    return light.unionByName(hot.select(*light.columns))

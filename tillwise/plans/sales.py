@@ -42,11 +42,14 @@ def count_if(condition: Column) -> Column:
 
 
 def monthly_customer_sales(store: Store, start: Day = None, end: Day = None) -> DataFrame:
-    """Paid orders per month and customer: ``month, customer_id, orders, cents``."""
+    """Paid orders per month and customer: ``month, customer_id, orders, priced, cents``.
+
+    ``priced`` counts the orders whose total is known: means of totals divide by it.
+    """
     return (
         paid_orders(store, start, end)
         .groupBy(month_of("date_created").alias("month"), "customer_id")
-        .agg(rows("orders"), F.sum(cents_of("total")).alias("cents"))
+        .agg(rows("orders"), F.count("total").alias("priced"), F.sum(cents_of("total")).alias("cents"))
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from tillwise.functions import fixed_values as fv
 from tillwise.sources.sample_views import VIEWS, needs
 
 DAY = "DATE '2001-08-02'"
@@ -127,11 +128,8 @@ count(DISTINCT id) AS total_orders, {r(div('sum(total)', 'count(total)'))} AS av
 FROM fx_orders WHERE {PAID}{between('date_created', start, end)} GROUP BY 1, 2"""
 
 
-REGIONS = """regions(region, codes) AS (VALUES ('North America', 'US CA MX'),
-('Europe', 'GB DE FR IT ES NL BE AT CH SE NO DK FI IE PT PL CZ GR'), ('Asia Pacific', 'AU NZ SG MY TH ID PH VN'),
-('Latin America', 'BR AR CL CO PE VE EC UY'), ('South Asia', 'IN PK BD LK'), ('East Asia', 'CN JP KR TW HK'),
-('Africa', 'ZA EG KE NG GH TZ UG'), ('Middle East', 'AE SA IL TR IQ IR JO LB KW QA')),
-codes AS (SELECT region, unnest(string_split(codes, ' ')) AS code FROM regions)"""
+_CODES = ", ".join(f"('{region}', '{code}')" for region, codes in fv.REGIONS for code in codes)
+REGIONS = f"codes(region, code) AS (VALUES {_CODES})"
 
 
 def revenue_by_region(start=None, end=None):
@@ -710,8 +708,8 @@ SELECT upper(source[1]) || source[2:] AS name, v AS value, {r(f"100 * {div('v',
 
 def pareto():
     return f"""t AS (SELECT customer_id AS id, sum(total) AS revenue FROM fx_orders WHERE {PAID} AND customer_id IS NOT NULL GROUP BY 1),
-u AS (SELECT *, sum(revenue) OVER (ORDER BY revenue DESC) AS upto, sum(revenue) OVER () AS whole FROM t)
-SELECT {d('revenue')} AS revenue, count(*) AS customers, {d('max(upto)')} AS reached, {pct('max(upto)', 'max(whole)')} AS reached_percentage FROM u GROUP BY revenue"""
+u AS (SELECT *, sum(revenue) OVER (ORDER BY revenue DESC, id ROWS UNBOUNDED PRECEDING) AS upto, sum(revenue) OVER () AS whole FROM t)
+SELECT id, {d('revenue')} AS revenue, {d('upto')} AS cumulative_revenue, {pct('upto', 'whole')} AS cumulative_percentage FROM u WHERE revenue IS NOT NULL"""
 
 
 def cohort_heatmap():
@@ -751,7 +749,9 @@ def quick_wins():
 
 
 def risk_alerts():
-    return f"""SELECT period, 'high' AS severity, 'High Churn Rate' AS title, 'monthly churn needs immediate attention' AS message,
+    return f"""SELECT period, 'high' AS severity, 'High Churn Rate' AS title,
+CASE WHEN churn_rate = floor(churn_rate) THEN CAST(CAST(churn_rate AS BIGINT) AS VARCHAR) ELSE CAST(churn_rate AS VARCHAR) END
+ || '% monthly churn needs immediate attention' AS description,
 'Review customer feedback and renewal campaigns' AS action FROM fx_periods WHERE churn_rate > 10
 UNION ALL SELECT period, 'high', 'Revenue Decline', 'Revenue down ' || {tenth('abs(revenue_change)')} || '% from previous period',
 'Analyze sales pipeline and pricing strategy' FROM fx_periods WHERE revenue_change < -10
@@ -780,4 +780,5 @@ def anonymize_orders():
 
 
 def anonymize_customermeta():
-    return f"""SELECT customer_id, meta_key, CASE WHEN meta_key = '_edd_customer_ip' THEN {_address('customer_id')} ELSE meta_value END AS meta_value FROM fx_customermeta"""
+    owner = "concat(coalesce(CAST(customer_id AS VARCHAR), ''), ':', meta_value)"
+    return f"""SELECT customer_id, meta_key, CASE WHEN meta_key = '_edd_customer_ip' THEN {_address(owner)} ELSE meta_value END AS meta_value FROM fx_customermeta"""

@@ -329,3 +329,14 @@ def test_top_growth_products_are_chosen_on_all_time(make_store):
     )
     found = rows_of(products.product_growth_trends(store, DAY, "2001-01-01", "2001-06-01", limit=1))
     assert [(r["date"], r["product_id"], r["units_sold"], r["revenue"], r["order_count"]) for r in found] == [("2001-05-01", 1, 2, 5, 1)]
+
+
+def test_means_divide_by_known_amounts(make_store):
+    store = make_store(
+        orders=[order(1, 1, "2001-06-10", 100), order(2, 1, "2001-06-11", 50), {**order(3, 2, "2001-06-12"), "total": None}],
+        order_items=[item(1, 7, 1, 30), item(2, 7, 1, None), item(3, 7, 2, 10)],
+    )
+    (month,) = rows_of(revenue.customer_engagement_metrics(store, DAY))
+    assert (month["total_orders"], month["avg_order_value"]) == (3, 75.0)
+    (kind,) = rows_of(products.bundle_performance(store, DAY))
+    assert (kind["order_count"], kind["units_sold"], kind["avg_revenue_per_sale"]) == (3, 4, 20.0)

@@ -33,8 +33,6 @@ ONE_ROW_JOINS = {
     "ltv_cac_ratio": 2,
     "revenue_run_rate": 2,
     "financial_health_indicators": 2,
-    "revenue_breakdown": 2,
-    "failed_payment_recovery": 2,
 }
 
 
@@ -104,8 +102,11 @@ def test_ranges_and_columns_reach_the_scan(stored):
     ],
 )
 def test_rolling_windows_reach_the_scan(stored, name, bound):
-    ranged = {"start": "2000-03-05"} if name == "refund_rates_by_month" else {}
-    assert bound in formatted(OPERATORS[name](stored, AS_OF, **ranged))
+    given = {
+        "refund_rates_by_month": {"start": "2000-03-05"},
+        "renewal_rates_by_month": {"cohort_first_day": "2015-01-01"},
+    }
+    assert bound in formatted(OPERATORS[name](stored, AS_OF, **given.get(name, {})))
 
 
 def test_counting_orders_needs_no_further_shuffle(stored):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tests.conftest import order, rows_of
@@ -93,3 +94,13 @@ def test_jdbc_reads_are_split(spark, make_store, monkeypatch):
         "format": "jdbc", "url": "jdbc:mysql://db/shop", "dbtable": "wp_edd_orders", "user": "u",
         "partitionColumn": "id", "lowerBound": 1, "upperBound": 9, "numPartitions": 4,
     }
+
+
+def test_reading_a_missing_column_is_an_error(spark, make_store):
+    full = make_store(orders=[order(1, 1, "2001-01-01", 12.5)])
+    for column in ("total", "type", "status", "date_created"):
+        store = Store.from_frames(spark, {"customers": full.customers, "orders": full.orders.drop(column)})
+        with pytest.raises(PySparkException, match=f"orders has no column {column}"):
+            revenue_by_month(store, "2001-08-02").collect()
+    without_gateway = Store.from_frames(spark, {"customers": full.customers, "orders": full.orders.drop("gateway")})
+    assert rows_of(revenue_by_month(without_gateway, "2001-08-02"))[0]["label"] == "January 2001"

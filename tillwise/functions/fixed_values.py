@@ -44,14 +44,14 @@ CHANNEL_OTHER = "Direct/Unknown"
 
 # Sales regions by ISO country code.
 REGIONS = (
-    ("North America", "US CA MX"),
-    ("Europe", "GB DE FR IT ES NL BE AT CH SE NO DK FI IE PT PL CZ GR"),
-    ("Asia Pacific", "AU NZ SG MY TH ID PH VN"),
-    ("Latin America", "BR AR CL CO PE VE EC UY"),
-    ("South Asia", "IN PK BD LK"),
-    ("East Asia", "CN JP KR TW HK"),
-    ("Africa", "ZA EG KE NG GH TZ UG"),
-    ("Middle East", "AE SA IL TR IQ IR JO LB KW QA"),
+    ("North America", ("US", "CA", "MX")),
+    ("Europe", ("GB", "DE", "FR", "IT", "ES", "NL", "BE", "AT", "CH", "SE", "NO", "DK", "FI", "IE", "PT", "PL", "CZ", "GR")),
+    ("Asia Pacific", ("AU", "NZ", "SG", "MY", "TH", "ID", "PH", "VN")),
+    ("Latin America", ("BR", "AR", "CL", "CO", "PE", "VE", "EC", "UY")),
+    ("South Asia", ("IN", "PK", "BD", "LK")),
+    ("East Asia", ("CN", "JP", "KR", "TW", "HK")),
+    ("Africa", ("ZA", "EG", "KE", "NG", "GH", "TZ", "UG")),
+    ("Middle East", ("AE", "SA", "IL", "TR", "IQ", "IR", "JO", "LB", "KW", "QA")),
 )
 REGION_OTHER = "Other"
 

@@ -29,7 +29,7 @@ def is_paid(status: Column | None = None) -> Column:
 
 def region_of(country: Column) -> Column:
     return first_match(
-        ((country.isin(*codes.split()), name) for name, codes in fv.REGIONS), fv.REGION_OTHER
+        ((country.isin(*codes), name) for name, codes in fv.REGIONS), fv.REGION_OTHER
     )
 
 

@@ -50,7 +50,9 @@ def anonymize_orders(store: Store, seed: str) -> DataFrame:
 
 
 def anonymize_customermeta(store: Store, seed: str) -> DataFrame:
-    masked = private_address(F.col("meta_value"), F.col("customer_id"), seed)
+    # A customer can have several addresses: the old value is part of the key, under the seed.
+    owner = F.concat(F.coalesce(F.col("customer_id").cast("string"), F.lit("")), F.lit(":"), F.col("meta_value"))
+    masked = private_address(F.col("meta_value"), owner, seed)
     is_address = F.col("meta_key") == fv.META_CUSTOMER_IP
     return store.customermeta.withColumn(
         "meta_value", F.when(is_address, masked).otherwise(F.col("meta_value"))

@@ -40,8 +40,8 @@ __all__ = [
 ]
 
 
-# Rows of one amount are spread over this many buckets.
-_TIE_BUCKETS = 1 << 12
+# Keys of equal amounts that are summed up in one task.
+_KEY_RANGE = 1 << 16
 
 
 def _number(column: str | Column) -> Column:
@@ -275,13 +275,15 @@ def pareto(df: DataFrame, revenue: str = "revenue", key: str = "id") -> DataFram
 
     ``revenue`` is a decimal amount, ``key`` identifies the row and orders equal
     amounts. The running total goes over blocks of amounts, and rows of one
-    amount over hash buckets, so neither a long list nor a crowd of equal
-    amounts ends up in a single task.
+    amount over ranges of keys (of first letters, if keys are text), so neither
+    a long list nor a crowd of equal amounts ends up in a single task.
     """
+    integral = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    ranges = F.floor(F.col(key) / _KEY_RANGE) if integral else F.substring(F.col(key).cast("string"), 1, 4)
     cells = df.filter(F.col(revenue).isNotNull()).withColumns(
         {
             **value_levels(F.col(revenue), descending=True),
-            "bucket": F.pmod(F.xxhash64(key), F.lit(_TIE_BUCKETS)),
+            "bucket": ranges,
         }
     )
     levels = ["super", "block", "fine", "bucket"]
@@ -391,6 +393,11 @@ def quick_wins(periods: DataFrame) -> DataFrame:
     return _fired(periods, rules, F.struct(*(c.alias(n) for n, c in steady.items())))
 
 
+def _shortest(number: Column) -> Column:
+    """A number as text: whole ones without a fraction, others in their shortest form."""
+    return F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string"))
+
+
 def risk_alerts(periods: DataFrame) -> DataFrame:
     """Warnings per period: churn, revenue decline, MRR contraction."""
     # The message texts.
@@ -408,7 +415,7 @@ def risk_alerts(periods: DataFrame) -> DataFrame:
     rules = [
         (churn > 10, alert(
             "high", "High Churn Rate", "Review customer feedback and renewal campaigns",
-            churn.cast("string"), "% monthly churn needs immediate attention")),
+            _shortest(churn), "% monthly churn needs immediate attention")),
         (revenue < -10, alert(
             "high", "Revenue Decline", "Analyze sales pipeline and pricing strategy",
             "Revenue down ", _one_decimal(F.abs(revenue)), "% from previous period")),

@@ -137,6 +137,10 @@ class Store:
         return self.spark.createDataFrame(rows, "table_name string, present boolean")
 
 
+# Columns a source may leave out; they read as NULL. A report that reads any other missing column fails.
+OPTIONAL_COLUMNS = {("customers", "name"), ("orders", "gateway"), ("orders", "ip")}
+
+
 def _declared(name: str, frame: DataFrame) -> DataFrame:
     """Select the declared columns; cast only where the stored type differs.
 
@@ -149,7 +153,9 @@ def _declared(name: str, frame: DataFrame) -> DataFrame:
         names = (field.name, *ALIASES.get((name, field.name), ()))
         source = next((stored[n] for n in names if n in stored), None)
         if source is None:
-            column = F.lit(None).cast(field.dataType)
+            optional = (name, field.name) in OPTIONAL_COLUMNS
+            absent = F.lit(None) if optional else F.raise_error(F.lit(f"table {name} has no column {field.name}"))
+            column = absent.cast(field.dataType)
         elif source.dataType == field.dataType:
             column = F.col(f"`{source.name}`")
         else:

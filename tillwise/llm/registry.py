@@ -12,7 +12,10 @@ from tillwise.llm.bpe_automaton import encoding_digests
 from tillwise.llm.decontaminate import find_overlaps
 from tillwise.llm.edit_counts import count_edited, private_data
 from tillwise.llm.exact_dedup import copy_groups
+from tillwise.llm.fill_in_middle import transformation_digests
 from tillwise.llm.lm_scoring import cross_entropy_difference
+from tillwise.llm.mixing import copies_per_document
+from tillwise.llm.periodic_runs import checksum_rewrite, run_digests
 from tillwise.llm.secrets import scan_secrets
 from tillwise.llm.sharding import shard_documents
 from tillwise.llm.simhash import near_duplicates
@@ -69,6 +72,19 @@ def op10_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return encoding_digests(_table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, directory: str) -> DataFrame:
+    return transformation_digests(_table(spark, directory, "documents"))
+
+
+def op12_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    return copies_per_document(_table(spark, directory, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """One document in ten is made periodic first."""
+    return run_digests(_table(spark, directory, "documents"), checksum_rewrite)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -80,9 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_mixing": op12_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": check_sql.EXACT_DEDUP,
     "op5_warc": check_sql.WARC,
+    "op11_fill_in_middle": check_sql.FILL_IN_MIDDLE,
+    "op12_mixing": check_sql.MIXING,
 }

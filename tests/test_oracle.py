@@ -27,7 +27,8 @@ def test_query_matches_check(spark, duck, name):
 def test_every_report_is_registered():
     assert set(OPERATORS) <= set(REGISTRY)
     assert set(dashboard.__all__) - {"with_trend_class"} <= set(REGISTRY)
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) <= set(entry.queries())
+    assert set(REGISTRY) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillwise import Store
 from tillwise.operators import OPERATORS
+from tillwise.plans.sales import totals_apart
 from tillwise.sources.sample_views import AS_OF
 
 # Reports that may sort one partition: their window runs over one row per month,
@@ -20,18 +22,18 @@ ITEM_SCANS = {
     "product_lifecycle_stages": 1,
     "profitability_by_segment": 1,
     "demand_forecast": 1,
-    "revenue_concentration": 2,
-    "product_performance_matrix": 2,
-    "bundle_performance": 2,
+    "revenue_concentration": 1,
+    "product_performance_matrix": 1,
+    "bundle_performance": 1,
 }
 # The only joins without a key: one-row totals, broadcast.
 ONE_ROW_JOINS = {
     "clv_distribution": 2,
-    "revenue_concentration": 3,
+    "revenue_concentration": 1,
     "product_performance_matrix": 1,
     "cash_flow_projection": 1,
     "ltv_cac_ratio": 2,
-    "revenue_run_rate": 2,
+    "revenue_run_rate": 3,
     "financial_health_indicators": 2,
 }
 
@@ -148,3 +150,120 @@ def test_hot_order_is_split(stored, spark, tmp_path, name):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert found == plain
     assert "SortMergeJoin(skew=true)" in final
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return plan_of(df).split("== Initial Plan ==")[0]
+
+
+def shuffles(plan: str) -> int:
+    """Shuffles that are made, without those that are used again."""
+    return len(re.findall(r"- Exchange (?!.*Reused)", plan))
+
+
+def scans(plan: str) -> list[str]:
+    return sorted(re.findall(r"/store/(\w+)\]", plan))
+
+
+@pytest.mark.parametrize(
+    "name, tables, most",
+    [
+        ("revenue_concentration", ["customers", "order_items", "orders", "orders"], 15),
+        ("product_performance_matrix", ["order_items", "orders", "products"], 6),
+        ("bundle_performance", ["order_items", "orders", "product_meta", "products"], 10),
+        ("revenue_by_region", ["order_addresses", "orders"], 5),
+        ("customers_by_country", ["customers", "order_addresses", "orders"], 6),
+        ("revenue_breakdown", ["orders"], 10),
+        ("failed_payment_recovery", ["orders"], 10),
+    ],
+)
+def test_tables_are_read_and_shuffled_once(stored, name, tables, most):
+    plan = final_plan(OPERATORS[name](stored, AS_OF))
+    assert scans(plan) == tables
+    assert shuffles(plan) <= most
+
+
+@pytest.mark.parametrize("name", ["revenue_by_region", "customers_by_country"])
+def test_addresses_are_placed_once(stored, name):
+    plan = plan_of(OPERATORS[name](stored, AS_OF))
+    assert len(re.findall(r"- Exchange hashpartitioning\(order_id#\d+L?, ", plan)) == 2  # orders, addresses
+    assert not re.findall(r"- Exchange hashpartitioning\(order_id#\d+L?, place", plan)
+
+
+def test_old_orders_are_not_asked_when_recent_ones_exist(stored, spark):
+    report = OPERATORS["revenue_run_rate"](stored, AS_OF)
+    plan = final_plan(report)
+    assert scans(plan) == ["orders", "subscriptions"]
+    (row,) = report.collect()
+    assert row["annual_run_rate"] > 0
+    # long after the last order: old orders are asked whether there ever was one
+    later = OPERATORS["revenue_run_rate"](stored, "2010-01-01")
+    assert scans(final_plan(later)).count("orders") > 1
+    (row,) = later.collect()
+    assert row["annual_run_rate"] == 0
+    empty = stored.with_tables(orders=stored.orders.filter("false"))
+    assert OPERATORS["revenue_run_rate"](empty, AS_OF).first()["annual_run_rate"] is None
+
+
+def skewed(spark, build):
+    """Final plan and rows of ``build()`` while small partitions already count as skewed."""
+    before = {key: spark.conf.get(key, None) for key in SKEW_SETTINGS}
+    try:
+        for key, value in SKEW_SETTINGS.items():
+            spark.conf.set(key, value)
+        report = build()
+        found = report.collect()
+        return plan_of(report).split("== Initial Plan ==")[0], found
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hot_keys_are_split_beside_totals(stored, spark, tmp_path):
+    """Joins of raw rows to an aggregate on the same key, most rows on one key."""
+    spark.range(0, 60_000, 1, 8).selectExpr("CASE WHEN id % 10 < 9 THEN 4 ELSE id % 1500 END AS k", "id AS v").write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    for how in ("inner", "left", "left_anti"):
+        plan, _ = skewed(spark, lambda: raw.join(totals_apart(raw, ["k"], F.max("v").alias("most")), "k", how))
+        assert "SortMergeJoin(skew=true)" in plan
+        plain, _ = skewed(spark, lambda: raw.join(raw.groupBy("k").agg(F.max("v").alias("most")), "k", how))
+        assert "SortMergeJoin(skew=true)" not in plain
+    assert totals_apart(raw, ["k"]).columns == ["k"]
+
+
+@pytest.mark.parametrize("name", ["mrr_by_month", "bundle_performance", "customer_acquisition_channels", "revenue_breakdown", "failed_payment_recovery"])
+def test_reports_split_their_hot_keys(stored, spark, tmp_path, name):
+    """One product, first payment, e-mail address or customer has most rows; the report stays the same."""
+    rows = spark.range(0, 60_000, 1, 8)
+    if name == "mrr_by_month":
+        tables = {"subscriptions": rows.selectExpr(
+            "id", "id AS customer_id", "CASE WHEN id % 10 < 9 THEN NULL ELSE id END AS parent_payment_id", "'active' AS status",
+            "CAST(5 AS DECIMAL(18,2)) AS initial_amount", "CAST(5 AS DECIMAL(18,2)) AS recurring_amount",
+            "TIMESTAMP'2001-01-01 00:00:00' + (id % 100) * INTERVAL '1' DAY AS created", "TIMESTAMP'2002-01-01 00:00:00' AS expiration")}
+    elif name == "bundle_performance":
+        tables = {
+            "orders": stored.orders.limit(1).drop("id", "customer_id").crossJoin(rows.selectExpr("id", "id % 900 AS customer_id")).withColumn("status", F.lit("complete")),
+            "order_items": rows.selectExpr(
+                "id AS order_id", "CASE WHEN id % 10 < 9 THEN 35 ELSE id % 90 END AS product_id", "1 AS quantity", "CAST(id % 7 AS DECIMAL(18,2)) AS total"),
+        }
+    elif name == "customer_acquisition_channels":
+        tables = {"customers": rows.selectExpr(
+            "id", "CASE WHEN id % 10 < 9 THEN 'c1@shop.test' ELSE concat('c', id, '@shop.test') END AS email", "'n' AS name",
+            "TIMESTAMP'2001-01-01 00:00:00' AS date_created", "1L AS purchase_count", "CAST(5 AS DECIMAL(18,2)) AS purchase_value")}
+    else:
+        tables = {"orders": rows.selectExpr(
+            "id", "0L AS parent", "CASE WHEN id % 10 < 9 THEN 1 ELSE id END AS customer_id",
+            "CASE WHEN id % 5 = 0 THEN 'failed' ELSE 'complete' END AS status", "'sale' AS type", "'g' AS gateway", "'e' AS email", "'i' AS ip",
+            "CAST(id % 9 AS DECIMAL(18,2)) AS total", "TIMESTAMP'2001-03-01 10:00:00' + (id * 53 % 3600000) * INTERVAL '0.001' SECOND AS date_created")}
+    for table, frame in tables.items():
+        frame.write.parquet(f"{tmp_path}/{table}")
+    store = stored.with_tables(**{table: spark.read.parquet(f"{tmp_path}/{table}") for table in tables})
+    plain = OPERATORS[name](store, AS_OF).collect()
+    plan, found = skewed(spark, lambda: OPERATORS[name](store, AS_OF))
+    assert found == plain
+    if name in ("revenue_breakdown", "failed_payment_recovery"):
+        # spread by blocks of time from the start: rows are never placed by customer alone
+        assert not re.findall(r"- Exchange hashpartitioning\((?:owner|customer_id)#\d+L?, \d+\)", plan)
+    else:
+        assert "SortMergeJoin(skew=true)" in plan

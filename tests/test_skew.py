@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 from collections import defaultdict
 from decimal import Decimal
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from tests.conftest import order, rows_of
 from tillwise.operators import dashboard
 from tillwise.operators.revenue import failed_payment_recovery, revenue_breakdown
+from tillwise.plans import sales
 from tillwise.plans.prefix import running_before, value_counts, value_ranks
+from tillwise.plans.ranges import label_places, ranged
 from tillwise.sources.sample_views import AS_OF
 
 DAY = dt.timedelta(days=1)
@@ -104,8 +107,8 @@ def test_running_before_in_blocks(spark):
     rng = random.Random(3)
     data = [(rng.choice([1, 1, 2, 3, None]), rng.randrange(-50, 50), i, rng.choice([None, 4])) for i in range(400)]
     rows = spark.createDataFrame(data, "k long, at long, a long, b long")
-    for width in (1, 10, 1000):
-        found = running_before(rows, "k", "at", {"a": "sum", "b": "max"}, width).collect()
+    for widths in ((1,), (10, 1), (1000, 7), (40, 10, 2)):
+        found = running_before(rows, "k", "at", {"a": "sum", "b": "max"}, widths=widths).collect()
         assert len(found) == len(data)
         for r in found:
             earlier = [d for d in data if r["k"] is not None and d[0] == r["k"] and d[1] < r["at"]]
@@ -113,6 +116,34 @@ def test_running_before_in_blocks(spark):
             assert r["b_before"] == max((d[3] for d in earlier if d[3] is not None), default=None)
 
 
+def test_busy_hour_is_split(spark):
+    """One key, one hour, many moments and totals: no window has more than a tenth of a second of them."""
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("1L AS k", "id * 17923 % 3600000000 AS at", "id % 977 AS a")
+    found = running_before(rows, "k", "at", {"a": "sum"})
+    blocks = found.groupBy("block_0", "block_1").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    assert blocks[0] <= 40 and blocks[1] >= 30_000
+    sums = found.orderBy("at").select("at", "a", "a_before").collect()
+    running = 0
+    for row in sums:
+        assert (row.a_before or 0) == running
+        running += row.a
+
+
+def test_busy_hour_tasks_are_even(spark):
+    """The rows of one customer's busy hour go to all tasks, in about equal parts."""
+    rows = spark.range(0, 100_000, 1, 8).selectExpr("CASE WHEN id % 10 < 9 THEN 1L ELSE id END AS k", "id * 17923 % 3600000000 AS at", "id AS a")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        parts = running_before(rows, "k", "at", {"a": "sum"}).groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = [row.n for row in parts.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert len(sizes) == 16 and max(sizes) < 2 * 100_000 / 16
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_value_ranks(spark, descending):
     rng = random.Random(5)
@@ -135,3 +166,36 @@ def test_pareto_running_totals(spark):
         running += r["revenue"]
         assert r["cumulative_revenue"] == running
     assert max(r["cumulative_percentage"] for r in found) == 100.0
+
+
+def test_pareto_text_keys_with_a_common_prefix(spark):
+    """Equal amounts, keys that differ behind 30 characters only: ranges of keys stay even."""
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("concat(repeat('x', 30), lpad(string(id * 7919 % 20000), 9, '0')) AS id", "CAST(5 AS DECIMAL(18,2)) AS revenue")
+    sizes = [row[1] for row in ranged(rows, ["id"]).groupBy("range").count().collect()]
+    assert len(sizes) > 400 and max(sizes) < 20 * 20_000 / 512
+    found = dashboard.pareto(rows).orderBy("id").collect()
+    assert [row.cumulative_revenue for row in found] == [5 * (k + 1) for k in range(20_000)]
+
+
+def test_a_million_labels_are_numbered_in_ranges(spark):
+    rows = spark.range(0, 1_000_000, 1, 8).selectExpr("concat('cohort-', lpad(string(id), 12, '0')) AS cohort", "id")
+    places = label_places(rows, "cohort", "at")
+    wrong = rows.join(places, "cohort").filter("id <> at").count()
+    assert wrong == 0 and places.count() == 1_000_000
+    windows = re.findall(r"windowspecdefinition\((\w+)#", places._jdf.queryExecution().executedPlan().toString())
+    assert set(windows) == {"range"}
+
+
+def test_long_lists_are_cut_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(sales, "MERGED", 100)
+    rows = spark.range(0, 5000, 1, 4).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 13 AS DECIMAL(18,2)) END AS v", "concat('k', id % 50) AS name")
+    for order, plain in (
+        (("-v", "id"), (F.col("v").desc(), "id")), (("v", "-id"), (F.col("v").asc(), F.desc("id"))),
+        ((F.col("name"), "-v", "id"), ("name", F.desc("v"), "id")),
+    ):
+        for limit in (101, 2500, 4999, 6000):
+            assert sales.head(rows, limit, *order).collect() == rows.orderBy(*plain).limit(limit).collect()
+    long = sales.head(rows, 10**8, "-v", "id")._jdf.queryExecution().executedPlan().toString()
+    # the only limited lists are the samples that the ranges are cut at
+    assert set(re.findall(r"TakeOrderedAndProject\(limit=(\d+)", long)) == {"512"} and "GlobalLimit" not in long and "CollectLimit" not in long
+    assert sales.head(rows, 50, "-v", "id")._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject(limit=50") == 1

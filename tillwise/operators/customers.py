@@ -35,7 +35,7 @@ from tillwise.plans.customers import (
     subscription_counts,
 )
 from tillwise.plans.prefix import value_counts, value_ranks
-from tillwise.plans.sales import billing_places, count_if, paid_orders, rows, sum_if, head, zero
+from tillwise.plans.sales import count_if, head, paid_orders, rows, sum_if, totals_apart, with_billing_places, zero
 from tillwise.sources.store import Store
 
 __all__ = [
@@ -79,7 +79,7 @@ def customer_lifetime_values(
             _days_since(as_of, "date_created").alias("days_active"),
             F.col("last_order").alias("last_purchase_date"),
         )
-        .transform(head, limit, F.desc("total_spent"), "customer_id")
+        .transform(head, limit, "-total_spent", "customer_id")
     )
 
 
@@ -221,7 +221,7 @@ def customer_health_scores(store: Store, as_of: Day, limit: int | None = 100) ->
             first_match(((rule, status) for rule, status, _ in grades), "Poor").alias("health_status"),
             first_match(((rule, score) for rule, _, score in grades), 10).alias("health_score"),
         )
-        .transform(head, limit, F.desc("health_score"), F.desc("total_spent"), "customer_id")
+        .transform(head, limit, "-health_score", "-total_spent", "customer_id")
     )
 
 
@@ -250,7 +250,7 @@ def at_risk_customers(store: Store, as_of: Day, limit: int | None = 50) -> DataF
             ended.alias("recent_cancellations"),
             risk.alias("churn_risk"),
         )
-        .transform(head, limit, position(F.col("churn_risk"), ("High", "Medium", "Low")), F.desc("total_spent"), "customer_id")
+        .transform(head, limit, position(F.col("churn_risk"), ("High", "Medium", "Low")), "-total_spent", "customer_id")
     )
 
 
@@ -266,10 +266,12 @@ def customer_acquisition_channels(
     weight is computed from counts, the repeated rows are never built.
     ``dedupe=True`` drops the weight: one row per customer and channel.
     """
-    notes = (
-        store.notes.filter(F.col("comment_type") == fv.PAYMENT_NOTE)
-        .groupBy(F.lower("comment_author_email").alias("mail"), channel_of(F.col("content")).alias("channel"))
-        .agg(rows("notes"))
+    notes = totals_apart(
+        store.notes.filter(F.col("comment_type") == fv.PAYMENT_NOTE).select(
+            F.lower("comment_author_email").alias("mail"), channel_of(F.col("content")).alias("channel")
+        ),
+        ["mail", "channel"],
+        rows("notes"),
     )
     spent = (
         store.orders.filter(F.col("customer_id").isNotNull())
@@ -369,19 +371,18 @@ def customers_by_country(
 
     Customers without orders, orders without billing address and addresses
     without country are all "Unknown". An order with several billing addresses
-    repeats in the revenue. Orders are totalled per customer and country before
-    they meet the customer table.
+    repeats in the revenue. Addresses are placed once, by order; orders are totalled
+    per customer and country before they meet the customer table.
     """
     orders = store.orders.filter(F.col("customer_id").isNotNull()).select(
         F.col("id").alias("order_id"),
         "customer_id",
         F.when(is_paid(), cents_of("total")).otherwise(0).alias("cents"),
     )
-    countries = billing_places(store, F.coalesce("country", F.lit("Unknown")))
     per_customer = (
-        orders.join(countries, "order_id", "left")
+        with_billing_places(orders, store, F.coalesce("country", F.lit("Unknown")))
         .groupBy("customer_id", F.coalesce("place", F.lit("Unknown")).alias("country"))
-        .agg(rows("orders"), F.sum(F.col("cents") * F.coalesce("copies", F.lit(1))).alias("cents"))
+        .agg(rows("orders"), F.sum(F.col("cents") * F.col("copies")).alias("cents"))
     )
     people = signups(store, start, end).select(F.col("id").alias("customer_id"))
     return (
@@ -392,5 +393,5 @@ def customers_by_country(
             zero(F.sum("orders")).alias("total_orders"),
             money_of(zero(F.sum("cents")), 38).alias("total_revenue"),
         )
-        .transform(head, limit, F.desc("customer_count"), "country")
+        .transform(head, limit, "-customer_count", "country")
     )

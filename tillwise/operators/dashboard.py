@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillwise.functions import fixed_values as fv
 from tillwise.functions.labels import first_match, position, rfm_segment, trend_class
 from tillwise.functions.numbers import ratio, rounded
+from tillwise.plans.ranges import label_places, ranged
 from tillwise.plans.prefix import prefix_before, value_levels
 from tillwise.plans.sales import count_if, rows, zero
 
@@ -275,17 +276,13 @@ def pareto(df: DataFrame, revenue: str = "revenue", key: str = "id") -> DataFram
 
     ``revenue`` is a decimal amount, ``key`` identifies the row and orders equal
     amounts. The running total goes over blocks of amounts, and rows of one
-    amount over ranges of keys (of first letters, if keys are text), so neither
-    a long list nor a crowd of equal amounts ends up in a single task.
+    amount over ranges of keys (text keys are cut where they crowd), so neither a
+    long list nor a crowd of equal amounts ends up in a single task.
     """
     integral = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    ranges = F.floor(F.col(key) / _KEY_RANGE) if integral else F.substring(F.col(key).cast("string"), 1, 4)
-    cells = df.filter(F.col(revenue).isNotNull()).withColumns(
-        {
-            **value_levels(F.col(revenue), descending=True),
-            "bucket": ranges,
-        }
-    )
+    known = df.filter(F.col(revenue).isNotNull())
+    known = known.withColumn("bucket", F.floor(F.col(key) / _KEY_RANGE)) if integral else ranged(known, [key], "bucket")
+    cells = known.withColumns(value_levels(F.col(revenue), descending=True))
     levels = ["super", "block", "fine", "bucket"]
     totals = cells.groupBy(*levels).agg(F.sum(revenue).alias("amount"))
     before = prefix_before(totals, [], levels, {"amount": "sum"}).drop("amount")
@@ -307,19 +304,12 @@ def pareto(df: DataFrame, revenue: str = "revenue", key: str = "id") -> DataFram
 def cohort_heatmap(cohorts: DataFrame) -> DataFrame:
     """``(month_idx, cohort_idx, revenue)`` with 0-based positions of the sorted labels.
 
-    Labels are counted from their distinct values (cohorts and months are
-    calendar months), never from a window over the data.
+    Labels are ranked by ranges of their distinct values, never in one task.
     """
-
-    def positions(column: str, name: str) -> DataFrame:
-        labels = cohorts.select(column).distinct()
-        order = Window.orderBy(column)
-        return labels.select(column, (F.row_number().over(order) - 1).alias(name))
-
     peak = cohorts.agg(F.max(_number("revenue")).alias("max_revenue"))
     return (
-        cohorts.join(positions("cohort", "cohort_idx"), "cohort")
-        .join(positions("month_number", "month_idx"), "month_number")
+        cohorts.join(label_places(cohorts, "cohort", "cohort_idx"), "cohort")
+        .join(label_places(cohorts, "month_number", "month_idx"), "month_number")
         .crossJoin(F.broadcast(peak))
         .select("month_idx", "cohort_idx", _number("revenue").alias("revenue"), "max_revenue")
     )

@@ -18,6 +18,7 @@ from tillwise.functions.dates import (
 from tillwise.functions.labels import first_match, graded, is_paid
 from tillwise.functions.numbers import leading_number, money_sum, percent, percent_change, ratio, rounded, rounded_ratio
 from tillwise.operators.products import bundle_marks, meta_rows, split_by_type
+from tillwise.plans.prefix import all_read
 from tillwise.plans.sales import count_if, paid_orders, rows, sold_items, sum_if
 from tillwise.sources.store import Store
 
@@ -206,21 +207,26 @@ def ltv_cac_ratio(store: Store, as_of: Day) -> DataFrame:
 def revenue_run_rate(store: Store, as_of: Day) -> DataFrame:
     """Run rates from the last month, the last three months and the subscriptions.
 
-    Only three months of orders are read. A shop that never had a paid order
-    gets NULL instead of 0; one row is enough to tell.
+    Only three months of orders are read. A shop that never had a paid order gets
+    NULL instead of 0. Older orders are asked about that only where the three months
+    have none: they are joined to a broadcast that is empty otherwise, and then
+    adaptive execution drops the join before it starts a task.
     """
     today = required_day(as_of)
     one, three = at(shift_months(today, -1)), at(shift_months(today, -3))
-    recent = paid_orders(store).filter(F.col("date_created") >= three).agg(
-        sum_if(F.col("date_created") >= one, "total").alias("month"), money_sum("total").alias("quarter")
+    created = F.col("date_created")
+    recent = paid_orders(store).filter(created >= three).agg(
+        sum_if(created >= one, "total").alias("month"), money_sum("total").alias("quarter"), rows("lately")
     )
-    ever = paid_orders(store).limit(1).agg(rows("ever"))
+    doubtful = recent.filter((F.col("lately") == 0) & all_read("month", "quarter")).select("lately")
+    older = paid_orders(store).filter((created < three) | created.isNull()).select("id")
+    ever = older.crossJoin(F.broadcast(doubtful)).limit(1).agg(rows("ever"))
     subs = store.subscriptions.filter(F.col("status") == fv.ACTIVE).agg(
         money_sum("recurring_amount").alias("mrr_from_subscriptions")
     )
 
     def known(amount):
-        return F.when(F.col("ever") > 0, F.coalesce(amount.cast("double"), F.lit(0.0)))
+        return F.when(F.col("ever") + F.col("lately") > 0, F.coalesce(amount.cast("double"), F.lit(0.0)))
 
     month, quarter = known(F.col("month")), known(F.col("quarter"))
     return (

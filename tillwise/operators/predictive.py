@@ -60,7 +60,7 @@ def churn_prediction_scores(store: Store, as_of: Day, limit: int | None = 100) -
         .withColumn("churn_risk", first_match(((rule, risk) for rule, risk, _ in levels), "Low"))
         .withColumn("churn_score", first_match(((rule, score) for rule, _, score in levels), 20))
         .drop("ended")
-        .transform(head, limit, F.desc("churn_score"), F.desc("lifetime_value"), "customer_id")
+        .transform(head, limit, "-churn_score", "-lifetime_value", "customer_id")
     )
 
 
@@ -149,7 +149,7 @@ def demand_forecast(store: Store, as_of: Day, days: int = 30, limit: int | None
             mean_units(latest).alias("now"),
             mean_units(earlier).alias("then"),
         )
-        .transform(head, limit, F.desc("total_revenue"), "product_id")
+        .transform(head, limit, "-total_revenue", "product_id")
     )
     trend = first_match(
         ((F.col("now") > F.col("then"), "Increasing"), (F.col("now") < F.col("then"), "Decreasing")), "Stable"

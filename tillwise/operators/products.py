@@ -18,7 +18,8 @@ from tillwise.functions.dates import (
 )
 from tillwise.functions.labels import first_match, position
 from tillwise.functions.numbers import cents_of, money_of, money_sum, percent_change, ratio, rounded_ratio
-from tillwise.plans.sales import paid_orders, rows, sold_items, sum_if, head, with_titles, zero
+from tillwise.plans.prefix import all_read
+from tillwise.plans.sales import count_if, head, items_of, paid_orders, rows, sold_items, sum_if, totals_apart, with_titles, zero
 from tillwise.sources.store import Store
 
 __all__ = [
@@ -58,7 +59,7 @@ def top_products(
             rounded_ratio(F.sum("prices"), F.sum("priced")).alias("avg_price"),
             rounded_ratio(money_of(F.sum("cents")), F.count(F.lit(1))).alias("aov"),
         )
-        .transform(head, limit, F.desc("total_revenue"), "product_id")
+        .transform(head, limit, "-total_revenue", "product_id")
     )
     return (
         with_titles(top, store)
@@ -95,7 +96,7 @@ def product_growth_trends(
             F.sum("all_cents").alias("ranking"),
             F.collect_list(F.struct("month", "units_sold", "revenue", "order_count")).alias("months"),
         )
-        .transform(head, limit, F.desc("ranking"), "product_id")
+        .transform(head, limit, "-ranking", "product_id")
     )
     return (
         with_titles(top, store)
@@ -126,33 +127,33 @@ def product_performance_matrix(
     today = required_day(as_of)
     three, six = shift_months(today, -3), shift_months(today, -6)
     sold_at = F.col("date_created")
-    current = sum_if(sold_at >= at(three), "item_total")
-    previous = sum_if((sold_at >= at(six)) & (sold_at < at(three)), "item_total")
+    recent = sold_at >= at(three)
+    earlier = (sold_at >= at(six)) & (sold_at < at(three))
+    listed = is_within(sold_at, start, end)
 
-    means = (
-        sold_items(store, six, None, "date_created")
+    # Items meet their orders once: those of the range and those of the last six months.
+    orders = paid_orders(store).filter(listed | (sold_at >= at(six)))
+    per_product = (
+        items_of(store, orders.select(F.col("id").alias("order_id"), "date_created"))
         .groupBy("product_id")
         .agg(
-            money_sum("item_total", sold_at >= at(three)).alias("now"),
-            current.alias("current"),
-            previous.alias("previous"),
-        )
-        .agg(
-            F.sum("now").alias("now_total"),
-            F.count("now").alias("now_products"),
-            F.avg(100.0 * ratio(F.col("current") - F.col("previous"), F.col("previous"))).alias("avg_growth"),
+            money_sum("item_total", recent).alias("now"),
+            sum_if(recent, "item_total").alias("current"),
+            sum_if(earlier, "item_total").alias("previous"),
+            count_if(sold_at >= at(six)).alias("lately"),
+            sum_if(listed & recent, "item_total").alias("current_revenue"),
+            sum_if(listed & earlier, "item_total").alias("previous_revenue"),
+            F.sum(F.when(listed, F.col("quantity"))).alias("units_sold"),
         )
+        .filter(all_read("now", "current", "previous", "lately", "current_revenue", "previous_revenue", "units_sold"))
     )
-    products = (
-        sold_items(store, start, end, "date_created")
-        .groupBy("product_id")
-        .agg(
-            current.alias("current_revenue"),
-            previous.alias("previous_revenue"),
-            F.sum("quantity").alias("units_sold"),
-        )
-        .filter(F.col("current_revenue") > 0)
-        .withColumn("growth_rate", percent_change(F.col("current_revenue"), F.col("previous_revenue")))
+    means = per_product.filter(F.col("lately") > 0).agg(
+        F.sum("now").alias("now_total"),
+        F.count("now").alias("now_products"),
+        F.avg(100.0 * ratio(F.col("current") - F.col("previous"), F.col("previous"))).alias("avg_growth"),
+    )
+    products = per_product.filter(F.col("current_revenue") > 0).withColumn(
+        "growth_rate", percent_change(F.col("current_revenue"), F.col("previous_revenue"))
     )
     # revenue >= total / products, without dividing
     strong = F.col("current_revenue") * F.col("now_products") >= F.col("now_total")
@@ -181,20 +182,24 @@ def meta_rows(store: Store, key: str) -> DataFrame:
 
 
 def bundle_marks(store: Store) -> DataFrame:
-    """``product_id, marks, blanks``: bundle attribute rows with and without a value."""
-    counted = meta_rows(store, fv.META_BUNDLE).groupBy(F.col("post_id").alias("product_id")).agg(
-        F.count("meta_value").alias("marks"), rows("all_marks")
+    """``product_id, post_parent, marks, blanks``: bundle attribute rows with and without a value, of every product."""
+    nothing = F.lit(0).cast("long")
+    products = store.products.select(
+        F.col("id").alias("product_id"), "post_parent", F.lit(1).alias("known"), nothing.alias("marks"), nothing.alias("blanks")
     )
-    return (
-        store.products.select(F.col("id").alias("product_id"), "post_parent")
-        .join(counted, "product_id", "left")
-        .select(
-            "product_id",
-            "post_parent",
-            zero("marks").alias("marks"),
-            (zero("all_marks") - zero("marks")).alias("blanks"),
-        )
+    filled = F.col("meta_value").isNotNull().cast("long")
+    attributes = meta_rows(store, fv.META_BUNDLE).select(
+        F.col("post_id").alias("product_id"),
+        F.lit(None).cast("long").alias("post_parent"), F.lit(None).cast("int").alias("known"),
+        filled.alias("marks"), (1 - filled).alias("blanks"),
+    )
+    described = totals_apart(
+        products.unionByName(attributes),
+        ["product_id"],
+        F.max("post_parent").alias("post_parent"), F.count("known").alias("known"),
+        F.sum("marks").alias("marks"), F.sum("blanks").alias("blanks"),
     )
+    return described.filter(F.col("known") > 0).drop("known")
 
 
 def split_by_type(per_product: DataFrame, child_is_bundle: bool) -> DataFrame:
@@ -222,24 +227,25 @@ def bundle_performance(store: Store, as_of: Day, start: Day = None, end: Day = N
     """Bundles against individual products.
 
     A product is a bundle when it has a parent or a bundle attribute. Items meet
-    their orders once. From the result, per product, order and customer, come
-    the amounts (totalled per product before the type is attached) and the
-    distinct orders and customers per type.
+    their orders once, are totalled per product, order and customer where the join
+    has put them, and are placed by product once, with the marks of the product.
+    There the amounts are totalled per product before the type is attached; distinct
+    orders and customers are counted per type.
     """
-    marks = bundle_marks(store)
     lines = (
         sold_items(store, start, end, "customer_id")
         .groupBy("product_id", "order_id", "customer_id")
-        .agg(
-            F.count("item_total").alias("lines"), F.sum("quantity").alias("units"),
-            F.sum(cents_of("item_total")).alias("cents"),
-        )
+        .agg(F.count("item_total").alias("lines"), F.sum("quantity").alias("units"), F.sum(cents_of("item_total")).alias("cents"))
+    )
+    described = lines.join(bundle_marks(store), "product_id", "left").filter(
+        all_read("order_id", "customer_id", "lines", "units", "cents", "post_parent", "marks", "blanks")
     )
     amounts = (
         split_by_type(
-            lines.groupBy("product_id")
-            .agg(F.sum("lines").alias("lines"), F.sum("units").alias("units"), money_of(F.sum("cents")).alias("revenue"))
-            .join(marks, "product_id", "left"),
+            described.groupBy("product_id").agg(
+                F.sum("lines").alias("lines"), F.sum("units").alias("units"), money_of(F.sum("cents")).alias("revenue"),
+                *(F.max(name).alias(name) for name in ("post_parent", "marks", "blanks")),
+            ),
             child_is_bundle=True,
         )
         .groupBy("product_type")
@@ -251,7 +257,7 @@ def bundle_performance(store: Store, as_of: Day, start: Day = None, end: Day = N
         )
     )
     buyers = (
-        split_by_type(lines.select("product_id", "order_id", "customer_id").join(marks, "product_id", "left"), child_is_bundle=True)
+        split_by_type(described, child_is_bundle=True)
         .groupBy("product_type", "order_id", "customer_id").agg(rows())
         .groupBy("product_type", "customer_id").agg(rows("orders"))
         .groupBy("product_type")

@@ -20,15 +20,15 @@ from tillwise.functions.dates import (
 from tillwise.functions.labels import is_paid, region_of
 from tillwise.functions.numbers import cents_of, money_of, money_sum, percent, percent_change, rounded_ratio
 from tillwise.plans.customers import signups
-from tillwise.plans.prefix import running_before, value_counts, value_ranks
+from tillwise.plans.prefix import all_read, running_before, value_ranks
 from tillwise.plans.sales import (
-    billing_places,
     count_if,
     monthly_customer_sales,
     paid_orders,
     rows,
     sold_items,
     sum_if,
+    with_billing_places,
     zero,
 )
 from tillwise.sources.store import Store
@@ -165,19 +165,17 @@ def revenue_by_region(store: Store, as_of: Day, start: Day = None, end: Day = No
     """Paid revenue per sales region of the billing address.
 
     An order with several billing addresses counts once per address in the sums
-    and averages, and once per region in ``order_count``. The copies are a
-    multiplier; the repeated rows are never built.
+    and averages, and once per region in ``order_count``. Addresses are placed once,
+    by order, and collapse there.
     """
-    regions = billing_places(store, region_of(F.col("country")))
-    orders = paid_orders(store, start, end).select(F.col("id").alias("order_id"), "customer_id", "total")
-    copies = F.coalesce("copies", F.lit(1))
+    orders = paid_orders(store, start, end).select(F.col("id").alias("order_id"), "customer_id", cents_of("total").alias("cents"))
     return (
-        orders.join(regions, "order_id", "left")
+        with_billing_places(orders, store, region_of(F.col("country")))
         .groupBy(F.coalesce("place", F.lit(fv.REGION_OTHER)).alias("region"), "customer_id")
         .agg(
             rows("orders"),
-            F.sum(F.when(F.col("total").isNotNull(), copies)).alias("copies"),
-            F.sum(cents_of("total") * copies).alias("cents"),
+            F.sum(F.when(F.col("cents").isNotNull(), F.col("copies"))).alias("copies"),
+            F.sum(F.col("cents") * F.col("copies")).alias("cents"),
         )
         .groupBy("region")
         .agg(
@@ -221,7 +219,7 @@ def revenue_breakdown(
         {"priced": F.when(F.col("cents").isNotNull(), F.col("orders")), "amount": F.col("cents") * F.col("orders")}
     )
     measures = {"orders": "sum", "priced": "sum", "amount": "sum"}
-    tracked = running_before(measured, "owner", "instant", measures, _HOUR).select(
+    tracked = running_before(measured, "owner", "instant", measures).select(
         "type",
         "amount",
         "instant",
@@ -247,60 +245,94 @@ def revenue_breakdown(
     return by_month_series(monthly, *parts, "total_revenue")
 
 
-def _top_shares(values: DataFrame, value: str, quotas: DataFrame, segments: dict[str, str]) -> DataFrame:
-    """Count and sum of the ``k`` largest values, for each quota column ``k``.
+def _customer_amounts(store: Store) -> DataFrame:
+    """One row per customer, or owner of orders: its paid amount, and whether it is a customer and ranked.
 
-    ``quotas`` is a one-row table, ``segments`` maps its columns to labels. The
-    sums come from the ranks of the distinct values: ties at the edge have equal
-    value, so taking part of them is exact.
+    Orders without a customer are a row of their own: they are in the total only.
     """
-    ranks = value_ranks(value_counts(values, value), value, descending=True).crossJoin(F.broadcast(quotas))
-    taken = {k: F.greatest(F.least(F.col("n"), F.col(k) - F.col("n_before")), F.lit(0)) for k in segments}
-    totals = ranks.agg(
-        *(zero(F.sum(n)).alias(f"{k}_count") for k, n in taken.items()),
-        *(F.sum(F.when(n > 0, n * F.col(value))).alias(f"{k}_revenue") for k, n in taken.items()),
+    spent = store.orders.groupBy(F.col("customer_id").alias("owner")).agg(sum_if(is_paid(), "total").alias("amount"))
+    people = store.customers.select(F.col("id").alias("customer_id"))
+    both = spent.join(people, F.col("owner") == F.col("customer_id"), "full")
+    # Owners without a row in the customer table still spent something.
+    return both.select(
+        F.lit("Customers").alias("kind"),
+        "amount",
+        F.col("customer_id").isNotNull().alias("counted"),
+        (F.col("customer_id").isNotNull() & F.col("amount").isNotNull()).alias("ranked"),
     )
-    lines = F.array(
-        *(
-            F.struct(
-                F.lit(label).alias("segment"),
-                F.col(f"{k}_count").alias("count"),
-                F.col(f"{k}_revenue").alias("revenue"),
-            )
-            for k, label in segments.items()
-        )
+
+
+def _product_amounts(store: Store) -> DataFrame:
+    """One row per product of any order: its paid amount, ranked if there is one."""
+    orders = paid_orders(store).select(F.col("id").alias("order_id"), F.lit(True).alias("paid"))
+    amounts = (
+        store.order_items.withColumnRenamed("total", "item_total")
+        .join(orders, "order_id", "left")
+        .groupBy("product_id")
+        .agg(money_sum("item_total", F.col("paid")).alias("amount"), F.count("paid").alias("sold"))
+    )
+    return amounts.select(
+        F.lit("Products").alias("kind"),
+        "amount",
+        F.col("product_id").isNotNull().alias("counted"),
+        (F.col("sold") > 0).alias("ranked"),
     )
-    return totals.select(F.inline(lines))
 
 
 def revenue_concentration(store: Store, as_of: Day) -> DataFrame:
     """Share of revenue made by the top 10 % / 20 % of customers and 10 % of products.
 
     The customer quota is a share of all customers, but only those with an
-    order are ranked; the product quota is a share of all products ever sold.
+    order are ranked; the product quota is a share of all products ever sold. One
+    pass per customer and one per product give equal amounts with their numbers;
+    from those come the quotas, the total and the ranks of both kinds. Ties at the
+    edge have equal amounts, so taking part of them is exact.
     """
-    with_orders = (
-        store.orders.filter(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(sum_if(is_paid(), "total").alias("spent"))
-    )
-    spent = with_orders.join(
-        store.customers.select(F.col("id").alias("customer_id")), "customer_id", "left_semi"
+    kind, value = F.col("kind"), F.col("amount")
+    amounts = (
+        _customer_amounts(store)
+        .unionByName(_product_amounts(store))
+        .groupBy("kind", "amount")
+        .agg(
+            count_if(F.col("ranked") & value.isNotNull()).alias("n"),
+            count_if(F.col("counted")).alias("members"),
+            rows("owners"),
+        )
+        .filter(all_read("n", "members", "owners"))
     )
-    sold = sold_items(store).groupBy("product_id").agg(money_sum("item_total").alias("earned"))
-    distinct_products = store.order_items.groupBy("product_id").agg(rows())
 
-    def quota(counted: str, share: str) -> Column:
+    def quota(of: str, share: str) -> Column:
         # decimal arithmetic: 0.1 * 30 must be exactly 3
-        return F.floor(F.count(counted) * F.lit(share).cast("decimal(3,2)")).cast("long")
-
-    customers = store.customers.agg(quota("id", "0.10").alias("tenth"), quota("id", "0.20").alias("fifth"))
-    products = distinct_products.agg(quota("product_id", "0.10").alias("tenth"))
-    parts = _top_shares(
-        spent, "spent", customers, {"tenth": "Top 10% Customers", "fifth": "Top 20% Customers"}
-    ).unionByName(_top_shares(sold, "earned", products, {"tenth": "Top 10% Products"}))
-    total = paid_orders(store).agg(money_sum("total").alias("all_revenue"))
-    return parts.crossJoin(F.broadcast(total)).select(
+        members = zero(F.sum(F.when(kind == of, F.col("members"))))
+        return F.floor(members * F.lit(share).cast("decimal(3,2)")).cast("long")
+
+    segments = {
+        "tenth": ("Customers", "0.10", "Top 10% Customers"),
+        "fifth": ("Customers", "0.20", "Top 20% Customers"),
+        "best": ("Products", "0.10", "Top 10% Products"),
+    }
+    totals = amounts.agg(
+        *(quota(of, share).alias(name) for name, (of, share, _) in segments.items()),
+        F.sum(F.when(kind == "Customers", value * F.col("owners"))).alias("all_revenue"),
+    )
+    counts = amounts.filter("n > 0").select("kind", "amount", "n")
+    ranks = value_ranks(counts, "amount", descending=True, within=["kind"]).crossJoin(F.broadcast(totals))
+    taken = {
+        name: F.when(kind == of, F.greatest(F.least(F.col("n"), F.col(name) - F.col("n_before")), F.lit(0))).otherwise(0)
+        for name, (of, _, _) in segments.items()
+    }
+    sums = ranks.agg(
+        *(zero(F.sum(n)).alias(f"{name}_count") for name, n in taken.items()),
+        *(F.sum(F.when(n > 0, n * value)).alias(f"{name}_revenue") for name, n in taken.items()),
+        F.max("all_revenue").alias("all_revenue"),
+    )
+    lines = F.array(
+        *(
+            F.struct(F.lit(label).alias("segment"), F.col(f"{name}_count").alias("count"), F.col(f"{name}_revenue").alias("revenue"))
+            for name, (_, _, label) in segments.items()
+        )
+    )
+    return sums.select(F.inline(lines), "all_revenue").select(
         "segment", "count", "revenue", percent(F.col("revenue"), F.col("all_revenue")).alias("revenue_percentage")
     )
 
@@ -350,13 +382,14 @@ def _recovery_events(moments: DataFrame) -> DataFrame:
     that its 30 days still touch. A failure adds ``failed_at`` and asks for the
     payment totals, at its own moment (negative ``weight``) and 30 days later.
     ``day`` is the failure's day, or the first day of the month asked about.
+    ``failing`` counts failures; one without customer or moment does nothing else.
     """
     moment, n, failed = F.col("date_created"), F.col("n"), F.col("failed")
     micros = F.unix_micros(moment)
     day = F.unix_date(F.to_date(moment))
     fields = {
         "instant": "long", "day": "int", "weight": "long", "since": "long",
-        "paid": "long", "paid_cents": "long", "paid_days": "long", "failed_at": "long",
+        "paid": "long", "paid_cents": "long", "paid_days": "long", "failed_at": "long", "failing": "long",
     }
 
     def event(**values: Column) -> Column:
@@ -375,8 +408,8 @@ def _recovery_events(moments: DataFrame) -> DataFrame:
     payment = event(
         instant=micros * 4 + 1, paid=n, paid_cents=F.col("cents"), paid_days=n * day, **question(0)
     )
-    failure = event(instant=micros * 4 + 2, day=day, weight=-n, failed_at=micros)
-    closing = event(instant=(micros + _RECOVERY_WINDOW) * 4 + 2, day=day, weight=n)
+    failure = event(instant=F.coalesce(micros * 4 + 2, F.lit(0)), day=day, weight=-n, failed_at=micros, failing=n)
+    closing = F.when(F.col("owner").isNotNull(), event(instant=(micros + _RECOVERY_WINDOW) * 4 + 2, day=day, weight=n))
     before = [
         F.when(~failed & (opened < months[k - 1]), event(instant=F.unix_micros(months[k - 1]) * 4, **question(k)))
         for k in (1, 2)
@@ -384,7 +417,7 @@ def _recovery_events(moments: DataFrame) -> DataFrame:
     events = F.array(
         F.when(failed, failure).otherwise(payment), F.when(failed, closing).otherwise(before[0]), before[1]
     )
-    return moments.select("customer_id", F.inline(events)).filter(F.col("instant").isNotNull())
+    return moments.select("owner", F.inline(events)).filter(F.col("instant").isNotNull())
 
 
 def failed_payment_recovery(
@@ -403,29 +436,27 @@ def failed_payment_recovery(
     before the order) is at most 30 days old.
     """
     failing = (F.col("status") == fv.FAILED) & is_within(F.col("date_created"), start, end)
-    relevant = store.orders.filter(is_paid() | failing)
-    failures = (
-        relevant.filter(~is_paid()).groupBy(month_of("date_created").alias("month")).agg(rows("failed_count"))
-    )
+    # A row without customer or moment has nothing to do with others, hence no owner.
+    owner = F.when(F.col("date_created").isNotNull(), F.col("customer_id"))
     # One row per moment of a customer: copies collapse before the shuffle.
     moments = (
-        relevant.filter(F.col("date_created").isNotNull() & F.col("customer_id").isNotNull())
-        .groupBy("customer_id", "date_created", (~is_paid()).alias("failed"))
+        store.orders.filter(failing | (is_paid() & owner.isNotNull()))
+        .groupBy(owner.alias("owner"), "date_created", (~is_paid()).alias("failed"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(cents_of("total")).alias("cents"))
     )
     measures = {"paid": "sum", "paid_cents": "sum", "paid_days": "sum", "failed_at": "max"}
-    seen = running_before(_recovery_events(moments), "customer_id", "instant", measures, 4 * _HOUR)
+    seen = running_before(_recovery_events(moments), "owner", "instant", measures, micro=4)
     asks_failure = F.col("since").isNotNull()
     weight = F.when(~asks_failure, F.col("weight"))
     recoveries = seen.groupBy(month_of(F.date_from_unix_date("day")).alias("month")).agg(
+        F.sum("failing").alias("failed_count"),
         F.sum(F.when(asks_failure & (F.col("failed_at_before") >= F.col("since")), F.col("weight"))).alias("recovered"),
         F.sum(weight * zero("paid_before")).alias("pairs"),
         money_of(F.sum(weight * zero("paid_cents_before").cast("decimal(19,0)")), 38).alias("revenue"),
         F.sum(weight * (zero("paid_days_before") - F.col("day") * zero("paid_before"))).alias("days"),
     )
     monthly = (
-        failures.join(recoveries, failures["month"].eqNullSafe(recoveries["month"]), "left")
-        .drop(recoveries["month"])
+        recoveries.filter("failed_count > 0")
         .withColumn("recovered_count", zero("recovered"))
         .withColumn("recovery_rate", percent(F.col("recovered_count"), F.col("failed_count")))
         .withColumn("recovered_revenue", F.coalesce("revenue", F.lit(0).cast("decimal(38,2)")))

@@ -23,7 +23,7 @@ from tillwise.functions.dates import (
 )
 from tillwise.functions.labels import is_paid
 from tillwise.functions.numbers import money_sum, percent, rounded, rounded_ratio
-from tillwise.plans.sales import rows, head, zero
+from tillwise.plans.sales import head, rows, totals_apart, zero
 from tillwise.sources.store import Store
 
 __all__ = [
@@ -40,16 +40,17 @@ def mrr_by_month(store: Store, as_of: Day, start: Day = None, end: Day = None) -
 
     A subscription is refunded when its first payment is a refunded order, or
     the parent of one. Both kinds of key go into one list, so the exclusion is
-    a plain hash anti-join. Every amount counts as yearly.
+    a plain hash anti-join; the many subscriptions without a first payment (or with
+    the same one) can be split in it. Every amount counts as yearly.
     """
     subs = within(
         store.subscriptions.filter(F.col("status") != fv.PENDING), "created", start, end
     )
-    refunded = (
+    refunded = totals_apart(
         store.orders.filter(F.col("status") == fv.REFUNDED)
         .select(F.explode(F.array("id", "parent")).alias("parent_payment_id"))
-        .filter(F.col("parent_payment_id").isNotNull())
-        .distinct()
+        .filter(F.col("parent_payment_id").isNotNull()),
+        ["parent_payment_id"],
     )
     monthly = (
         subs.join(refunded, "parent_payment_id", "left_anti")
@@ -158,7 +159,7 @@ def top_licenses(store: Store, as_of: Day, limit: int | None = 20) -> DataFrame:
         .withColumnRenamed("id", "license_id")
         .join(activations, "license_id", "left")
         .select("license_id", "license_key", zero("used").alias("activation_count"), "download_id")
-        .transform(head, limit, F.desc("activation_count"), "license_id")
+        .transform(head, limit, "-activation_count", "license_id")
     )
     titles = store.products.select(
         F.col("id").alias("download_id"), F.col("post_title").alias("download_name")

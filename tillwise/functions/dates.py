@@ -17,6 +17,9 @@ Day = dt.date | str | None
 PRESETS = ("all", "30", "90", "365", "ytd", "custom")
 DEFAULT_PRESETS = ("30", "90", "365", "all")
 
+# Metadata key of a timestamp column: the column that names its source's folders by month.
+MONTH_COLUMN = "month_column"
+
 
 def parse_day(value: Day) -> dt.date | None:
     """Validate a date parameter. Empty means "no bound"."""
@@ -96,13 +99,34 @@ def at(day: dt.date) -> Column:
     return F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp")
 
 
+def month_number(column: Column) -> Column:
+    """Year and month as an INT such as 200107."""
+    return F.year(column) * 100 + F.month(column)
+
+
+def _in_months(df: DataFrame, column: str, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    """Keep the folders of the months from ``first`` to ``last``, where the source is laid out by month.
+
+    The column's metadata names the column of the folders. It is not among the
+    selected columns, but filters may refer to it all the same.
+    """
+    month = df.schema[column].metadata.get(MONTH_COLUMN)
+    if month is not None:
+        if first is not None:
+            df = df.filter(F.col(month) >= first.year * 100 + first.month)
+        if last is not None:
+            df = df.filter(F.col(month) <= last.year * 100 + last.month)
+    return df
+
+
 def within(df: DataFrame, column: str, start: Day, end: Day) -> DataFrame:
-    """Inclusive range on a timestamp column.
+    """Inclusive range on a timestamp column of a table.
 
     ``end`` compares against midnight, so of the end day only 00:00:00 itself
     is included. This is how the reports have always cut their ranges.
     """
     first, last = parse_day(start), parse_day(end)
+    df = _in_months(df, column, first, last)
     if first is not None:
         df = df.filter(F.col(column) >= at(first))
     if last is not None:
@@ -130,10 +154,13 @@ def within_months(
     first days, so moving them by whole months never clamps.
     """
     first, last = parse_day(start), parse_day(end)
+    first = first and shift_months(first_of_month(first), -shift)
+    last = last and shift_months(first_of_month(last), -shift)
+    df = _in_months(df, column, first, last)
     if first is not None:
-        df = df.filter(F.col(column) >= at(shift_months(first_of_month(first), -shift)))
+        df = df.filter(F.col(column) >= at(first))
     if last is not None:
-        df = df.filter(F.col(column) < at(shift_months(first_of_month(last), 1 - shift)))
+        df = df.filter(F.col(column) < at(shift_months(last, 1)))
     return df
 
 

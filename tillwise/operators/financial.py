@@ -14,6 +14,7 @@ from tillwise.functions.dates import (
     required_day,
     shift_days,
     shift_months,
+    within,
 )
 from tillwise.functions.labels import first_match, graded, is_paid
 from tillwise.functions.numbers import leading_number, money_sum, percent, percent_change, ratio, rounded, rounded_ratio
@@ -75,8 +76,8 @@ def cash_flow_projection(store: Store, as_of: Day, days: int = 90) -> DataFrame:
 
     # Only the last 90 days of sales are read: older days take no part in any mean.
     sales = (
-        paid_orders(store)
-        .filter((F.col("type") == fv.SALE) & (F.col("date_created") >= at(shift_days(today, -90))))
+        paid_orders(store, shift_days(today, -90))
+        .filter(F.col("type") == fv.SALE)
         .groupBy(F.to_date("date_created").alias("day"))
         .agg(money_sum("total").alias("revenue"))
     )
@@ -179,7 +180,7 @@ def ltv_cac_ratio(store: Store, as_of: Day) -> DataFrame:
     Lifetime value covers customers with an order of any status. The cost
     figure is the proxy the report has always used, and is not rounded.
     """
-    since = at(shift_months(required_day(as_of), -12))
+    since = shift_months(required_day(as_of), -12)
     spent = (
         store.orders.filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
@@ -188,8 +189,8 @@ def ltv_cac_ratio(store: Store, as_of: Day) -> DataFrame:
     ltv = spent.join(
         store.customers.select(F.col("id").alias("customer_id")), "customer_id", "left_semi"
     ).agg(F.sum("spent").alias("spent"), rows("customer_count"))
-    revenue = paid_orders(store).filter(F.col("date_created") >= since).agg(money_sum("total").alias("year_revenue"))
-    fresh = store.customers.filter(F.col("date_created") >= since).agg(rows("new_customers"))
+    revenue = paid_orders(store, since).agg(money_sum("total").alias("year_revenue"))
+    fresh = within(store.customers, "date_created", since, None).agg(rows("new_customers"))
     mean = ratio(F.col("spent"), F.col("customer_count"))
     cac = ratio(F.col("year_revenue"), F.col("new_customers"))
     return (
@@ -215,7 +216,7 @@ def revenue_run_rate(store: Store, as_of: Day) -> DataFrame:
     today = required_day(as_of)
     one, three = at(shift_months(today, -1)), at(shift_months(today, -3))
     created = F.col("date_created")
-    recent = paid_orders(store).filter(created >= three).agg(
+    recent = paid_orders(store, shift_months(today, -3)).agg(
         sum_if(created >= one, "total").alias("month"), money_sum("total").alias("quarter"), rows("lately")
     )
     doubtful = recent.filter((F.col("lately") == 0) & all_read("month", "quarter")).select("lately")
@@ -250,11 +251,11 @@ def financial_health_indicators(store: Store, as_of: Day) -> DataFrame:
     gives churn, and one flag pair per customer gives retention.
     """
     today = required_day(as_of)
-    one, two = at(shift_months(today, -1)), at(shift_months(today, -2))
+    one = at(shift_months(today, -1))
     created, status = F.col("date_created"), F.col("status")
     paid, recent = is_paid(), created >= one
 
-    orders = store.orders.filter((created >= two) & (paid | (status == fv.REFUNDED))).agg(
+    orders = within(store.orders, "date_created", shift_months(today, -2), None).filter(paid | (status == fv.REFUNDED)).agg(
         money_sum("total", paid & recent).alias("this_month"),
         money_sum("total", paid & ~recent).alias("month_before"),
         count_if(recent & (status == fv.REFUNDED)).alias("refunds"),

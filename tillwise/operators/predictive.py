@@ -73,8 +73,7 @@ def revenue_forecast(store: Store, as_of: Day, months: int = 6) -> DataFrame:
     today = required_day(as_of)
     horizon = non_negative("months", months)
     monthly = (
-        paid_orders(store)
-        .filter(F.col("date_created") >= at(shift_months(today, -12)))
+        paid_orders(store, shift_months(today, -12))
         .groupBy(month_of("date_created").alias("month"))
         .agg(money_sum("total").alias("revenue"))
     )

@@ -59,3 +59,19 @@ PHYSICAL = {
 
 # Other spellings a source may use for a declared column.
 ALIASES = {("notes", "content"): ("comment_content",)}
+
+# Integer column of each table that a database can be read by in ranges.
+KEYS = {
+    "customers": "id",
+    "orders": "id",
+    "order_items": "order_id",
+    "order_addresses": "order_id",
+    "subscriptions": "id",
+    "licenses": "id",
+    "license_activations": "license_id",
+    "customermeta": "customer_id",
+    "customer_email_addresses": "customer_id",
+    "products": "ID",
+    "product_meta": "post_id",
+    "notes": "comment_ID",
+}

@@ -9,11 +9,37 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.functions.dates import MONTH_COLUMN, month_number
 from tillwise.session import configure
-from tillwise.sources.schemas import ALIASES, PHYSICAL, REQUIRED, SCHEMAS
+from tillwise.sources.schemas import ALIASES, KEYS, PHYSICAL, REQUIRED, SCHEMAS
 
 Loader = Callable[[str], DataFrame | None]
 
+# Rows that one connection of a shop database reads, and how many connections a table may take.
+ROWS_PER_READ = 1_000_000
+MOST_READS = 512
+
+# Tables that are written by month, and by which column: the part of a path that a range of days can prune.
+MONTHLY = {"orders": "date_created"}
+MONTH = "{column}_month"
+# What the rows of a written table are sorted by, so that row groups can be skipped and joins find their rows together.
+CLUSTERED = {
+    "orders": "id", "order_items": "order_id", "order_addresses": "order_id",
+    "subscriptions": "customer_id", "customers": "id", "licenses": "id", "license_activations": "license_id",
+}
+
+
+def key_ranges(
+    name: str, rows: int, low: int | None, high: int | None, rows_per_read: int = ROWS_PER_READ, most_reads: int = MOST_READS
+) -> dict[str, Any]:
+    """JDBC partitioning options for a table of ``rows`` rows whose key goes from ``low`` to ``high``."""
+    if rows <= rows_per_read:
+        return {}
+    if low is None or high is None or int(high) <= int(low):
+        raise ValueError(f"table {name} has {rows} rows and no range of {KEYS[name]} to split them by: give a split for it")
+    reads = min(most_reads, -(-rows // rows_per_read), int(high) - int(low) + 1)
+    return {"partitionColumn": KEYS[name], "lowerBound": int(low), "upperBound": int(high) + 1, "numPartitions": reads}
+
 
 class Store:
     """Typed, lazy access to the tables of one shop.
@@ -41,8 +67,8 @@ class Store:
     def from_parquet(cls, spark: SparkSession, root: str, prefix: str = "") -> Store:
         """Parquet files or directories ``{root}/{prefix}{table}[.parquet]``.
 
-        Orders written partitioned by month or day keep their partition pruning,
-        because extra columns stay usable until the declared ones are selected.
+        Orders in folders by month (see :meth:`write_parquet`) are pruned by every range
+        of days: the declared column says which column its folders are named by.
         """
 
         def load(name: str) -> DataFrame | None:
@@ -77,21 +103,34 @@ class Store:
         properties: Mapping[str, str] | None = None,
         split: Mapping[str, Mapping[str, Any]] | None = None,
         present: set[str] | None = None,
+        rows_per_read: int = ROWS_PER_READ,
+        most_reads: int = MOST_READS,
     ) -> Store:
-        """A live shop database.
-
-        ``split`` gives, per table, the JDBC partitioning options
-        (``partitionColumn``, ``lowerBound``, ``upperBound``, ``numPartitions``);
-        without them a table is read over a single connection. ``present``
-        names the tables that exist; by default all are expected.
+        """A live shop database, read in ranges of each table's key.
+
+        A table is asked once for its rows and the bounds of its key (``KEYS``), and
+        then read in as many ranges as give ``rows_per_read`` rows each, at most
+        ``most_reads``. ``split`` gives other JDBC partitioning options for a table
+        (``partitionColumn``, ``lowerBound``, ``upperBound``, ``numPartitions``), which
+        are taken as they are. A table of more rows than one read should have, whose
+        key has no bounds to split by, is refused. ``present`` names the tables that
+        exist; by default all are expected.
         """
 
+        def source(table: str):
+            return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**dict(properties or {}))
+
         def load(name: str) -> DataFrame | None:
             if present is not None and name not in present:
                 return None
-            reader = spark.read.format("jdbc").option("url", url)
-            reader = reader.option("dbtable", f"{prefix}{PHYSICAL[name]}")
-            return reader.options(**dict(properties or {}), **dict((split or {}).get(name, {}))).load()
+            table = f"{prefix}{PHYSICAL[name]}"
+            ranges = (split or {}).get(name)
+            if ranges is None:
+                key = KEYS[name]
+                asked = f"(SELECT count(*) AS n, min({key}) AS low, max({key}) AS high FROM {table}) bounds"
+                n, low, high = source(asked).load().first()
+                ranges = key_ranges(name, int(n), low, high, rows_per_read, most_reads)
+            return source(table).options(**dict(ranges)).load()
 
         return cls(spark, load)
 
@@ -127,9 +166,36 @@ class Store:
         return Store(self.spark, lambda name: frames[name] if name in frames else self._source(name))
 
     def write_parquet(self, root: str, prefix: str = "", tables: tuple[str, ...] | None = None) -> None:
-        """Write the tables as ``{root}/{prefix}{table}``, for ``from_parquet`` to read."""
+        """Write the tables as ``{root}/{prefix}{table}``, for ``from_parquet`` to read.
+
+        Orders go into a folder per month, so that a report with a range lists and
+        reads the folders of its months only. Rows are sorted by the key they are
+        joined on (``CLUSTERED``), so that statistics of row groups tell keys apart.
+        """
         for name in tables or tuple(t for t in SCHEMAS if self.has(t)):
-            self.table(name).write.mode("errorifexists").parquet(f"{root}/{prefix}{name}")
+            frame, folders = self.table(name), []
+            if name in MONTHLY:
+                folders = [MONTH.format(column=MONTHLY[name])]
+                frame = frame.withColumn(folders[0], month_number(F.col(MONTHLY[name])))
+            if name in CLUSTERED:
+                # A month of any size is written by as many tasks as there are ranges of keys in it.
+                frame = frame.repartitionByRange(*folders, CLUSTERED[name]).sortWithinPartitions(*folders, CLUSTERED[name])
+            frame.write.mode("errorifexists").partitionBy(*folders).parquet(f"{root}/{prefix}{name}")
+
+    def write_catalog(
+        self, prefix: str = "wp_", database: str | None = None, buckets: int = 64, tables: tuple[str, ...] | None = None
+    ) -> None:
+        """Write the tables as catalog tables for ``from_catalog``, with the same buckets for all that are joined by order.
+
+        Items, addresses and orders then meet without a shuffle. ``buckets`` should give
+        a bucket of the largest table that a task can sort.
+        """
+        for name in tables or tuple(t for t in SCHEMAS if self.has(t)):
+            writer = self.table(name).write.format("parquet").mode("errorifexists")
+            if name in CLUSTERED:
+                writer = writer.bucketBy(buckets, CLUSTERED[name]).sortBy(CLUSTERED[name])
+            table = f"{prefix}{PHYSICAL[name]}"
+            writer.saveAsTable(table if database is None else f"{database}.{table}")
 
     def required_tables(self) -> DataFrame:
         """``(table_name, present)`` for the tables every installation must have."""
@@ -160,5 +226,7 @@ def _declared(name: str, frame: DataFrame) -> DataFrame:
             column = F.col(f"`{source.name}`")
         else:
             column = F.col(f"`{source.name}`").cast(field.dataType)
-        columns.append(column.alias(field.name))
+        month = stored.get(MONTH.format(column=field.name))
+        pruned = {} if month is None else {"metadata": {MONTH_COLUMN: month.name}}
+        columns.append(column.alias(field.name, **pruned))
     return frame.select(*columns)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -71,7 +72,33 @@ def test_gadgets_against_merging():
             assert found == naive([*word[:-1], word[-1] + "."], merges), (merges, word)
 
 
+def test_a_word_takes_time_in_proportion(codec, library):
+    """Letters without white space, to a megabyte; the library does not see a difference."""
+    dice = random.Random(4)
+    word = "".join(dice.choices("aetinosrhdl", k=1_000_000))
+    seconds = {}
+    for size in (50_000, 1_000_000):
+        begin = time.perf_counter()
+        found = codec.automaton.encode_word(word[:size].encode())
+        seconds[size] = time.perf_counter() - begin
+        assert b"".join(codec.automaton.labels[t].removesuffix("</w>").encode() for t in found) == word[:size].encode()
+    assert seconds[1_000_000] < 60 * max(seconds[50_000], 0.02)
+    assert codec.encode(word[:100_000]) == library.encode(word[:100_000], add_special_tokens=False).ids
+
+
+def test_every_beginning_of_a_word_has_its_arc(codec):
+    """What is noted on the way is the last token of each beginning's own encoding, as no word end is in it."""
+    word = b"internationalisation"
+    automaton = codec.automaton
+    for end in range(1, len(word)):
+        whole = automaton.encode_word(word[:end] + b"\x00")[:-1]
+        assert sum(automaton.length[t] for t in whole) == end
+        for u, v in zip(whole, whole[1:]):
+            assert automaton.step(u, v)
+
+
 def test_documents(docs_of, odd_pairs, library):
+    odd_pairs = [*odd_pairs, (900, "ab" * 1_000_000), (901, "two words " * 200_000)]
     rows = encoding_digests(docs_of(odd_pairs, clashing=True), PATH).collect()
     whole = encode_documents(docs_of(odd_pairs), PATH).collect()
     assert len(rows) == len(whole) == len(odd_pairs)

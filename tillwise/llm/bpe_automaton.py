@@ -9,15 +9,21 @@ compiled in, best first; the gadget of step ``k`` for the merge of ``u`` and
 * wherever there was an arc ``u``, there is now an arc ``uv`` too, and it leads
   to where ``v`` led.
 
-So the state after a token depends on that token only, and the table keeps it
-as what the gadgets did: ``lost[u][v]`` is the step in which the state after
-``u`` lost the arc ``v``; the state after ``uv`` is the state after ``v`` as of
-the step that made ``uv``; and a state has the arc ``uv`` if it had the arc
-``u`` in that step. :meth:`BpeAutomaton.step` reads an arc off this table.
-
-A pre-split word is run through this automaton, with the trie of arc labels
-saying which arcs the next symbols offer. Of the paths to a position the
-automaton accepts only one. Decoding emits the labels of the arcs.
+So the state after a token depends on that token only. Almost every state has
+almost every arc, so the table holds what the gadgets took away:
+``lost[u][v]`` is the step in which the state after ``u`` lost the arc ``v``; the
+state after ``uv`` is the state after ``v`` as of the step that made ``uv``; and a
+state has the arc ``uv`` if it had the arc ``u`` in that step.
+:meth:`BpeAutomaton.step` reads an arc off this table.
+
+To read symbols, arc labels are compiled into a second table: a node for every
+beginning of a label, its transitions by symbol, and the arcs whose labels end
+there. A pre-split word is read symbol by symbol, once, and nothing is taken back:
+of the arcs that end at a position, exactly one continues the path that the
+automaton has accepted up to where that arc begins. That arc is noted for the
+position; at the end of the word the noted arcs are followed from the last one to
+the first and their tokens emitted. So a word takes time in proportion to its
+length, however long. Decoding emits the labels of the arcs.
 
 Defined cases: a NULL or empty text has no tokens and decodes to the empty text.
 Rows with NULL or repeated identifiers are encoded like any other. An empty
@@ -29,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -72,7 +79,7 @@ class BpeAutomaton:
         symbols = byte_symbols()
         self.inner = [vocabulary[symbol] for symbol in symbols]
         self.final = [vocabulary[symbol + suffix] for symbol in symbols]
-        self._compile_trie()
+        self._compile_labels()
 
     @classmethod
     def from_json(cls, content: str) -> BpeAutomaton:
@@ -107,64 +114,83 @@ class BpeAutomaton:
             until, after = self.born[after], self.right[after]
         return True
 
-    def _compile_trie(self) -> None:
-        """Arc labels as a trie over base symbols; a node is ``{symbol: node}`` and has its token at -1."""
+    def _compile_labels(self) -> None:
+        """Transitions between beginnings of arc labels, and the arcs that end at each of them.
+
+        ``goto[node][symbol]`` goes on within a label; where that is missing, ``fail[node]``
+        is the longest end of what was read that begins a label too. ``arc_of[node]`` is
+        the longest arc that ends at a node, ``shorter[token]`` the next one.
+        """
         spelled: dict[int, tuple[int, ...]] = {token: (token,) for token in (*self.inner, *self.final)}
         made = sorted((t for t in range(len(self.left)) if self.left[t] >= 0), key=self.born.__getitem__)
         for token in made:
             spelled[token] = spelled[self.left[token]] + spelled[self.right[token]]
-        self.trie: dict = {}
-        self.length, self.shorter = [0] * len(self.left), [-1] * len(self.left)
-        for token in sorted(spelled, key=lambda token: len(spelled[token])):
-            node = self.trie
-            for symbol in spelled[token]:
-                self.shorter[token] = node.get(-1, self.shorter[token])
-                node = node.setdefault(symbol, {})
-            node[-1] = token
-            self.length[token] = len(spelled[token])
-        self.arcs: dict[tuple[int, int], bool] = {}
-
-    def _arc(self, before: int, token: int) -> bool:
-        """:meth:`step`, remembered."""
-        found = self.arcs.get((before, token))
-        if found is None:
-            if len(self.arcs) >= _REMEMBERED:
-                self.arcs.clear()
-            found = self.arcs[before, token] = self.step(before, token)
+        self.length = [0] * len(self.left)
+        self.goto: list[dict[int, int]] = [{}]
+        own = [-1]
+        for token, symbols in spelled.items():
+            node = 0
+            for symbol in symbols:
+                if symbol not in self.goto[node]:
+                    self.goto[node][symbol] = len(self.goto)
+                    self.goto.append({})
+                    own.append(-1)
+                node = self.goto[node][symbol]
+            own[node] = token
+            self.length[token] = len(symbols)
+        self.fail = [0] * len(self.goto)
+        self.arc_of, self.shorter = own, [-1] * len(self.left)
+        level = list(self.goto[0].values())
+        while level:
+            for node in level:
+                ending = self.arc_of[self.fail[node]]
+                if own[node] >= 0:
+                    self.shorter[own[node]] = ending
+                else:
+                    own[node] = ending
+                for symbol, child in self.goto[node].items():
+                    back = self.fail[node]
+                    while back and symbol not in self.goto[back]:
+                        back = self.fail[back]
+                    self.fail[child] = self.goto[back].get(symbol, 0)
+            level = [child for node in level for child in self.goto[node].values()]
+        self.arcs: dict[int, bool] = {}
+
+    def _arc(self, key: int) -> bool:
+        """:meth:`step` for ``before << 32 | token``, remembered."""
+        if len(self.arcs) >= _REMEMBERED:
+            self.arcs.clear()
+        found = self.arcs[key] = self.step(key >> 32, key & 0xFFFFFFFF)
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word (not empty).
-
-        Longest arcs are tried first. As the tokens before a position are fixed by
-        the position, one that led nowhere once leads nowhere again.
-        """
-        symbols = [self.inner[byte] for byte in word]
-        symbols[-1] = self.final[word[-1]]
-        end, at, before = len(symbols), 0, -1
-        tokens: list[int] = []
-        nowhere: set[int] = set()
-        length, shorter, arc = self.length, self.shorter, self._arc
-        while at < end:
-            node, token = self.trie, -1
-            for symbol in symbols[at:] if at else symbols:
-                node = node.get(symbol)
-                if node is None:
-                    break
-                token = node.get(-1, token)
+        """Tokens of one pre-split word (not empty)."""
+        inner, goto, fail, arc_of = self.inner, self.goto, self.fail, self.arc_of
+        length, shorter, known, arc = self.length, self.shorter, self.arcs, self._arc
+        end = len(word)
+        noted = array("i", bytes(4 * end))
+        node = 0
+        for at in range(end):
+            symbol = inner[word[at]] if at < end - 1 else self.final[word[at]]
+            while symbol not in goto[node]:
+                node = fail[node]
+            node = goto[node][symbol]
+            token = arc_of[node]
             while True:
-                while token >= 0 and (at + length[token] in nowhere or (before >= 0 and not arc(before, token))):
-                    token = shorter[token]
-                if token >= 0:
+                begin = at - length[token]
+                if begin < 0:
+                    break
+                key = noted[begin] << 32 | token
+                allowed = known.get(key)
+                if allowed or (allowed is None and arc(key)):
                     break
-                nowhere.add(at)
-                token = tokens.pop()
-                at -= length[token]
-                before = tokens[-1] if tokens else -1
                 token = shorter[token]
-            tokens.append(token)
-            at += length[token]
-            before = token
+            noted[at] = token
+        tokens, at = [], end - 1
+        while at >= 0:
+            tokens.append(noted[at])
+            at -= length[noted[at]]
+        tokens.reverse()
         return tokens
 
 

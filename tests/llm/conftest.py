@@ -38,3 +38,30 @@ def odd_pairs():
     pairs += [(300, None), (301, ""), (302, " \n "), (303, text(30_000)), (304, "x" * 20_000), (None, base[0]), (None, None)]
     pairs += [(5, base[5]), (5, base[5]), (6, base[7])]
     return pairs
+
+
+SKEW_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "8",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+}
+
+
+@pytest.fixture
+def skewed(spark):
+    """Small partitions already count as skewed; gives a function for the rows and the final plan of a frame."""
+    before = {key: spark.conf.get(key, None) for key in SKEW_SETTINGS}
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+
+    def run(frame):
+        rows = frame.collect()
+        return rows, frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    yield run
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -51,13 +52,28 @@ def test_against_counting(spark, docs_of, odd_pairs, tokens, chunk):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
 
 
-def test_long_text_is_encoded_in_pieces(tokens, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "_PIECE", 10)
-    text = "one two three four five six"
-    assert tokens.encoding().decode(tokens.encode(text).tolist()) == text
+def test_parts_have_the_tokens_of_the_whole(tokens, monkeypatch):
+    """Parts of any size, down to single pre-tokens, and texts that look ahead at every border."""
+    dice = random.Random(3)
+    pieces = ["a", "'s", "'re", "'", "  ", " ", "\n", "\n\n", "1", "22", "!", "word", " the", "é", "中", "'l", "\t", "\xa0", "   x"]
+    whole = tokens.encoding().encode_ordinary
+    for _ in range(400):
+        text = "".join(dice.choice(pieces) for _ in range(dice.randint(0, 60)))
+        monkeypatch.setattr(lm_scoring, "_PART", dice.choice([1, 2, 5, 10]))
+        assert list(tokens.encode(text)) == whole(text)
+        assert "".join(tokens.parts(text)) == text
     assert tokens.encode(None).tolist() == []
 
 
+def test_a_million_characters(tokens):
+    dice = random.Random(8)
+    text = " ".join("".join(dice.choices("aeioutrnsdl'.,\n 1", k=dice.randint(1, 14))) for _ in range(130_000))
+    assert len(text) > 1_000_000 and len(list(tokens.parts(text))) > 10
+    assert tokens.encode(text).tolist() == tokens.encoding().encode_ordinary(text)
+    one = "x" * 300_000
+    assert list(tokens.parts(one)) == [one]
+
+
 def test_without_targets_and_empty(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long")
     rows = cross_entropy_difference(docs_of([(1, "some text"), (2, "")]), none, RANKS, public_tokenizers.PATTERN).collect()

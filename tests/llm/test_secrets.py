@@ -191,28 +191,14 @@ def test_reviews(spark, docs):
     assert {r.probability for r in none} == {0.0}
 
 
-def test_frequent_values_are_split(spark):
+def test_frequent_values_are_split(spark, skewed):
     """Most findings have one value, and most distinct values one word."""
     docs = spark.range(0, 30_000, 1, 8).selectExpr(
         "id AS doc_id", "CASE WHEN id % 10 < 9 THEN 'token = \"aaaa1111bbbb2222cccc\"' ELSE concat('see common/', id, '/', lpad(string(id), 12, 'x')) END AS text", "'s' AS source"
     )
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-    }
-    before = {key: spark.conf.get(key, None) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        described, _ = with_features(stored(find_candidates(docs), "found"), dictionary(docs))
-        assert described.filter("covered >= 0").count() == 30_000
-        described.collect()
-        plan = described._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    described, _ = with_features(stored(find_candidates(docs), "found"), dictionary(docs))
+    rows, plan = skewed(described)
+    assert len(rows) == 30_000 and {r.covered >= 0 for r in rows} == {True}
     assert "skew=true" in plan
 
 

@@ -52,6 +52,35 @@ def test_cuts_are_optimal(spark, shards):
     assert max(filled.values()) == capacity and len(filled) <= shards
 
 
+def test_balanced_cuts_stay_within_the_capacity():
+    dice = random.Random(3)
+    for _ in range(300):
+        sizes = [dice.choice([1, 5, dice.randint(1, 60)]) for _ in range(dice.randint(1, 60))]
+        shards = dice.randint(1, 12)
+        cells = Cells([Cell(f"{i:04x}", size, 1) for i, size in enumerate(sizes)])
+        capacity = cells.smallest(shards, False)
+        cuts = [0, *cells.balanced(capacity, shards), cells.total]
+        filled = [b - a for a, b in zip(cuts, cuts[1:])]
+        assert len(filled) == shards and min(filled) >= 0 and max(filled) <= capacity
+        assert set(cuts) <= set(cells.edges)
+
+
+def test_no_shard_is_left_the_rest(spark):
+    dice = random.Random(5)
+    rows = [(f"{dice.getrandbits(256):064x}", dice.choice([100, 200, 900, 5000])) for _ in range(4000)]
+    starts, capacity = minimax_cuts(spark.createDataFrame(rows, "sha string, bytes long"), 40)
+    filled = defaultdict(int)
+    for sha, size in rows:
+        filled[sum(sha >= start for start in starts)] += size
+    mean = sum(size for _, size in rows) / 40
+    assert len(filled) == 40 and max(filled.values()) <= capacity and min(filled.values()) > 0.8 * mean
+
+
+def test_rows_that_repeat_their_identifier_are_spread(docs_of):
+    pairs = [(None, "same")] * 3000 + [(7, "other")] * 50
+    check(shard_documents(docs_of(pairs), 3).collect(), pairs, 3)
+
+
 def check(rows, pairs, shards):
     assert len(rows) == len(pairs)
     shard_of, slots = {}, defaultdict(list)

@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tillwise.llm import simhash
-from tillwise.llm.components import smallest_reachable
-from tillwise.llm.simhash import fingerprint, keep_one_of_each, near_duplicates
+from tillwise.llm.components import _large_star, _small_star, smallest_reachable
+from tillwise.llm.runtime import stored
+from tillwise.llm.simhash import _first_of_components, fingerprint, keep_one_of_each, near_duplicates
 
 
 def brute_print(text, k=3):
@@ -132,6 +133,29 @@ def test_one_of_each_stays(docs_of, odd_pairs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(winners.values())
 
 
+def test_a_node_with_many_neighbours_is_split(spark, skewed):
+    """A star whose middle has most of the edges: the smallest node for large stars, the largest for small ones."""
+    for star, middle in ((_large_star, "0L"), (_small_star, "70000L")):
+        edges = spark.range(1, 60_000, 1, 8).selectExpr("id AS a", f"CASE WHEN id % 10 < 9 THEN {middle} ELSE id - 1 END AS b")
+        edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+        _, plan = skewed(star(edges))
+        assert "skew=true" in plan
+
+
+def test_a_giant_component_is_split(spark, skewed):
+    """Most fingerprints are linked to one; the first row of each component is found all the same."""
+    prints = spark.range(0, 20_000, 1, 8).selectExpr("id AS f", "100000 - id AS doc_id", "id AS row_no")
+    root = spark.range(1, 18_000, 1, 8).selectExpr("id AS u", "0L AS v")
+    rows, plan = skewed(_first_of_components(stored(prints.selectExpr("f", "struct(false AS none, doc_id, row_no) AS first"), "fingerprints"), stored(root, "root")))
+    assert "skew=true" in plan
+    assert {r.doc_id for r in rows if r.f < 18_000} == {82_001} and all(r.doc_id == 100_000 - r.f for r in rows if r.f >= 18_000)
+
+
+def test_few_fingerprints_are_one_bucket(spark):
+    frame = spark.createDataFrame([(k,) for k in range(300)], "f long")
+    assert [r[0] for r in frame.select(simhash._buckets(300, 3)).distinct().collect()] == [[0]]
+
+
 def test_empty(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
     assert keep_one_of_each(docs_of([])).count() == 0

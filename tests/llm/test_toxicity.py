@@ -6,7 +6,10 @@ import zlib
 import numpy as np
 import pytest
 
-from tillwise.llm.toxicity import BUCKETS, GRAMS, ToxicityModel, _Features, drop_toxic, fit_curve, log_count_ratios, score_documents
+from tillwise.llm import toxicity
+from tillwise.llm.toxicity import (
+    BUCKETS, GRAMS, Bounds, ToxicityModel, _Features, drop_toxic, fit_curve, fit_margin, log_count_ratios, score_documents,
+)
 
 
 def made_up(dice, toxic):
@@ -49,8 +52,76 @@ def test_curve():
     dice = np.random.default_rng(0)
     margins = dice.normal(0, 2, 20_000)
     toxic = dice.random(20_000) < 1 / (1 + np.exp(-(1.5 * margins - 1)))
-    slope, offset = fit_curve(margins, toxic)
+    slope, offset = fit_curve(margins, toxic, np.ones(len(toxic)))
     assert abs(slope - 1.5) < 0.1 and abs(offset + 1) < 0.1
+    # half of one kind, counted twice, gives the same curve
+    kept = toxic | (np.arange(len(toxic)) % 2 == 0)
+    again = fit_curve(margins[kept], toxic[kept], np.where(toxic[kept], 1.0, 2.0))
+    assert abs(again[0] - slope) < 0.1 and abs(again[1] - offset) < 0.1
+
+
+def noisy(dice, toxic):
+    """Texts whose words only lean to one side."""
+    mild, rude = ["river", "stone", "walk", "green", "paper"], ["scumbag", "moronic", "worthless", "rotten", "filthy"]
+    return " ".join(dice.choice(rude if dice.random() < (0.45 if toxic else 0.15) else mild) for _ in range(12))
+
+
+def test_bounds_do_not_move_scores(spark, docs_of):
+    """Only the bounds change: the sample has another ratio of labels, the scores stay about the same."""
+    dice = random.Random(9)
+    corpus = [(i, noisy(dice, i % 8 == 0), int(i % 8 == 0)) for i in range(3000)]
+    docs = docs_of([(i, t) for i, t, _ in corpus])
+    labels = spark.createDataFrame([(i, 1, label) for i, _, label in corpus], "doc_id long, quality int, toxic int")
+    scores = {}
+    for bounds in (Bounds(), Bounds(toxic_rows=240, clean_rows=480), Bounds(toxic_rows=150, clean_rows=1200)):
+        rows = score_documents(docs, labels, bounds=bounds).collect()
+        scores[bounds] = np.array([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+    whole, *cut = scores.values()
+    for found in cut:
+        # a third of the first sample is toxic, and a ninth of the second
+        assert np.abs(found.mean() - whole.mean()) < 0.08
+        assert np.abs(found - whole).mean() < 0.1
+    texts = score_documents(docs, labels, bounds=Bounds(text_bytes=0)).collect()
+    assert {r.score for r in texts} == {0.0}
+
+
+def test_score_by_hand():
+    """Two texts, weights put in by hand: ratio, length, margin and curve of the score."""
+    model = ToxicityModel(["aaaa bbbb", "aaaa cccc"] * 3, [1, 0] * 3)
+    features = _Features()
+    found = features("aaaa bbbb dddd")
+    ratios, weights = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    ratios[found[0]], ratios[found[1]] = 3.0, 4.0
+    weights[found[0]], weights[found[1]] = 2.0, 1.0
+    model.ratios, model.weights, model.intercept = ratios, weights * ratios, -0.5
+    model.slope, model.offset = 1.5, 0.25
+    margin = (2 * 3 + 1 * 4) / 5 - 0.5
+    assert model.scores(["aaaa bbbb dddd"])[0] == pytest.approx(1 / (1 + np.exp(-(1.5 * margin + 0.25))))
+    assert model.scores([None])[0] == pytest.approx(1 / (1 + np.exp(-(1.5 * -0.5 + 0.25))))
+
+
+def test_margin_is_the_best(corpus):
+    """No small step away from the fitted weights lowers what they minimise."""
+    dice = np.random.default_rng(1)
+    features = list(map(_Features(), [t for _, t, _ in corpus[:80]]))
+    toxic = np.array([label for _, _, label in corpus[:80]], bool)
+    vectors = toxicity._vectors(features, log_count_ratios(features, toxic))
+    share = np.where(toxic, 0.5, 1.2)
+    weights, intercept = fit_margin(vectors, toxic, share)
+    cost = np.where(toxic, toxicity._COST * toxicity._TOXIC_WEIGHT, toxicity._COST) * share
+    sign = np.where(toxic, 1, -1)
+
+    def loss(w, b):
+        margins = np.array([w[found] @ values + b for found, values in vectors])
+        return 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - sign * margins) ** 2).sum()
+
+    used = np.unique(np.concatenate(features))
+    best = loss(weights, intercept)
+    for size in (0.3, 0.03):
+        for _ in range(30):
+            step = np.zeros(BUCKETS)
+            step[used] = dice.normal(0, size / np.sqrt(len(used)), len(used))
+            assert loss(weights + step, intercept + dice.normal(0, size)) > best - 1e-3 * best
 
 
 def test_held_out_accuracy_and_drop(spark, docs_of, corpus):

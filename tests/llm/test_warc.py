@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tillwise.llm.runtime import scratch
-from tillwise.llm.warc import WarcError, digest, pack, read_archives, read_records, round_trip, write_archives
+from tillwise.llm.warc import WarcError, _roles, digest, pack, read_archives, read_records, round_trip, write_archives
 
 PAGES = [
     (1, "http://a/1", "<html>one</html>"), (2, "http://a/2", "<html>one</html>"), (3, None, "<html>ü\r\n\r\nthree</html>"),
@@ -61,6 +61,16 @@ def test_payloads_and_members(spark):
             assert whole.read().count(b"WARC-Record-ID") == row.records
 
 
+def test_hot_payload_is_split(spark, skewed):
+    """Most pages are empty: the join with the answers is split, one page answers for all."""
+    pages = spark.range(0, 60_000, 1, 8).selectExpr("id AS page_id", "'u' AS url", "CAST(CASE WHEN id % 10 < 9 THEN '' ELSE string(id) END AS BINARY) AS payload")
+    rows, plan = skewed(_roles(pages, 0).select("page_id", "revisit", "refers_to"))
+    assert "skew=true" in plan
+    hot = [r for r in rows if r.page_id % 10 < 9]
+    assert [r.page_id for r in hot if not r.revisit] == [59_998] and {r.refers_to for r in hot if r.revisit} == {59_998}
+    assert not any(r.revisit for r in rows if r.page_id % 10 == 9)
+
+
 def test_empty(spark):
     assert round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
@@ -37,12 +38,12 @@ from pyspark.sql import functions as F
 from tillwise.llm.runtime import ship, stored
 
 PRIOR = 10.0
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 # Not a token: what comes before the first one.
 _START = 0xFFFF
-# Texts are encoded in pieces of so many characters.
-_PIECE = 1 << 16
+# Longer texts are encoded in parts of so many characters, cut where the pattern cuts.
+_PART = 1 << 16
 
 _encodings: dict[int, tiktoken.Encoding] = {}
 
@@ -57,6 +58,7 @@ class Tokens:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
+        self._pattern = None
 
     def encoding(self) -> tiktoken.Encoding:
         if id(self) not in _encodings:
@@ -69,8 +71,34 @@ class Tokens:
         if not text:
             return np.zeros(0, np.uint16)
         encode = self.encoding().encode_ordinary
-        found = [np.array(encode(text[a : a + _PIECE]), np.uint16) for a in range(0, len(text), _PIECE)]
-        return np.concatenate(found)
+        return np.concatenate([np.array(encode(part), np.uint16) for part in self.parts(text)])
+
+    def parts(self, text: str) -> Iterator[str]:
+        """``text`` in parts that have the same tokens as the whole.
+
+        Borders are pre-token borders behind something else than white space: of white
+        space the pattern leaves the last one to what follows.
+        """
+        if len(text) <= _PART:
+            yield text
+            return
+        if self._pattern is None:
+            self._pattern = regex.compile(self.pattern)
+        begin = end = 0
+        for found in self._pattern.finditer(text):
+            if found.end() - begin > _PART and end > begin:
+                yield text[begin:end]
+                begin = end
+            if not text[found.end() - 1].isspace():
+                end = found.end()
+        yield text[begin:]
+
+    def __getstate__(self):
+        return self.ranks, self.pattern
+
+    def __setstate__(self, state):
+        self.ranks, self.pattern = state
+        self._pattern = None
 
 
 _CHUNKS = (

@@ -32,14 +32,18 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) a folder of its own is
-    made and set as the checkpoint folder.
+    Where that setting is missing, a local session (tests, a laptop) gets a folder of
+    its own, set as the checkpoint folder; on a cluster that is an error. What is
+    written there stays until whoever owns the folder removes it: a task that runs
+    again may need it as long as a DataFrame made of it is in use.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         found = context._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tillwise-shared-")
         context.setCheckpointDir(folder)

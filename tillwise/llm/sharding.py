@@ -3,8 +3,8 @@
 The atomic groups are equal texts, ordered by the SHA-256 of the text. The
 smallest capacity with which ``shards`` contiguous runs of groups hold
 everything is found by binary search; a capacity is checked by filling shards
-greedily; the cuts are where the greedy filling of the smallest feasible
-capacity puts them.
+greedily. The cuts are then put, within what that capacity leaves open, where the
+shards come nearest to equal parts.
 
 The search needs running totals of all groups, but never has them: it works on
 cells (hexadecimal prefixes of the order), first 65,536 of them. Treating cells
@@ -15,17 +15,17 @@ cut is at the edge of a group. What reaches the driver is one row per cell, so
 its size depends on the number of shards and not on the table.
 
 A group of at least the mean of what is left (a text with a third of all rows,
-say) can't be balanced by anything; such groups get shards of their own first
-and the search covers the rest.
+say) can't be balanced by anything; such groups leave the order, get shards of
+their own first, and the search covers the rest.
 
 Defined cases: a NULL text counts as empty, of 16 bytes. Rows with NULL or
-repeated identifiers are rows like any other. With fewer groups than shards some
+repeated identifiers are rows like any other, spread by their place in the table. With fewer groups than shards some
 shards stay empty. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 from math import isqrt
 from typing import NamedTuple
@@ -87,6 +87,26 @@ class Cells:
                 low = middle + 1
         return low
 
+    def balanced(self, capacity: int, shards: int) -> list[int]:
+        """Cuts of a feasible capacity that share what greedy filling would leave to the last shard.
+
+        Filling from the end gives the first place of each cut from which the rest still
+        fits. Behind that, each cut goes to the edge nearest to an equal part of what is left.
+        """
+        first, place = [], self.total
+        for _ in range(shards - 1):
+            place = self.edges[bisect_left(self.edges, place - capacity)] if place > capacity else 0
+            first.append(place)
+        cuts, start = [], 0
+        for number, least in enumerate(reversed(first)):
+            wanted = start + (self.total - start) // (shards - number)
+            at = bisect_right(self.edges, wanted) - 1
+            near = [edge for edge in self.edges[at : at + 2] if max(least, start) <= edge <= start + capacity]
+            reach = self.edges[bisect_right(self.edges, start + capacity) - 1]
+            start = min(near, key=lambda edge: abs(edge - wanted)) if near else min(max(least, start), reach)
+            cuts.append(start)
+        return cuts
+
     def unsettled(self, shards: int) -> tuple[list[int], list[tuple[int, int]]]:
         """Cuts, and the runs of cells (first, last) in which cuts of the optimum are not settled yet."""
         low, high = self.smallest(shards, True), self.smallest(shards, False)
@@ -120,7 +140,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[str], int]:
     digits = _FIRST_DIGITS
     state = Cells(_cells(groups, digits))
     while True:
-        cuts, runs = state.unsettled(shards)
+        _, runs = state.unsettled(shards)
         if not runs or digits == _DIGITS:
             break
         asked = sum(last - first + 1 for first, last in runs)
@@ -135,8 +155,10 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[str], int]:
             kept += state.cells[at:first]
             at = last + 1
         state = Cells(sorted([*kept, *state.cells[at:], *finer]))
+    capacity = state.smallest(shards, False)
+    cuts = state.balanced(capacity, shards)
     starts = [state.cells[bisect_right(state.edges, cut) - 1].prefix for cut in cuts if cut < state.total]
-    return starts, state.smallest(shards, False)
+    return starts, capacity
 
 
 def _own_shards(groups: DataFrame, shards: int) -> list[str]:
@@ -170,6 +192,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.sha2(text, 256).alias("sha"),
+            F.monotonically_increasing_id().alias("row_no"),
         ),
         "shard-rows",
     )
@@ -184,7 +207,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     # There are as many blocks in a mean shard as rows in a mean block.
     blocks = max(1, isqrt((groups.agg(F.sum("rows")).first()[0] or 0) // shards))
     placed = rows.withColumn("shard", _shard(alone, starts)).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(blocks)).cast("int")
+        "block", F.pmod(F.xxhash64("doc_id", "sha", "row_no"), F.lit(blocks)).cast("int")
     )
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -192,7 +215,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         .agg(F.count(F.lit(1)).alias("rows"))
         .select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     )
-    within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "sha")) - 1
+    within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "sha", "row_no")) - 1
     return (
         placed.withColumn("within", within)
         .join(offsets, ["shard", "block"])

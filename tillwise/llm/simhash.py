@@ -9,7 +9,8 @@ than the radius, which is skipped.
 Tiles are made so that the work stays in proportion to the table. Two
 fingerprints within radius ``r`` agree in one of ``r + 1`` blocks of bits, so a
 fingerprint goes to ``r + 1`` buckets, by as many bits of each block as give
-buckets of one tile (beyond 2^16 tiles, by two blocks). A bucket that is larger
+buckets of one tile (beyond 2^16 tiles, by two blocks; one tile is one bucket).
+So the tiles that meet are chosen by an index, which loses no link. A bucket that is larger
 than a tile (near copies by the thousand, or a bit that all texts share) is cut
 by population count and then at random, and its tile pairs are compared by
 different tasks. A tile pair gives a spanning forest of its links and not the
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tillwise.llm.components import smallest_reachable
 from tillwise.llm.runtime import ship, stored
+from tillwise.plans.sales import totals_apart
 
 SEED = 42
 
@@ -82,6 +84,8 @@ def _buckets(distinct: int, radius: int) -> Column:
     width = 64 // blocks
     wanted = max(0, (max(distinct, 1) // TILE).bit_length())
     bits = min(wanted, width)
+    if not bits:
+        return F.array(F.lit(0).cast("long"))
     inner = (64 - width) // blocks
     more = min(max(0, wanted - width), inner)
     f, found = F.col("f"), []
@@ -180,11 +184,14 @@ def _winners(prints: DataFrame, radius: int) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("first")
     distinct = stored(prints.groupBy("f").agg(first), "fingerprints")
-    root = smallest_reachable(_links(distinct.select("f"), distinct.count(), radius)).select(
-        F.col("u").alias("f"), F.col("v").alias("root")
-    )
+    return _first_of_components(distinct, smallest_reachable(_links(distinct.select("f"), distinct.count(), radius)))
+
+
+def _first_of_components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``f, doc_id, row_no``. ``edges`` have ``u`` linked to the smallest of its component ``v``."""
+    root = edges.select(F.col("u").alias("f"), F.col("v").alias("root"))
     rooted = distinct.join(root, "f", "left").withColumn("root", F.coalesce("root", "f"))
-    components = rooted.groupBy("root").agg(F.min("first").alias("winner"))
+    components = totals_apart(rooted, ["root"], F.min("first").alias("winner"))
     return rooted.join(components, "root").select("f", "winner.doc_id", "winner.row_no")
 
 

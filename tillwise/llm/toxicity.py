@@ -7,11 +7,13 @@ support vector machine is fitted on these by dual coordinate descent; its
 margins, from folds that were not fitted on, give the two constants of a
 logistic curve that turns a margin into a score from 0 to 1.
 
-The classifier is fitted on the driver, on a bounded sample: at most
-``toxic_rows`` and ``clean_rows`` labelled documents, in order of a hash of the
-identifier, of texts up to ``SAMPLE_TEXT`` bytes. Labels whose
-``crc32(identifier as text) mod 3`` is 1 are held out and never read. Scores look
-at the text alone, and at all of it.
+The classifier is fitted on the driver, on a bounded sample (:class:`Bounds`): at
+most ``toxic_rows`` and ``clean_rows`` labelled documents, in order of a hash of the
+identifier, of texts up to ``text_bytes``. A sampled document counts for as many
+as there are labels of its kind for each one sampled, so the bounds do not change
+how often the model takes texts to be toxic. Labels whose ``crc32(identifier as
+text) mod 3`` is 1 are held out and never read. Scores look at the text alone, and
+at all of it.
 
 Defined cases: a NULL or empty text has no features; its score comes from the
 intercept. A NULL identifier counts as not held out, and its label is not used.
@@ -23,6 +25,8 @@ columns may have any name.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,9 +35,15 @@ from pyspark.sql import functions as F
 from tillwise.llm.runtime import ship
 
 THRESHOLD = 0.7
-TOXIC_ROWS = 2000
-CLEAN_ROWS = 4000
-SAMPLE_TEXT = 1 << 16
+
+
+class Bounds(NamedTuple):
+    """What the classifier is fitted on at most."""
+
+    toxic_rows: int = 2000
+    clean_rows: int = 4000
+    text_bytes: int = 1 << 16
+
 
 GRAMS = (4, 5, 6)
 _BITS = 20
@@ -101,11 +111,13 @@ def _vectors(features: list[np.ndarray], ratios: np.ndarray) -> list[tuple[np.nd
     return made
 
 
-def fit_margin(vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a squared-hinge support vector machine."""
+def fit_margin(
+    vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a squared-hinge support vector machine; ``share``: what each vector counts for."""
     weights, intercept = np.zeros(BUCKETS), 0.0
     sign = np.where(toxic, 1.0, -1.0)
-    ridge = 0.5 / np.where(toxic, _COST * _TOXIC_WEIGHT, _COST)
+    ridge = 0.5 / (np.where(toxic, _COST * _TOXIC_WEIGHT, _COST) * share)
     dual = np.zeros(len(vectors))
     curvature = np.array([values @ values for _, values in vectors]) + 1.0 + ridge
     order = np.random.default_rng(0)
@@ -129,14 +141,14 @@ def fit_margin(vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray)
     return weights, intercept
 
 
-def fit_curve(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def fit_curve(margins: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve from margins to probabilities (Platt's smoothed targets)."""
-    positive, negative = float(np.sum(toxic)), float(np.sum(~toxic))
+    positive, negative = float(share[toxic].sum()), float(share[~toxic].sum())
     target = np.where(toxic, (positive + 1) / (positive + 2), 1 / (negative + 2))
     slope, offset = 1.0, np.log((positive + 1) / (negative + 1))
     for _ in range(100):
         guess = 1 / (1 + np.exp(-np.clip(slope * margins + offset, -30, 30)))
-        wrong, heavy = guess - target, guess * (1 - guess) + 1e-9
+        wrong, heavy = share * (guess - target), share * guess * (1 - guess) + 1e-9
         a, b, c = (heavy * margins**2).sum() + 1e-6, (heavy * margins).sum(), heavy.sum()
         g, h = (wrong * margins).sum(), wrong.sum()
         det = a * c - b * b
@@ -151,12 +163,17 @@ def fit_curve(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 class ToxicityModel:
     """``ratios`` and ``weights`` per bucket, intercept, slope and offset. ``share``: the score without both kinds of labels."""
 
-    def __init__(self, texts: list[str | None], labels: list[int]):
+    def __init__(self, texts: list[str | None], labels: list[int], counts: tuple[int, int] | None = None):
+        """``counts``: clean and toxic labels that the sample stands for (None: itself)."""
         toxic = np.array(labels, bool)
         self.share = None
         if not toxic.any() or toxic.all():
             self.share = float(toxic.mean()) if len(toxic) else 0.0
             return
+        sampled = np.array([np.sum(~toxic), np.sum(toxic)], float)
+        stands = np.array(sampled if counts is None else counts) / sampled
+        # one on the mean: how much the margin gives way to single texts depends on the sample's size alone
+        counted = (stands * len(toxic) / (stands * sampled).sum())[toxic.astype(int)]
         features = list(map(_Features(), texts))
         frequent = _frequent(features)
         features = [found[frequent[found]] for found in features]
@@ -166,13 +183,13 @@ class ToxicityModel:
             fitted = np.flatnonzero(fold != number)
             # ratios without the fold that is set aside: they would give its labels away
             ratios = log_count_ratios([features[i] for i in fitted], toxic[fitted])
-            weights, intercept = fit_margin(_vectors([features[i] for i in fitted], ratios), toxic[fitted])
+            weights, intercept = fit_margin(_vectors([features[i] for i in fitted], ratios), toxic[fitted], counted[fitted])
             for i in np.flatnonzero(fold == number):
                 (found, values), = _vectors([features[i]], ratios)
                 margins[i] = weights[found] @ values + intercept
-        self.slope, self.offset = fit_curve(margins, toxic)
+        self.slope, self.offset = fit_curve(margins, toxic, counted)
         ratios = log_count_ratios(features, toxic)
-        weights, self.intercept = fit_margin(_vectors(features, ratios), toxic)
+        weights, self.intercept = fit_margin(_vectors(features, ratios), toxic, counted)
         self.ratios = np.where(frequent, ratios, np.float32(0))
         self.weights = (weights * self.ratios).astype(np.float32)
 
@@ -194,30 +211,30 @@ def _remainder(identifier: Column) -> Column:
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    toxic_rows: int = TOXIC_ROWS,
-    clean_rows: int = CLEAN_ROWS,
+    bounds: Bounds = Bounds(),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> ToxicityModel:
-    """Fit on the sample. What is broadcast and collected is bounded by the two row counts."""
+    """Fit on the sample. What is broadcast and collected is bounded by the two row counts and the size of a text."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_remainder(F.col("doc_id")) != 1))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
     ordered = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.filter("toxic = 1").orderBy(*ordered).limit(toxic_rows).union(
-        known.filter("toxic = 0").orderBy(*ordered).limit(clean_rows)
+    picked = known.filter("toxic = 1").orderBy(*ordered).limit(bounds.toxic_rows).union(
+        known.filter("toxic = 0").orderBy(*ordered).limit(bounds.clean_rows)
     )
     sample = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(picked), "doc_id")
-        .filter(F.octet_length("text") <= SAMPLE_TEXT)
+        .filter(F.octet_length("text") <= bounds.text_bytes)
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     )
     rows = sorted(sample.collect(), key=lambda row: row.doc_id)
-    return ToxicityModel([row.text for row in rows], [row.toxic for row in rows])
+    counts = {row.toxic: row["count"] for row in known.groupBy("toxic").count().collect()}
+    return ToxicityModel([row.text for row in rows], [row.toxic for row in rows], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def _scores(model, text: Column) -> Column:
@@ -229,11 +246,16 @@ def _scores(model, text: Column) -> Column:
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = THRESHOLD,
+    bounds: Bounds = Bounds(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     context = ship(docs.sparkSession).sparkContext
-    model = context.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
+    model = context.broadcast(train(docs, labels, bounds, id_col, text_col))
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), _scores(model, F.col(text_col)).alias("score"))
     return scored.select(
         "doc_id",
@@ -244,9 +266,14 @@ def score_documents(
 
 
 def drop_toxic(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = THRESHOLD,
+    bounds: Bounds = Bounds(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns unchanged."""
     context = ship(docs.sparkSession).sparkContext
-    model = context.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
+    model = context.broadcast(train(docs, labels, bounds, id_col, text_col))
     return docs.filter(_scores(model, F.col(text_col)) < threshold)

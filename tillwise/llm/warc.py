@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise.llm.runtime import scratch, ship, stored
+from tillwise.plans.sales import totals_apart
 
 ARCHIVE_BYTES = 256 << 20
 
@@ -150,13 +151,14 @@ def read_records(stream) -> Iterator[Record]:
 def _roles(pages: DataFrame, smallest: int) -> DataFrame:
     """``page_id, url, payload, revisit, refers_to`` per page.
 
-    Which identifier answers for a payload is settled on narrow rows, where a hot
-    payload is one row per task. The payloads move once, by payload and
-    identifier, so that a payload with very many copies is spread.
+    Which identifier answers for a payload is settled on narrow rows; the answers are
+    shuffled apart, so that the many rows of one payload can be split in the join. The
+    payloads move once, by payload and identifier, so that a payload with very many
+    copies is spread.
     """
     keyed = pages.withColumns({"key": F.sha2("payload", 256), "size": F.octet_length("payload")})
-    narrow = keyed.groupBy("key", "page_id").agg(F.first("size").alias("size"))
-    answers = narrow.groupBy("key").agg(F.max("page_id").alias("answer"))
+    narrow = stored(keyed.groupBy("key", "page_id").agg(F.first("size").alias("size")), "payload-keys")
+    answers = totals_apart(narrow, ["key"], F.max("page_id").alias("answer"))
     verdicts = narrow.join(answers, "key").select(
         "key",
         F.coalesce("page_id", F.lit(0)).alias("id"),

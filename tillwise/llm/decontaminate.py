@@ -14,11 +14,17 @@ The benchmark is the join's small side by an explicit bound: it is broadcast in
 blocks of about ``BLOCK_BYTES`` of text, and the documents are read once for
 each block.
 
-Tokens are runs of word characters, lower-cased. Defined cases: NULL and empty
-texts, of documents or items, have no overlaps. An item of fewer than
-``SHORTEST`` tokens can't be told from ordinary prose and matches nothing. Rows
-with NULL or repeated identifiers are looked at like any other. An empty table
-on either side gives no overlaps. Other columns may have any name.
+Tokens are runs of word characters, lower-cased; in scripts that write no spaces
+between words each character is a token. Items of equal text are one class, found
+once; :func:`item_classes` says which items a class has.
+
+Defined cases: NULL and empty texts, of documents or items, and texts without a word
+character have no overlaps. In an item of fewer than five tokens no substitution is
+allowed (four of four is the least number above ``similarity``), so it has to occur
+word for word, which a very short one easily does; of its places in a document the
+first is reported. Rows with NULL or repeated identifiers are looked at like any
+other. An empty table on either side gives no overlaps. Other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -32,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.runtime import ship
+from tillwise.llm.runtime import ship, stored
+from tillwise.plans.sales import totals_apart
 
 WINDOW = 13
 SIMILARITY = 0.8
-SHORTEST = 5
 BLOCK_BYTES = 16 << 20
 
-_TOKEN = re.compile(r"\w+")
+# Scripts without spaces between words (Thai, Lao, Tibetan, Burmese, Khmer, kana, ideographs).
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 # Tokens that are looked at in one go; a longer document is a go of its own.
 _GO = 1 << 19
 _FILTER_BITS = 22
@@ -84,7 +92,7 @@ class SeedIndex:
         entries: dict[tuple[int, ...], list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             found = tokens_of(text)
-            if len(found) < SHORTEST:
+            if not found:
                 continue
             tokens = np.array([self.words.setdefault(word, len(self.words) + 1) for word in found], np.uint64)
             length = min(window, len(tokens))
@@ -92,6 +100,9 @@ class SeedIndex:
             for mask in masks(length, length - least):
                 entries.setdefault(mask, []).append((_hashes(tokens, mask), len(self.items)))
             self.items.append((item_id, tokens, length, least))
+        # Items whose only window is the item itself, word for word: padded to one width for the comparison.
+        self.exact = np.array([least == len(tokens) for _, tokens, _, least in self.items], bool)
+        self.sizes = np.array([len(tokens) for _, tokens, _, _ in self.items], np.int64)
         self.seeds = []
         for mask, found in entries.items():
             keys = np.concatenate([keys for keys, _ in found])
@@ -142,7 +153,9 @@ class SeedIndex:
         hits = self._alignments(tokens)
         if not len(hits):
             return
-        for shift, item in hits.tolist():
+        exact = self.exact[hits[:, 1]]
+        yield from self._word_for_word(tokens, hits[exact], np.array(starts), np.array(list(map(len, lists))), first)
+        for shift, item in hits[~exact].tolist():
             _, wanted, window, least = self.items[item]
             # an alignment may begin before the document that it is in
             for document in {
@@ -158,6 +171,20 @@ class SeedIndex:
                         yield first + document, item, low - begin + a, b - a, agree, low - shift + a
 
 
+    def _word_for_word(self, tokens: np.ndarray, hits: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: int):
+        """The first place in each document of each item that allows no substitution."""
+        hits = hits[hits[:, 0] >= 0]
+        document = np.searchsorted(starts, hits[:, 0], "right") - 1
+        inside = hits[:, 0] + self.sizes[hits[:, 1]] <= starts[document] + lengths[document]
+        hits, document = hits[inside], document[inside]
+        _, once = np.unique(document * len(self.items) + hits[:, 1], return_index=True)
+        for at in once.tolist():
+            shift, item = hits[at].tolist()
+            wanted = self.items[item][1]
+            if (tokens[shift : shift + len(wanted)] == wanted).all():
+                yield first + int(document[at]), item, shift - int(starts[document[at]]), len(wanted), len(wanted), 0
+
+
 def _runs(same: np.ndarray, window: int, least: int) -> Iterator[tuple[int, int]]:
     """Unions of windows that agree enough, from their first to their last agreeing token."""
     total = np.concatenate([[0], np.cumsum(same)])
@@ -171,14 +198,22 @@ def _runs(same: np.ndarray, window: int, least: int) -> Iterator[tuple[int, int]
         yield low + int(inside[0]), low + int(inside[-1]) + 1
 
 
+def item_classes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``item_id, class_id`` of every item that has a text: the smallest identifier of an equal text (NULL if none has one)."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    classes = totals_apart(items, ["text"], F.min("item_id").alias("class_id"))
+    return items.join(classes, "text").select("item_id", "class_id")
+
+
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, similarity: float):
-    """Broadcast indexes of benchmark blocks, one after the other."""
+    """Broadcast indexes of blocks of benchmark classes, one after the other."""
     spark = ship(benchmark.sparkSession)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    items = stored(items.groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text"), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text")
         yield spark.sparkContext.broadcast(SeedIndex([tuple(row) for row in mine.collect()], window, similarity))
 
 
@@ -192,7 +227,10 @@ def find_overlaps(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, item_id, doc_start, item_start, length, matches``: every overlap, places in tokens."""
+    """``doc_id, item_id, doc_start, item_start, length, matches``: every overlap, places in tokens.
+
+    ``item_id`` is the class of the item: the smallest identifier of an equal text.
+    """
     schema = "doc_id long, item_id long, doc_start int, item_start int, length int, matches int"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = docs.sparkSession.createDataFrame([], schema)

@@ -9,6 +9,11 @@ and ends where new and old piece borders fall together behind the edit; only
 those pieces are split and counted again, and the sums above their leaves are
 updated. The total is the root's sum.
 
+Trees are kept: :func:`keep_trees` makes a table with each document's text, the
+lengths of its pieces and their token counts, and :func:`edit_trees` starts from
+such a table, applies a batch of edits, and gives the table as it is afterwards. So
+the next batch encodes what it touches and nothing else.
+
 Edits come as ``start, end, replacement`` on the original text, in characters,
 not overlapping; they are applied from the last to the first, so that places
 stay valid.
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.lm_scoring import Tokens, load_ranks
-from tillwise.llm.runtime import ship
+from tillwise.llm.runtime import ship, stored
 
 # Pieces of a new leaf, and how far a leaf may grow before the tree is laid out anew.
 LEAF = 64
@@ -75,10 +81,25 @@ class PieceTree:
     """Segment tree over the pieces of one text. ``recounted`` says how many pieces edits have touched."""
 
     def __init__(self, text: str, counter: PieceCounter):
+        pieces = counter.split(text)
+        self._start(pieces, counter.counts(pieces), counter)
+
+    @classmethod
+    def kept(cls, text: str, lengths: list[int], counts: list[int], counter: PieceCounter) -> PieceTree:
+        """A tree of pieces that have been counted before."""
+        tree = cls.__new__(cls)
+        tree._start([text[end - length : end] for end, length in zip(accumulate(lengths), lengths)], counts, counter)
+        return tree
+
+    def _start(self, pieces: list[str], counts: list[int], counter: PieceCounter) -> None:
         self.counter = counter
         self.recounted = 0
-        pieces = counter.split(text)
-        self._lay_out(pieces, counter.counts(pieces))
+        self._lay_out(pieces, counts)
+
+    def state(self) -> tuple[str, list[int], list[int]]:
+        """Text, lengths of the pieces and their counts, as :meth:`kept` takes them."""
+        pieces = [piece for leaf, _ in self.leaves for piece in leaf]
+        return "".join(pieces), list(map(len, pieces)), [count for _, leaf in self.leaves for count in leaf]
 
     def _lay_out(self, pieces: list[str], counts: list[int]) -> None:
         self.leaves = [
@@ -210,32 +231,117 @@ def private_data(text: str | None) -> list[Edit]:
     return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in _PRIVATE.finditer(text)] if text else []
 
 
-_SCHEMA = "doc_id long, n_tokens long, n_edits int, edited_n_tokens long, recounted_pieces int, n_pieces int"
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+_EDITS = "array<struct<start:int,end:int,replacement:string>>"
+_TREE = "doc_id long, text string, lengths array<int>, counts array<int>"
+_EDITED = _TREE + ", n_tokens long, n_edits int, edited_n_tokens long, recounted_pieces int, n_pieces int"
+_KINDS = [
+    pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()),
+    pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(),
+]
+_EDIT_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
+# Characters of text that are given on at once.
+_FLUSH = 1 << 23
 _counters: dict[int, PieceCounter] = {}
 
 
-def _count_batches(tokens, rule: Callable[[str | None], list[Edit]] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.setdefault(id(tokens.value), None) or PieceCounter(tokens.value)
-        _counters[id(tokens.value)] = counter
+def _counter(tokens) -> PieceCounter:
+    """One counter for each Python worker, which remembers pieces from batch to batch."""
+    found = _counters.get(id(tokens.value))
+    if found is None:
+        found = _counters[id(tokens.value)] = PieceCounter(tokens.value)
+    return found
+
+
+def _flushed(rows: Iterator[tuple], schema: str, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows (the second value is a text) as batches of bounded size."""
+    names, made, size = [part.split()[0] for part in schema.split(", ")], [], 0
+    for row in rows:
+        made.append(row)
+        size += len(row[1])
+        if size >= _FLUSH or len(made) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], names)
+            made, size = [], 0
+    if made:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], names)
+
+
+def _keep_batches(tokens, schema: str):
+    def rows(batches):
+        counter = _counter(tokens)
         for batch in batches:
-            made = []
-            texts = batch.column(1).to_pylist()
-            given = batch.column(2).to_pylist() if rule is None else map(rule, texts)
-            for identifier, text, edits in zip(batch.column(0).to_pylist(), texts, given):
-                tree = PieceTree(text or "", counter)
-                before, pieces = tree.n_tokens, sum(len(leaf) for leaf, _ in tree.leaves)
+            for identifier, text, *edits in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                text = text.as_py() or ""
+                pieces = counter.split(text)
+                yield identifier, text, list(map(len, pieces)), counter.counts(pieces), *(x.as_py() for x in edits)
+
+    return lambda batches: _flushed(rows(batches), schema, [*_KINDS[:4], _EDIT_KIND])
+
+
+def _edit_batches(tokens, rule: Callable[[str | None], list[Edit]] | None):
+    def rows(batches):
+        counter = _counter(tokens)
+        for batch in batches:
+            for place, identifier in enumerate(batch.column(0).to_pylist()):
+                text, lengths, counts = (batch.column(column)[place].as_py() for column in (1, 2, 3))
+                edits = batch.column(4)[place].as_py() if rule is None else rule(text)
                 edits = [tuple(edit.values()) if isinstance(edit, dict) else edit for edit in edits or []]
-                number = tree.apply_all(edits)
-                made.append((identifier, before, number, tree.n_tokens, tree.recounted, pieces))
-            columns = list(zip(*made)) or [[]] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(columns, _KINDS)],
-                [part.split()[0] for part in _SCHEMA.split(", ")],
-            )
+                if edits:
+                    tree = PieceTree.kept(text, lengths, counts, counter)
+                    before, pieces = tree.n_tokens, len(lengths)
+                    number = tree.apply_all(edits)
+                    yield identifier, *tree.state(), before, number, tree.n_tokens, tree.recounted, pieces
+                else:
+                    total = sum(counts)
+                    yield identifier, text, lengths, counts, total, 0, total, 0, len(lengths)
+
+    return lambda batches: _flushed(rows(batches), _EDITED, _KINDS)
+
+
+def _tokens_of(spark, ranks_path: str, pattern: str):
+    return ship(spark).sparkContext.broadcast(Tokens(load_ranks(ranks_path), pattern))
+
+
+def keep_trees(
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    edits_col: str | None = None,
+) -> DataFrame:
+    """``doc_id, text, lengths, counts`` for every row of ``docs``: its pieces, split and counted once.
+
+    The table is meant to be written, and to be edited from there. ``edits_col`` names
+    a column of edits to keep beside the tree, as ``edits``. ``ranks_path`` is read on
+    the driver.
+    """
+    tokens = _tokens_of(docs.sparkSession, ranks_path, pattern)
+    columns, schema = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], _TREE
+    if edits_col is not None:
+        columns.append(F.col(edits_col).cast(_EDITS).alias("edits"))
+        schema += f", edits {_EDITS}"
+    return docs.select(*columns).mapInArrow(_keep_batches(tokens, schema), schema)
+
+
+def edit_trees(
+    trees: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    rule: Callable[[str | None], list[Edit]] | None = None,
+    edits_col: str = "edits",
+) -> DataFrame:
+    """``trees`` after a batch of edits, with ``n_tokens`` before them, ``n_edits, edited_n_tokens, recounted_pieces, n_pieces``.
 
-    return run
+    Edits come from ``rule(text)``, or from the column ``edits_col`` of type
+    ``array<struct<start:int,end:int,replacement:string>>``. Only pieces that edits
+    touch are encoded, with the tokenizer that the trees were made with. No row meets
+    another, so there is nothing to shuffle.
+    """
+    tokens = _tokens_of(trees.sparkSession, ranks_path, pattern)
+    columns = ["doc_id", "text", "lengths", "counts"]
+    if rule is None:
+        columns.append(F.col(edits_col).cast(_EDITS).alias("edits"))
+    return trees.select(*columns).mapInArrow(_edit_batches(tokens, rule), _EDITED)
 
 
 def count_edited(
@@ -249,12 +355,9 @@ def count_edited(
 ) -> DataFrame:
     """``doc_id, n_tokens, n_edits, edited_n_tokens, recounted_pieces, n_pieces`` for every row of ``docs``.
 
-    Edits come from ``rule(text)``, or from the column ``edits_col`` of type
-    ``array<struct<start:int,end:int,replacement:string>>``. No row meets another,
-    so there is nothing to shuffle. ``ranks_path`` is read on the driver.
+    The trees are written to the shared folder, and the edits are applied to those.
     """
-    tokens = ship(docs.sparkSession).sparkContext.broadcast(Tokens(load_ranks(ranks_path), pattern))
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
-    if rule is None:
-        columns.append(F.col(edits_col).cast("array<struct<start:int,end:int,replacement:string>>").alias("edits"))
-    return docs.select(*columns).mapInArrow(_count_batches(tokens, rule), _SCHEMA)
+    trees = keep_trees(docs, ranks_path, pattern, id_col, text_col, edits_col if rule is None else None)
+    return edit_trees(stored(trees, "trees"), ranks_path, pattern, rule).select(
+        "doc_id", "n_tokens", "n_edits", "edited_n_tokens", "recounted_pieces", "n_pieces"
+    )

@@ -1,8 +1,12 @@
 """Cleaning pipeline over ``documents``: each stage's result is written and read again by the next.
 
 Every stage works on all that its predecessor kept. The first four keep or drop
-whole rows and leave the columns of ``documents`` as they are; the last encodes
-what is left.
+whole rows and leave the columns of ``documents`` as they are, further ones and
+clashing names included; the last encodes what is left.
+
+Defined cases, for every stage: rows with NULL or repeated identifiers are rows like
+any other, NULL texts count as empty, texts may have any length, and an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -22,27 +26,33 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.7 or more go."""
+    """Documents with a toxicity score of 0.7 or more go. Without labels of both kinds their share is the score of all."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the document with the smallest identifier stays."""
+    """Of equal normalised texts the document with the smallest identifier stays (one without only if all are).
+
+    NULL, empty and blank texts differ as their normalised texts do: blank ones are one space.
+    """
     return keep_first_copies(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints the document with the smallest identifier stays."""
+    """Of each group linked by fingerprints the document with the smallest identifier stays.
+
+    Texts without words have fingerprint zero, so one of them stays.
+    """
     return keep_one_of_each(docs, SHINGLE, MAX_BITS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an overlap with a benchmark item go."""
+    """Documents with an overlap with a benchmark item go; texts without words have none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the documents that are left."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the documents that are left; no tokens for texts without words."""
     return encoding_digests(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -54,7 +64,8 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-# Trained scores, XXH64 fingerprints and tokenizer ids are beyond SQL; tests hold the stages against brute force.
+# Trained scores, XXH64 fingerprints and tokenizer ids are beyond SQL; tests/llm/test_pipeline.py holds
+# the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import time
 
@@ -8,6 +9,7 @@ import public_tokenizers
 import pytest
 import tokenizers
 
+from tillwise.llm import bpe_automaton
 from tillwise.llm.bpe_automaton import BpeAutomaton, BpeCodec, encode_documents, encoding_digests
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -51,8 +53,10 @@ def naive(symbols, merges):
     return symbols
 
 
-def test_gadgets_against_merging():
-    """Random merge lists over two letters, where tokens overlap in every way."""
+@pytest.mark.parametrize("states", [1 << 18, 3])
+def test_gadgets_against_merging(monkeypatch, states):
+    """Random merge lists over two letters, where tokens overlap in every way; tables that start anew all the time."""
+    monkeypatch.setattr(bpe_automaton, "_STATES", states)
     dice = random.Random(6)
     codes = BpeAutomaton.__init__.__globals__["byte_symbols"]()
     for _ in range(60):
@@ -86,6 +90,16 @@ def test_a_word_takes_time_in_proportion(codec, library):
     assert codec.encode(word[:100_000]) == library.encode(word[:100_000], add_special_tokens=False).ids
 
 
+def test_the_table_stays_bounded(codec, monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "_STATES", 1000)
+    dice = random.Random(5)
+    word = "".join(dice.choices("aetinosrhdlmc", k=200_000)).encode()
+    found = codec.automaton.encode_word(word)
+    assert len(codec.automaton.nodes) <= 1001 and len(codec.automaton.moves) <= 1001 * 13
+    copy = pickle.loads(pickle.dumps(codec.automaton))
+    assert len(copy.nodes) == 1 and copy.encode_word(word) == found
+
+
 def test_every_beginning_of_a_word_has_its_arc(codec):
     """What is noted on the way is the last token of each beginning's own encoding, as no word end is in it."""
     word = b"internationalisation"

@@ -18,12 +18,15 @@ state has the arc ``uv`` if it had the arc ``u`` in that step.
 
 To read symbols, arc labels are compiled into a second table: a node for every
 beginning of a label, its transitions by symbol, and the arcs whose labels end
-there. A pre-split word is read symbol by symbol, once, and nothing is taken back:
-of the arcs that end at a position, exactly one continues the path that the
-automaton has accepted up to where that arc begins. That arc is noted for the
-position; at the end of the word the noted arcs are followed from the last one to
-the first and their tokens emitted. So a word takes time in proportion to its
-length, however long. Decoding emits the labels of the arcs.
+there. Of the arcs that end at a position, exactly one continues the path that the
+automaton has accepted up to where that arc begins. So a state of the automaton
+that reads symbols is a node with the tokens noted for the positions that a label
+in progress can begin behind; its transition by a symbol goes to the next node and
+notes the one arc. These transitions are worked out when first taken and kept in a
+table, which starts anew when it is full. A pre-split word is read symbol by symbol,
+once, by that table, and nothing is taken back; at its end the noted arcs are
+followed from the last one to the first and their tokens emitted. A word takes time
+in proportion to its length, however long. Decoding emits the labels of the arcs.
 
 Defined cases: a NULL or empty text has no tokens and decodes to the empty text.
 Rows with NULL or repeated identifiers are encoded like any other. An empty
@@ -46,6 +49,11 @@ from pyspark.sql import functions as F
 from tillwise.llm.runtime import ship
 
 _NEVER = 1 << 60
+# Noted before the first symbol of a word: any arc may begin there.
+_START = -1
+
+# States of the table of transitions, before it starts anew.
+_STATES = 1 << 18
 
 # Words a task remembers the tokens of; longer words are not remembered.
 _REMEMBERED = 1 << 18
@@ -154,42 +162,90 @@ class BpeAutomaton:
                         back = self.fail[back]
                     self.fail[child] = self.goto[back].get(symbol, 0)
             level = [child for node in level for child in self.goto[node].values()]
-        self.arcs: dict[int, bool] = {}
+        # characters of label that a node stands for
+        self.depth = [0] * len(self.goto)
+        for node, children in enumerate(self.goto):
+            for child in children.values():
+                self.depth[child] = self.depth[node] + 1
+        self._empty_table()
+
+    def _empty_table(self) -> None:
+        self.moves: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+        self.numbers: dict[tuple[int, tuple[int, ...]], int] = {}
+        self.nodes: list[int] = []
+        self.tails: list[tuple[int, ...]] = []
+        self._state(0, (_START,))
+
+    def __getstate__(self):
+        """Without the transitions: each reader works out those it takes."""
+        kept = self.__dict__.copy()
+        for name in ("moves", "ends", "numbers", "nodes", "tails"):
+            del kept[name]
+        return kept
+
+    def __setstate__(self, kept):
+        self.__dict__.update(kept)
+        self._empty_table()
+
+    def _state(self, node: int, tail: tuple[int, ...]) -> int:
+        found = self.numbers.get((node, tail))
+        if found is None:
+            found = self.numbers[node, tail] = len(self.nodes)
+            self.nodes.append(node)
+            self.tails.append(tail)
+        return found
+
+    def _arc(self, state: int, symbol: int) -> tuple[int, int]:
+        """The node that ``symbol`` leads to, and the one arc that ends there and continues the accepted path."""
+        node, tail = self.nodes[state], self.tails[state]
+        while symbol not in self.goto[node]:
+            node = self.fail[node]
+        node = self.goto[node][symbol]
+        token = self.arc_of[node]
+        while True:
+            before = tail[-self.length[token]]
+            if before == _START or self.step(before, token):
+                return node, token
+            token = self.shorter[token]
+
+    def _move(self, state: int, symbol: int) -> int:
+        """A transition that the table does not have yet. The last entry of a state's tail is the arc it notes."""
+        node, token = self._arc(state, symbol)
+        tail = (*self.tails[state], token)[-self.depth[node] - 1 :]
+        if len(self.nodes) >= _STATES:
+            self._empty_table()
+            return self._state(node, tail)
+        found = self.moves[state << 16 | symbol] = self._state(node, tail)
+        return found
 
-    def _arc(self, key: int) -> bool:
-        """:meth:`step` for ``before << 32 | token``, remembered."""
-        if len(self.arcs) >= _REMEMBERED:
-            self.arcs.clear()
-        found = self.arcs[key] = self.step(key >> 32, key & 0xFFFFFFFF)
+    def _end(self, state: int, symbol: int) -> int:
+        """The last arc of a word."""
+        found = self.ends[state << 16 | symbol] = self._arc(state, symbol)[1]
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
         """Tokens of one pre-split word (not empty)."""
-        inner, goto, fail, arc_of = self.inner, self.goto, self.fail, self.arc_of
-        length, shorter, known, arc = self.length, self.shorter, self.arcs, self._arc
-        end = len(word)
-        noted = array("i", bytes(4 * end))
-        node = 0
-        for at in range(end):
-            symbol = inner[word[at]] if at < end - 1 else self.final[word[at]]
-            while symbol not in goto[node]:
-                node = fail[node]
-            node = goto[node][symbol]
-            token = arc_of[node]
-            while True:
-                begin = at - length[token]
-                if begin < 0:
-                    break
-                key = noted[begin] << 32 | token
-                allowed = known.get(key)
-                if allowed or (allowed is None and arc(key)):
-                    break
-                token = shorter[token]
-            noted[at] = token
-        tokens, at = [], end - 1
+        inner, length, moves, tails = self.inner, self.length, self.moves, self.tails
+        noted = array("i")
+        note = noted.append
+        state = 0
+        for byte in word[:-1]:
+            symbol = inner[byte]
+            following = moves.get(state << 16 | symbol)
+            if following is None:
+                following = self._move(state, symbol)
+                moves, tails = self.moves, self.tails
+            state = following
+            note(tails[state][-1])
+        symbol = self.final[word[-1]]
+        last = self.ends.get(state << 16 | symbol)
+        note(self._end(state, symbol) if last is None else last)
+        tokens, at = [], len(word) - 1
         while at >= 0:
-            tokens.append(noted[at])
-            at -= length[noted[at]]
+            token = noted[at]
+            tokens.append(token)
+            at -= length[token]
         tokens.reverse()
         return tokens
 

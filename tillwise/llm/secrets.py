@@ -102,10 +102,21 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+").alias("words"),
     )
     near = lambda at, step: F.coalesce(F.get("words", at + step), F.lit(""))
-    numbered = F.transform("words", lambda word, at: F.struct(at.alias("at"), word.alias("word"), near(at, -1).alias("before")))
-    hopeful = F.filter(
-        numbered,
-        lambda x: (F.length(x.word) >= SHORT) & (x.word.rlike(f"[0-9=:{_QUOTES}]|{_RUN}") | x.before.rlike(_ASSIGNS)),
+    assigns = lambda word: F.right(word, F.lit(2)).rlike(_ASSIGNS)
+    # Cheap questions first: most words are short or plain.
+    hopeful = F.array_compact(
+        F.transform(
+            "words",
+            lambda word, at: F.when(
+                (F.length(word) >= SHORT)
+                & (
+                    word.rlike(f"[0-9=:{_QUOTES}]")
+                    | ((F.length(word) >= LONG) & word.rlike(_RUN))
+                    | assigns(near(at, -1))
+                ),
+                F.struct(at.alias("at"), word.alias("word"), near(at, -1).alias("before")),
+            ),
+        )
     )
     at = F.col("found.at")
     return (

@@ -42,15 +42,43 @@ def big(x: str) -> str:
     return f"CAST({x} AS BIGINT)"
 
 
+class Quotient(str):
+    """A division as a DOUBLE, that remembers its parts."""
+
+    above: str
+    below: str
+
+
+def div(a: str, b: str) -> Quotient:
+    quotient = Quotient(f"({d(a)} / nullif({d(b)}, 0))")
+    quotient.above, quotient.below = a, b
+    return quotient
+
+
+def plain(x: Quotient) -> str:
+    """The DOUBLE, for parts that are no amounts or counts."""
+    return str.__str__(x) + ""
+
+
+def exact(a: str, b: str, digits: int = 2, factor: int = 1) -> str:
+    """``factor * a / b`` in whole hundredths, rounded half away from zero."""
+    above, below = (f"CAST(round(({x}) * 100) AS HUGEINT)" for x in (a, b))
+    steps = f"((abs({above}) * {2 * factor * 10**digits} + abs({below})) // nullif(2 * abs({below}), 0))"
+    return f"(CAST(CASE WHEN ({above} >= 0) = ({below} >= 0) THEN {steps} ELSE -{steps} END AS DOUBLE) / CAST({10**digits} AS DOUBLE))"
+
+
 def r(x: str, digits: int = 2) -> str:
+    """A ratio of amounts and counts exactly, anything else as the DOUBLE it is."""
+    if isinstance(x, Quotient):
+        return exact(x.above, x.below, digits)
     return f"round({d(x)} + 1e-9 * sign({d(x)}), {digits})"
 
 
-def div(a: str, b: str) -> str:
-    return f"({d(a)} / nullif({d(b)}, 0))"
+def pct(a: str, b: str) -> str:
+    return exact(a, b, 2, 100)
 
 
-def pct(a: str, b: str) -> str:
+def pct_double(a: str, b: str) -> str:
     return r(f"CAST(100 AS DOUBLE) * {div(a, b)}")
 
 
@@ -414,7 +442,7 @@ def _top_products(start=None, end=None, limit=20):
     return f"""{sold(start, end)},
 best AS (SELECT product_id, any_value(post_title) AS product_name, count(DISTINCT order_id) AS order_count,
 {big('sum(quantity)')} AS units_sold, {d('sum(s.total)')} AS total_revenue,
-{r(div(f"sum({div('s.total', 'quantity')})", f"count({div('s.total', 'quantity')})"))} AS avg_price,
+{r(plain(div(f"sum({div('s.total', 'quantity')})", f"count({div('s.total', 'quantity')})")))} AS avg_price,
 {r(div('sum(s.total)', 'count(DISTINCT order_id)'))} AS aov
 FROM sold s LEFT JOIN fx_posts p ON p.id = s.product_id GROUP BY product_id ORDER BY sum(s.total) DESC, product_id LIMIT {limit})"""
 
@@ -493,7 +521,7 @@ AND date_created >= {ago(60, 'DAY')}) AS shaky FROM fx_subscriptions WHERE statu
 sales AS (SELECT CAST(date_created AS DATE) AS day, sum(total) AS v FROM fx_orders WHERE {PAID} AND type = 'sale' GROUP BY 1)
 SELECT 'Confirmed Revenue' AS category, {each(lambda n: d(f'sum(CASE WHEN {due(n)} THEN recurring_amount ELSE 0 END)'))}
 FROM subs WHERE expiration >= {DAY} AND expiration <= {DAY} + INTERVAL {days} DAY
-UNION ALL SELECT 'Projected New Sales', {each(lambda n: r(f"{n} * " + div(f"sum(v) FILTER (WHERE day >= {ago(n, 'DAY')})", f"count(*) FILTER (WHERE day >= {ago(n, 'DAY')})")))} FROM sales
+UNION ALL SELECT 'Projected New Sales', {each(lambda n: exact(f"sum(v) FILTER (WHERE day >= {ago(n, 'DAY')})", f"count(*) FILTER (WHERE day >= {ago(n, 'DAY')})", 2, n))} FROM sales
 UNION ALL SELECT 'At-Risk Revenue', {each(lambda n: d(f'sum(CASE WHEN {due(n)} AND shaky THEN recurring_amount ELSE 0 END)'))} FROM subs"""
 
 
@@ -510,7 +538,7 @@ FROM fx_orders WHERE {PAID} GROUP BY 1),
 b AS (SELECT l.name, {d('sum(o.total)')} AS v FROM fx_orders o JOIN loyal l ON l.customer_id IS NOT DISTINCT FROM o.customer_id
 WHERE o.{PAID}{between('o.date_created', start, end)} GROUP BY 1)
 SELECT 'By Product Type' AS segment_type, name AS segment_name, v AS revenue, {r('k')} AS estimated_cost, {r('v - k')} AS gross_profit,
-{pct('v - k', 'v')} AS profit_margin FROM a
+{pct_double('v - k', 'v')} AS profit_margin FROM a
 UNION ALL SELECT 'By Customer Segment', name, v, {d('0')}, v, {d('100')} FROM b"""
 
 
@@ -520,7 +548,7 @@ def ltv_cac_ratio():
 JOIN fx_orders o ON o.customer_id = c.id GROUP BY 1),
 t AS (SELECT {div('sum(v)', 'count(*)')} AS ltv, count(*) AS n,
 {div(f'(SELECT sum(total) FROM fx_orders WHERE {PAID} AND {year})', f'(SELECT count(*) FROM fx_customers WHERE {year})')} AS cac FROM s)
-SELECT {r('ltv')} AS avg_ltv, {r(div('ltv', 'cac'))} AS ltv_cac_ratio, round(cac, 6) AS estimated_cac, n AS customer_count FROM t"""
+SELECT {r('ltv')} AS avg_ltv, {r(plain(div('ltv', 'cac')))} AS ltv_cac_ratio, round(cac, 6) AS estimated_cac, n AS customer_count FROM t"""
 
 
 def revenue_run_rate():
@@ -603,7 +631,7 @@ def seasonal_patterns():
 FROM fx_orders WHERE {PAID} AND date_created >= {ago(2, 'YEAR')} GROUP BY 1),
 w AS (SELECT avg(v) AS w FROM m)
 SELECT CAST(month(m) AS INTEGER) AS month_number, strftime(m, '%B') AS month_name, {r('avg(v)')} AS avg_revenue, {r('avg(n)', 0)} AS avg_orders,
-{r('avg(c)', 0)} AS avg_customers, {r('stddev_pop(v)')} AS revenue_volatility, {pct('avg(v) - any_value(w)', 'any_value(w)')} AS deviation_from_average,
+{r('avg(c)', 0)} AS avg_customers, {r('stddev_pop(v)')} AS revenue_volatility, {pct_double('avg(v) - any_value(w)', 'any_value(w)')} AS deviation_from_average,
 {season} AS seasonality_classification FROM m, w GROUP BY 1, 2"""
 
 

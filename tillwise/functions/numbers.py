@@ -12,22 +12,36 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def rounded(value: Column, digits: int = 2) -> Column:
-    """Round a DOUBLE half away from zero.
+    """Round a value that only exists as a DOUBLE (a mean of ratios, a forecast) half away from zero.
 
     Binary doubles fall just short of decimal ties (1.005 is 1.00499..), so a
-    nudge far below the last kept digit decides ties the way decimal
-    arithmetic would. Every engine then agrees on the result.
+    nudge far below the last kept digit decides them upwards. Ratios of amounts and
+    counts are exact, see :func:`rounded_ratio`.
     """
     number = value.cast("double")
     return F.round(number + F.lit(1e-9) * F.signum(number), digits)
 
 
-def rounded_ratio(numerator: Column, denominator: Column, digits: int = 2) -> Column:
-    return rounded(ratio(numerator, denominator), digits)
+def _hundredths(value: Column) -> Column:
+    """An amount or a count as a whole number of hundredths."""
+    return (value.cast("decimal(36,2)") * 100).cast("decimal(38,0)")
+
+
+def rounded_ratio(numerator: Column, denominator: Column, digits: int = 2, factor: int = 1) -> Column:
+    """``factor * numerator / denominator``, rounded half away from zero; NULL where the denominator is 0 or NULL.
+
+    Both are amounts of at most two decimals or counts. The division is one of whole
+    numbers, so ties are seen as ties whatever the size of the amounts.
+    """
+    above, below = _hundredths(numerator), _hundredths(denominator)
+    twice = F.abs(above) * F.lit(2 * factor * 10**digits).cast("decimal(10,0)") + F.abs(below)
+    steps = F.call_function("div", twice.cast("decimal(38,0)"), F.nullif((F.abs(below) * 2).cast("decimal(38,0)"), F.lit(0)))
+    positive = (above >= 0) == (below >= 0)
+    return F.when(positive, steps).otherwise(-steps).cast("double") / F.lit(float(10**digits))
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    return rounded(F.lit(100.0) * ratio(part, whole), digits)
+    return rounded_ratio(part, whole, digits, 100)
 
 
 def percent_change(current: Column, previous: Column, digits: int = 2) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions import fixed_values as fv
 from tillwise.functions.labels import first_match, position, rfm_segment, trend_class
-from tillwise.functions.numbers import ratio, rounded
+from tillwise.functions.numbers import percent, ratio, rounded
 from tillwise.plans.ranges import label_places, ranged
 from tillwise.plans.prefix import prefix_before, value_levels
 from tillwise.plans.sales import count_if, rows, zero
@@ -297,7 +297,7 @@ def pareto(df: DataFrame, revenue: str = "revenue", key: str = "id") -> DataFram
         key,
         revenue,
         F.col("running").alias("cumulative_revenue"),
-        rounded(100.0 * ratio(F.col("running"), F.col("whole"))).alias("cumulative_percentage"),
+        percent(F.col("running"), F.col("whole")).alias("cumulative_percentage"),
     )
 
 

@@ -84,7 +84,7 @@ def cash_flow_projection(store: Store, as_of: Day, days: int = 90) -> DataFrame:
 
     def projected(n: int):
         recent = F.when(F.col("day") >= F.lit(shift_days(today, -n)), F.col("revenue"))
-        return rounded(n * ratio(F.sum(recent), F.count(recent))).alias(f"sales_{n}")
+        return rounded_ratio(F.sum(recent), F.count(recent), factor=n).alias(f"sales_{n}")
 
     combined = totals.crossJoin(F.broadcast(sales.agg(*map(projected, _HORIZONS))))
     lines = (("Confirmed Revenue", "confirmed"), ("Projected New Sales", "sales"), ("At-Risk Revenue", "risk"))
@@ -137,7 +137,7 @@ def profitability_by_segment(store: Store, as_of: Day, start: Day = None, end: D
             "revenue",
             rounded(F.col("cost")).alias("estimated_cost"),
             rounded(F.col("revenue") - F.col("cost")).alias("gross_profit"),
-            percent(F.col("revenue") - F.col("cost"), F.col("revenue")).alias("profit_margin"),
+            rounded(100.0 * ratio(F.col("revenue") - F.col("cost"), F.col("revenue"))).alias("profit_margin"),
         )
     )
 
@@ -198,7 +198,7 @@ def ltv_cac_ratio(store: Store, as_of: Day) -> DataFrame:
         .crossJoin(F.broadcast(fresh))
         .select(
             rounded(mean).alias("avg_ltv"),
-            rounded_ratio(mean, cac).alias("ltv_cac_ratio"),
+            rounded(ratio(mean, cac)).alias("ltv_cac_ratio"),
             cac.alias("estimated_cac"),
             "customer_count",
         )

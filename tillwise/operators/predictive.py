@@ -195,7 +195,7 @@ def seasonal_patterns(store: Store, as_of: Day) -> DataFrame:
             rounded_ratio(F.sum("orders"), F.count("orders"), 0).alias("avg_orders"),
             rounded_ratio(F.sum("customers"), F.count("customers"), 0).alias("avg_customers"),
             rounded(F.stddev_pop("revenue")).alias("revenue_volatility"),
-            percent_change(mean, overall).alias("deviation_from_average"),
+            rounded(100.0 * ratio(mean - overall, overall)).alias("deviation_from_average"),
             first_match(((mean >= overall * F.lit(cut), name) for cut, name in seasons), "Off Season").alias(
                 "seasonality_classification"
             ),

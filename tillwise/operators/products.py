@@ -17,7 +17,7 @@ from tillwise.functions.dates import (
     shift_months,
 )
 from tillwise.functions.labels import first_match, position
-from tillwise.functions.numbers import cents_of, money_of, money_sum, percent_change, ratio, rounded_ratio
+from tillwise.functions.numbers import cents_of, money_of, money_sum, percent_change, ratio, rounded, rounded_ratio
 from tillwise.plans.prefix import all_read
 from tillwise.plans.sales import count_if, head, items_of, paid_orders, rows, sold_items, sum_if, totals_apart, with_titles, zero
 from tillwise.sources.store import Store
@@ -56,7 +56,7 @@ def top_products(
             rows("order_count"),
             F.sum("units").alias("units_sold"),
             money_of(F.sum("cents"), 38).alias("total_revenue"),
-            rounded_ratio(F.sum("prices"), F.sum("priced")).alias("avg_price"),
+            rounded(ratio(F.sum("prices"), F.sum("priced"))).alias("avg_price"),
             rounded_ratio(money_of(F.sum("cents")), F.count(F.lit(1))).alias("aov"),
         )
         .transform(head, limit, "-total_revenue", "product_id")

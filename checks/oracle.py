@@ -694,10 +694,17 @@ SELECT round(sum(current_revenue), 2) AS total_revenue, {big('sum(units_sold)')}
 count(*) FILTER (WHERE current_revenue > 0) AS active_products, round(sum(current_revenue) / sum(units_sold), 6) AS avg_aov FROM matrix"""
 
 
-def product_search(term, limit):
+def product_search(term, limit, strong=True):
     return f"""{_top_products(limit=limit)},
 f AS (SELECT * FROM best WHERE lower(coalesce(product_name, '')) LIKE '%{term}%')
-SELECT * FROM f WHERE total_revenue >= (SELECT avg(total_revenue) FROM f)"""
+SELECT * FROM f WHERE total_revenue {'>=' if strong else '<'} (SELECT avg(total_revenue) FROM f)"""
+
+
+def product_search_with_growth(strong, rising):
+    return f"""{_matrix()},
+f AS (SELECT product_id, product_name, current_revenue AS total_revenue, growth_rate, units_sold FROM matrix),
+m AS (SELECT avg(total_revenue) AS v, avg(coalesce(growth_rate, 0)) AS g FROM f)
+SELECT f.* FROM f, m WHERE total_revenue {'>=' if strong else '<'} v AND coalesce(growth_rate, 0) {'>=' if rising else '<'} g"""
 
 
 def bcg_quadrant():

@@ -161,8 +161,34 @@ _derived("product_search",
          lambda s: dashboard.product_search(
              _run(s, "top_products", limit=None), "BOLT", "stars", "total_revenue", descending=False),
          oracle.product_search("bolt", 10**9))
+_derived("product_search_question_marks",
+         lambda s: dashboard.product_search(
+             _run(s, "top_products", limit=None), "bolt", "question-marks", "units_sold"),
+         oracle.product_search("bolt", 10**9, strong=False))
+
+
+def _matrix_as_products(shop: SampleShop) -> DataFrame:
+    return _run(shop, "product_performance_matrix").withColumnRenamed("current_revenue", "total_revenue").drop(
+        "previous_revenue", "quadrant"
+    )
+
+
+for _name, _strong, _rising in (("stars", True, True), ("cash_cows", True, False), ("dogs", False, False)):
+    _derived(f"product_search_{_name}_by_growth",
+             lambda s, name=_name: dashboard.product_search(
+                 _matrix_as_products(s), "", name.replace("_", "-"), "growth_rate", descending=name != "dogs"),
+             oracle.product_search_with_growth(_strong, _rising))
 _derived("bcg_quadrant", lambda s: dashboard.bcg_quadrant(_run(s, "product_performance_matrix")),
          oracle.bcg_quadrant())
+# A range without sales falls back to all time.
+_derived("bcg_quadrant_all_time",
+         lambda s: dashboard.bcg_quadrant(
+             _run(s, "product_performance_matrix", start="1980-01-01", end="1980-12-31"), _run(s, "product_performance_matrix")),
+         oracle.bcg_quadrant())
+_derived("product_summary_all_time",
+         lambda s: dashboard.product_summary(
+             _run(s, "product_performance_matrix", start="1980-01-01", end="1980-12-31"), _run(s, "product_performance_matrix")),
+         oracle.product_summary(), "avg_growth", "avg_aov")
 _derived("velocity_trend",
          lambda s: dashboard.with_trend_class(_run(s, "revenue_velocity")).select("date", "growth_rate", "trend"),
          oracle.velocity_trend())

@@ -219,13 +219,12 @@ def with_trend_class(df: DataFrame, growth: str = "growth_rate") -> DataFrame:
 
 def recurring_share(sources: DataFrame, velocity: float | None = None) -> DataFrame:
     """Total of ``(source, revenue)``, the recurring share of it, and a velocity grade."""
-    revenue = _number("revenue")
-    recurring = F.sum(F.when(F.col("source") == "recurring", revenue))
+    whole = F.sum("revenue")
+    recurring = F.sum(F.when(F.col("source") == "recurring", F.col("revenue")))
     speed = F.lit(float(velocity or 0))
     return sources.agg(
-        F.coalesce(F.sum(revenue), F.lit(0.0)).alias("total"),
-        F.when(F.sum(revenue) > 0, _number(100.0 * ratio(recurring, F.sum(revenue))))
-        .otherwise(0.0).alias("recurring_percentage"),
+        _number(whole).alias("total"),
+        F.when(whole > 0, _number(100.0 * ratio(recurring, whole))).otherwise(0.0).alias("recurring_percentage"),
     ).select(
         "total",
         "recurring_percentage",

@@ -54,7 +54,7 @@ def test_against_brute_force(letters):
 
 
 def test_every_short_binary_text():
-    documents = [[number >> k & 1 for k in range(n)] for n in range(1, 14) for number in range(1 << n)]
+    documents = [[number >> k & 1 for k in range(n)] for n in range(1, 12) for number in range(1 << n)]
     found = find_runs([np.array(words, np.int64) for words in documents])
     by_document = {}
     for document, *run in found.tolist():

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tillwise.llm.runtime import scratch
-from tillwise.llm.warc import WarcError, _roles, digest, pack, read_archives, read_records, round_trip, write_archives
+from tillwise.llm.warc import WarcError, _roles, _uri, digest, pack, read_archives, read_records, round_trip, write_archives
 
 PAGES = [
     (1, "http://a/1", "<html>one</html>"), (2, "http://a/2", "<html>one</html>"), (3, None, "<html>ü\r\n\r\nthree</html>"),
@@ -71,6 +71,11 @@ def test_hot_payload_is_split(spark, skewed):
     assert not any(r.revisit for r in rows if r.page_id % 10 == 9)
 
 
+def test_paths_of_the_shared_folder():
+    assert [_uri(p) for p in ("file:/tmp/x", "file:///tmp/x", "s3a://b/x", "s3://b/x", "hdfs://n/x")] == [
+        "file:///tmp/x", "file:///tmp/x", "s3://b/x", "s3://b/x", "hdfs://n/x"]
+
+
 def test_empty(spark):
     assert round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -36,6 +36,8 @@ from tillwise.llm.runtime import ship
 
 # Texts are scanned and reversed by blocks of so many bytes.
 BLOCK = 1 << 20
+# Bytes of output that are given on at once.
+_FLUSH = 1 << 22
 
 
 class Rule(NamedTuple):
@@ -166,14 +168,21 @@ _NAMES = [part.split()[0] for part in _SCHEMA.split(", ")]
 
 
 def _transform_batches(rule: Rule):
+    def flush(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), _KINDS)], _NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, size = [], 0
             for identifier, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = transform(text.as_py() or b"", identifier, rule)
                 made.append((identifier, found.n, found.form, found.prefix_chars, found.middle_chars, bytes(found.output)))
-            columns = list(zip(*made)) or [[]] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS)], _NAMES)
+                size += len(found.output)
+                if size >= _FLUSH:
+                    yield flush(made)
+                    made, size = [], 0
+            if made:
+                yield flush(made)
 
     return run
 

@@ -188,7 +188,8 @@ def _open(path: str):
 
 
 def _uri(path: str) -> str:
-    return re.sub(r"^file:/(?=[^/])", "file:///", path)
+    """A path of the shared folder as pyarrow spells it (Hadoop's names of the S3 scheme are one to it)."""
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/(?=[^/])", "file:///", path))
 
 
 def write_archives(

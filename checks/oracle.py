@@ -174,11 +174,11 @@ def revenue_breakdown(start=None, end=None):
         return d(f"coalesce(sum(total) FILTER (WHERE {condition}), 0)")
 
     return f"""paid AS (SELECT * FROM fx_orders WHERE {PAID}),
-h AS (SELECT p.id, count(q.id) AS n, sum(q.total) AS s FROM paid p
+h AS (SELECT p.id, count(q.id) AS n, count(q.total) AS known, sum(q.total) AS s FROM paid p
 LEFT JOIN paid q ON q.customer_id = p.customer_id AND q.date_created < p.date_created GROUP BY p.id)
 SELECT {month('date_created')}, {part("type = 'sale' AND n = 0")} AS new_customer_revenue,
 {part("type = 'sale' AND n > 0")} AS existing_customer_revenue, {part("type = 'renewal'")} AS renewal_revenue,
-{part("type = 'sale' AND n > 0 AND total * n > s")} AS upgrade_revenue, {d('sum(total)')} AS total_revenue
+{part("type = 'sale' AND n > 0 AND total * known > s")} AS upgrade_revenue, {d('sum(total)')} AS total_revenue
 FROM paid JOIN h USING (id) WHERE TRUE{between('date_created', start, end)} GROUP BY 1, 2"""
 
 
@@ -292,7 +292,7 @@ FROM fx_customers c JOIN fx_orders o ON o.customer_id = c.id WHERE o.{PAID} GROU
 def customer_lifetime_values(start=None, end=None, limit=100):
     return f"""SELECT c.id AS customer_id, c.email, c.name, c.date_created AS signup_date,
 count(DISTINCT o.id) AS purchase_count, {d(f'coalesce(sum(o.total) FILTER (WHERE o.{PAID}), 0)')} AS total_spent,
-{r(div(f'sum(o.total) FILTER (WHERE o.{PAID})', f'count(*) FILTER (WHERE o.{PAID})'))} AS avg_order_value,
+{r(div(f'sum(o.total) FILTER (WHERE o.{PAID})', f'count(o.total) FILTER (WHERE o.{PAID})'))} AS avg_order_value,
 CAST(datediff('day', c.date_created, {DAY}) AS INTEGER) AS days_active, max(o.date_created) AS last_purchase_date
 FROM fx_customers c JOIN fx_orders o ON o.customer_id = c.id WHERE c.date_created IS NOT NULL{between('c.date_created', start, end)}
 GROUP BY 1, 2, 3, 4 ORDER BY 6 DESC, 1 LIMIT {limit}"""
@@ -521,7 +521,7 @@ AND date_created >= {ago(60, 'DAY')}) AS shaky FROM fx_subscriptions WHERE statu
 sales AS (SELECT CAST(date_created AS DATE) AS day, sum(total) AS v FROM fx_orders WHERE {PAID} AND type = 'sale' GROUP BY 1)
 SELECT 'Confirmed Revenue' AS category, {each(lambda n: d(f'sum(CASE WHEN {due(n)} THEN recurring_amount ELSE 0 END)'))}
 FROM subs WHERE expiration >= {DAY} AND expiration <= {DAY} + INTERVAL {days} DAY
-UNION ALL SELECT 'Projected New Sales', {each(lambda n: exact(f"sum(v) FILTER (WHERE day >= {ago(n, 'DAY')})", f"count(*) FILTER (WHERE day >= {ago(n, 'DAY')})", 2, n))} FROM sales
+UNION ALL SELECT 'Projected New Sales', {each(lambda n: exact(f"sum(v) FILTER (WHERE day >= {ago(n, 'DAY')})", f"count(v) FILTER (WHERE day >= {ago(n, 'DAY')})", 2, n))} FROM sales
 UNION ALL SELECT 'At-Risk Revenue', {each(lambda n: d(f'sum(CASE WHEN {due(n)} AND shaky THEN recurring_amount ELSE 0 END)'))} FROM subs"""
 
 
@@ -749,7 +749,7 @@ SELECT id, {d('revenue')} AS revenue, {d('upto')} AS cumulative_revenue, {pct('u
 
 def cohort_heatmap():
     return f"""SELECT CAST(dense_rank() OVER (ORDER BY month_number) - 1 AS INTEGER) AS month_idx, CAST(dense_rank() OVER (ORDER BY cohort) - 1 AS INTEGER) AS cohort_idx,
-{d('revenue')} AS revenue, {d('max(revenue) OVER ()')} AS max_revenue FROM fx_cohorts"""
+{d('coalesce(revenue, 0)')} AS revenue, {d('max(revenue) OVER ()')} AS max_revenue FROM fx_cohorts"""
 
 
 def latest_daily_revenue():

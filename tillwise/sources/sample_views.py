@@ -46,8 +46,8 @@ SELECT o_orderkey AS id,
  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_orderpriority END AS gateway,
  concat('c', CAST(o_custkey AS STRING), '@shop.test') AS email,
  concat('10.0.', CAST(o_orderkey % 256 AS STRING), '.1') AS ip,
- CAST(CAST(floor(o_totalprice / CASE o_custkey % 10 WHEN 0 THEN 4 WHEN 1 THEN 40 ELSE 10 END) AS BIGINT)
-  * {_CENTS} AS DECIMAL(18,2)) AS total,
+ CASE WHEN o_orderkey % 43 = 5 THEN NULL ELSE CAST(CAST(floor(o_totalprice
+  / CASE o_custkey % 10 WHEN 0 THEN 4 WHEN 1 THEN 40 ELSE 10 END) AS BIGINT) * {_CENTS} AS DECIMAL(18,2)) END AS total,
  CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 86400) * INTERVAL '1' SECOND AS date_created
  FROM {{orders}}""",
     ),
@@ -72,8 +72,8 @@ SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 ELSE c_cu
  m AS parent_payment_id,
  CASE WHEN c_custkey % 5 < 2 THEN 'active' WHEN c_custkey % 5 = 2 THEN 'cancelled' WHEN c_custkey % 5 = 3 THEN 'expired'
   ELSE 'pending' END AS status,
- CAST(10 + c_custkey % 90 + 0.99 AS DECIMAL(18,2)) AS initial_amount,
- CAST(8 + c_custkey % 70 + 0.49 AS DECIMAL(18,2)) AS recurring_amount,
+ CASE WHEN c_custkey % 37 = 11 THEN NULL ELSE CAST(10 + c_custkey % 90 + 0.99 AS DECIMAL(18,2)) END AS initial_amount,
+ CASE WHEN c_custkey % 41 = 12 THEN NULL ELSE CAST(8 + c_custkey % 70 + 0.49 AS DECIMAL(18,2)) END AS recurring_amount,
  TIMESTAMP '2001-08-02 09:00:00' - (c_custkey * 11 % 900) * INTERVAL '1' DAY AS created,
  TIMESTAMP '2001-08-02 12:00:00' + (c_custkey * 13 % 400 - 200) * INTERVAL '1' DAY AS expiration
  FROM {customer} LEFT JOIN (SELECT customer_id, min(id) AS m FROM {fx_orders} GROUP BY customer_id) f

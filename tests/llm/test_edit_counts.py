@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 from tillwise.llm import edit_counts
-from tillwise.llm.edit_counts import PieceCounter, PieceTree, count_edited, edit_trees, keep_trees, private_data
+from tillwise.llm.edit_counts import PieceCounter, PieceTree, count_edited, edit_trees, keep_trees, packed, private_data, unpacked
 from tillwise.llm.lm_scoring import Tokens, load_ranks
 from tillwise.llm.runtime import stored
 
@@ -101,14 +101,19 @@ def test_a_second_batch_starts_from_kept_trees(spark, docs_of, odd_pairs, counte
         rows = after.collect()
         assert len(rows) == len(texts)
         for row in rows:
-            assert row.edited_n_tokens == sum(row.counts) == whole(counter, row.text)
-            assert [len(p) for p in counter.split(row.text)] == row.lengths
+            assert row.edited_n_tokens == unpacked(row.counts).sum() == whole(counter, row.text)
+            assert [len(p) for p in counter.split(row.text)] == unpacked(row.lengths).tolist()
             # of the long text, too, a handful of pieces
             assert row.recounted_pieces <= 12 * row.n_edits
         assert sorted(r.text for r in rows) == sorted(edited(t, edits[t] or []) for t in texts)
         trees, texts = after, [r.text for r in rows]
 
 
+def test_packing():
+    for numbers in ([], [0], [1, 2, 3] * 1000, [4_000_000_000]):
+        assert unpacked(packed(numbers)).tolist() == numbers
+
+
 def test_kept_trees_are_not_split_or_encoded_again(spark, counter, monkeypatch):
     text = "some words here " * 5000
     lengths, counts = list(map(len, counter.split(text))), counter.counts(counter.split(text))

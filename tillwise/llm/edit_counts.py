@@ -31,8 +31,10 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,12 +234,10 @@ def private_data(text: str | None) -> list[Edit]:
 
 
 _EDITS = "array<struct<start:int,end:int,replacement:string>>"
-_TREE = "doc_id long, text string, lengths array<int>, counts array<int>"
-_EDITED = _TREE + ", n_tokens long, n_edits int, edited_n_tokens long, recounted_pieces int, n_pieces int"
-_KINDS = [
-    pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()),
-    pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(),
-]
+_TREE = "doc_id long, text string, lengths binary, counts binary"
+_COUNTED = "n_tokens long, n_edits int, edited_n_tokens long, recounted_pieces int, n_pieces int"
+_TREE_KINDS = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
+_COUNTED_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 _EDIT_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
 # Characters of text that are given on at once.
 _FLUSH = 1 << 23
@@ -252,12 +252,21 @@ def _counter(tokens) -> PieceCounter:
     return found
 
 
-def _flushed(rows: Iterator[tuple], schema: str, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Rows (the second value is a text) as batches of bounded size."""
+def packed(numbers: list[int]) -> bytes:
+    """Numbers of pieces as they are kept: compressed 32-bit integers."""
+    return zstandard.compress(np.array(numbers, "<u4").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
+
+
+def _flushed(rows: Iterator[tuple[int, tuple]], schema: str, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows, each behind its size, as batches of bounded size."""
     names, made, size = [part.split()[0] for part in schema.split(", ")], [], 0
-    for row in rows:
+    for length, row in rows:
         made.append(row)
-        size += len(row[1])
+        size += length
         if size >= _FLUSH or len(made) >= 4096:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], names)
             made, size = [], 0
@@ -272,12 +281,13 @@ def _keep_batches(tokens, schema: str):
             for identifier, text, *edits in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
                 text = text.as_py() or ""
                 pieces = counter.split(text)
-                yield identifier, text, list(map(len, pieces)), counter.counts(pieces), *(x.as_py() for x in edits)
+                tree = identifier, text, packed(list(map(len, pieces))), packed(counter.counts(pieces))
+                yield len(text), (*tree, *(x.as_py() for x in edits))
 
-    return lambda batches: _flushed(rows(batches), schema, [*_KINDS[:4], _EDIT_KIND])
+    return lambda batches: _flushed(rows(batches), schema, [*_TREE_KINDS, _EDIT_KIND])
 
 
-def _edit_batches(tokens, rule: Callable[[str | None], list[Edit]] | None):
+def _edit_batches(tokens, rule: Callable[[str | None], list[Edit]] | None, keep: bool):
     def rows(batches):
         counter = _counter(tokens)
         for batch in batches:
@@ -285,16 +295,22 @@ def _edit_batches(tokens, rule: Callable[[str | None], list[Edit]] | None):
                 text, lengths, counts = (batch.column(column)[place].as_py() for column in (1, 2, 3))
                 edits = batch.column(4)[place].as_py() if rule is None else rule(text)
                 edits = [tuple(edit.values()) if isinstance(edit, dict) else edit for edit in edits or []]
+                counted = unpacked(counts)
+                before = after = int(counted.sum())
+                touched, pieces = 0, len(counted)
                 if edits:
-                    tree = PieceTree.kept(text, lengths, counts, counter)
-                    before, pieces = tree.n_tokens, len(lengths)
-                    number = tree.apply_all(edits)
-                    yield identifier, *tree.state(), before, number, tree.n_tokens, tree.recounted, pieces
-                else:
-                    total = sum(counts)
-                    yield identifier, text, lengths, counts, total, 0, total, 0, len(lengths)
+                    tree = PieceTree.kept(text, unpacked(lengths).tolist(), counted.tolist(), counter)
+                    tree.apply_all(edits)
+                    after, touched = tree.n_tokens, tree.recounted
+                    if keep:
+                        text, new_lengths, new_counts = tree.state()
+                        lengths, counts = packed(new_lengths), packed(new_counts)
+                numbers = before, len(edits), after, touched, pieces
+                yield (len(text), (identifier, text, lengths, counts, *numbers)) if keep else (0, (identifier, *numbers))
 
-    return lambda batches: _flushed(rows(batches), _EDITED, _KINDS)
+    if keep:
+        return lambda batches: _flushed(rows(batches), f"{_TREE}, {_COUNTED}", _TREE_KINDS + _COUNTED_KINDS)
+    return lambda batches: _flushed(rows(batches), f"doc_id long, {_COUNTED}", [pa.int64(), *_COUNTED_KINDS])
 
 
 def _tokens_of(spark, ranks_path: str, pattern: str):
@@ -311,6 +327,8 @@ def keep_trees(
 ) -> DataFrame:
     """``doc_id, text, lengths, counts`` for every row of ``docs``: its pieces, split and counted once.
 
+    ``lengths`` and ``counts`` have a number per piece, see :func:`unpacked`.
+
     The table is meant to be written, and to be edited from there. ``edits_col`` names
     a column of edits to keep beside the tree, as ``edits``. ``ranks_path`` is read on
     the driver.
@@ -329,19 +347,22 @@ def edit_trees(
     pattern: str,
     rule: Callable[[str | None], list[Edit]] | None = None,
     edits_col: str = "edits",
+    keep: bool = True,
 ) -> DataFrame:
     """``trees`` after a batch of edits, with ``n_tokens`` before them, ``n_edits, edited_n_tokens, recounted_pieces, n_pieces``.
 
     Edits come from ``rule(text)``, or from the column ``edits_col`` of type
     ``array<struct<start:int,end:int,replacement:string>>``. Only pieces that edits
     touch are encoded, with the tokenizer that the trees were made with. No row meets
-    another, so there is nothing to shuffle.
+    another, so there is nothing to shuffle. ``keep=False`` gives ``doc_id`` and the
+    numbers only.
     """
     tokens = _tokens_of(trees.sparkSession, ranks_path, pattern)
     columns = ["doc_id", "text", "lengths", "counts"]
     if rule is None:
         columns.append(F.col(edits_col).cast(_EDITS).alias("edits"))
-    return trees.select(*columns).mapInArrow(_edit_batches(tokens, rule), _EDITED)
+    schema = f"{_TREE}, {_COUNTED}" if keep else f"doc_id long, {_COUNTED}"
+    return trees.select(*columns).mapInArrow(_edit_batches(tokens, rule, keep), schema)
 
 
 def count_edited(
@@ -358,6 +379,4 @@ def count_edited(
     The trees are written to the shared folder, and the edits are applied to those.
     """
     trees = keep_trees(docs, ranks_path, pattern, id_col, text_col, edits_col if rule is None else None)
-    return edit_trees(stored(trees, "trees"), ranks_path, pattern, rule).select(
-        "doc_id", "n_tokens", "n_edits", "edited_n_tokens", "recounted_pieces", "n_pieces"
-    )
+    return edit_trees(stored(trees, "trees"), ranks_path, pattern, rule, keep=False)

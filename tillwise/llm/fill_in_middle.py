@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.runtime import ship
+from tillwise.llm.runtime import bound_batches, ship
 
 # Texts are scanned and reversed by blocks of so many bytes.
 BLOCK = 1 << 20
@@ -189,7 +189,7 @@ def _transform_batches(rule: Rule):
 
 def fill_in_middle(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n, form, prefix_chars, middle_chars, output`` for every row of ``docs``. Nothing is shuffled."""
-    ship(docs.sparkSession)
+    bound_batches(ship(docs.sparkSession))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     made = rows.mapInArrow(_transform_batches(rule), _SCHEMA)
     return made.withColumn("output", F.col("output").cast("string"))

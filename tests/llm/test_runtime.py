@@ -3,6 +3,7 @@ from __future__ import annotations
 import pyarrow as pa
 import pytest
 
+from tillwise.llm.exact_dedup import copy_groups
 from tillwise.llm.fill_in_middle import transformation_digests
 from tillwise.llm.runtime import BATCH_BYTES, bound_batches
 
@@ -39,7 +40,7 @@ def test_smaller_settings_stay(unbounded):
     assert unbounded.conf.get(KEY) in ("1m", f"{1 << 20}b")
 
 
-@pytest.mark.parametrize("operator", [transformation_digests])
+@pytest.mark.parametrize("operator", [copy_groups, transformation_digests])
 def test_operators_on_long_texts_bound_their_batches(unbounded, docs_of, operator):
     docs = docs_of([(1, "a b"), (2, None)])
     assert operator(docs).count() == 2

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.llm.patricia import PatriciaTrie
-from tillwise.llm.runtime import ship
+from tillwise.llm.runtime import bound_batches, ship
 
 # Bytes that a task's trie may hold before it passes subtrees on.
 TRIE_BYTES = 96 << 20
@@ -163,7 +163,7 @@ def _own(id_field: str, text_field: str, memory: int):
 
 def _owners(rows: DataFrame, id_field: str, text_field: str, memory: int) -> DataFrame:
     """``row, keep_id, group_size, text_sha256`` per distinct text; ``row`` is the row that stays."""
-    ship(rows.sparkSession)
+    bound_batches(ship(rows.sparkSession))
     row = rows.schema["row"]
     partial = T.StructType([
         row,

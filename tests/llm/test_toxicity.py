@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -149,3 +150,15 @@ def test_without_both_kinds_of_labels(spark, docs_of):
     assert drop_toxic(docs, none).count() == 2
     assert ToxicityModel(["a", "b"], [1, 1]).scores(["c"]).tolist() == [1.0]
     assert score_documents(docs.limit(0), none).count() == 0
+
+
+def test_fitting_holds_the_features_once():
+    """No second copy of the features while rare ones are dropped, and none of the vectors' values."""
+    dice = np.random.default_rng(5)
+    texts = ["".join(map(chr, dice.integers(97, 123, 60_000))) for _ in range(100)]
+    features = sum(found.nbytes for found in map(_Features(), texts))
+    tracemalloc.start()
+    ToxicityModel(texts, [int(i % 5 == 0) for i in range(len(texts))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert features > 40e6 and peak < 1.3 * features + 40e6

@@ -25,6 +25,7 @@ columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -103,16 +104,28 @@ def _frequent(features: list[np.ndarray]) -> np.ndarray:
     return counts >= _LEAST
 
 
-def _vectors(features: list[np.ndarray], ratios: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    made = []
-    for found in features:
-        values = ratios[found]
-        made.append((found, values / max(np.sqrt(values @ values), np.float32(1e-12))))
-    return made
+class _Vectors:
+    """Buckets and values of each text, scaled to length one. Values are made when asked for: kept, they double what the features hold."""
+
+    def __init__(self, features: list[np.ndarray], ratios: np.ndarray):
+        self.features, self.ratios = features, ratios
+        squares = (ratios[found] @ ratios[found] for found in features)
+        self.lengths = [max(np.sqrt(square), np.float32(1e-12)) for square in squares]
+
+    def __len__(self) -> int:
+        return len(self.features)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self.features[i]
+        return found, self.ratios[found] / self.lengths[i]
+
+
+def _vectors(features: list[np.ndarray], ratios: np.ndarray) -> _Vectors:
+    return _Vectors(features, ratios)
 
 
 def fit_margin(
-    vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: np.ndarray
+    vectors: Sequence[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, share: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept of a squared-hinge support vector machine; ``share``: what each vector counts for."""
     weights, intercept = np.zeros(BUCKETS), 0.0
@@ -176,7 +189,8 @@ class ToxicityModel:
         counted = (stands * len(toxic) / (stands * sampled).sum())[toxic.astype(int)]
         features = list(map(_Features(), texts))
         frequent = _frequent(features)
-        features = [found[frequent[found]] for found in features]
+        for i, found in enumerate(features):  # one by one, never all of them twice
+            features[i] = found[frequent[found]]
         margins = np.zeros(len(toxic))
         fold = np.arange(len(toxic)) % _FOLDS
         for number in range(_FOLDS):
@@ -185,7 +199,7 @@ class ToxicityModel:
             ratios = log_count_ratios([features[i] for i in fitted], toxic[fitted])
             weights, intercept = fit_margin(_vectors([features[i] for i in fitted], ratios), toxic[fitted], counted[fitted])
             for i in np.flatnonzero(fold == number):
-                (found, values), = _vectors([features[i]], ratios)
+                found, values = _vectors([features[i]], ratios)[0]
                 margins[i] = weights[found] @ values + intercept
         self.slope, self.offset = fit_curve(margins, toxic, counted)
         ratios = log_count_ratios(features, toxic)
